@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, records
+from tessera.llm import counts, html, mixing, packing, quality, records, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_divergence": quality.op1,
         "op2_token_records": records.op2,
         "op4_best_fit_packing": packing.op4,
+        "op7_unigram_counts": counts.op7,
+        "op8_secret_scan": secrets.op8,
+        "op9_source_mix": mixing.op9,
+        "op10_tag_path_text": html.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_source_mix": mixing.ORACLE}
