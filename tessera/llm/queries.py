@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import counts, html, mixing, packing, quality, records, secrets
+from tessera.llm import counts, cpsjoin, embeddings, html, mixing, packing, quality, records, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_divergence": quality.op1,
         "op2_token_records": records.op2,
+        "op3_chosen_path_join": cpsjoin.op3,
         "op4_best_fit_packing": packing.op4,
+        "op5_sign_hash_dedup": embeddings.op5,
         "op7_unigram_counts": counts.op7,
         "op8_secret_scan": secrets.op8,
         "op9_source_mix": mixing.op9,
