@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     docs holds doc_id, source and text. Sources in code point order, null last, take the weights in turn.
     """
     spark = docs.sparkSession
-    kept = [F.col(c) for c in dict.fromkeys(["doc_id", *carry, "text"])]
+    kept = list(dict.fromkeys(["doc_id", *carry, "text"]))
     sized = _sized(docs.select(*kept, F.col("source").alias(_SOURCE)), "text")
     if "text" not in carry:
         sized = sized.drop("text")
@@ -143,6 +143,14 @@ def _cut(queue: DataFrame, budget: float) -> tuple[float, int]:
     return last
 
 
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2) -> DataFrame:
+    """docs as the mix takes them: a row for each copy taken, with the columns of docs."""
+    names = docs.columns
+    inner = docs.toDF(*[c if c in ("doc_id", "source", "text") else f"_in_{i}" for i, c in enumerate(names)])
+    taken = mix(inner, weights, share, max_repeats, carry=inner.columns).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return taken.select(*[F.col(a).alias(b) for a, b in zip(inner.columns, names, strict=True)])
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents to weights 5, 2, 1 at 150 % of their words."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import counts, cpsjoin, embeddings, html, mixing, packing, quality, records, secrets
+from tessera.llm import counts, cpsjoin, embeddings, html, mixing, packing, quality, records, secrets, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chosen_path_join": cpsjoin.op3,
         "op4_best_fit_packing": packing.op4,
         "op5_sign_hash_dedup": embeddings.op5,
+        "op6_seed_extend": substrings.op6,
         "op7_unigram_counts": counts.op7,
         "op8_secret_scan": secrets.op8,
         "op9_source_mix": mixing.op9,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mix": mixing.ORACLE}
+    return {"op6_seed_extend": substrings.ORACLE, "op9_source_mix": mixing.ORACLE}
