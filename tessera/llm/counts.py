@@ -109,7 +109,8 @@ def counter(path: str) -> Counter:
 
 
 def count_tokens(docs: DataFrame, out: str = "n_tokens", path: str | None = None) -> DataFrame:
-    """docs (with text) and the piece count of each text."""
+    """docs (with text) and the piece count of each text; an input column named out gives way."""
+    docs = docs.drop(out)
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,7 +82,7 @@ def named(names: str) -> bool:
 
 def blocks(page: str) -> list[tuple[_Node, str]]:
     """(element, text) of every block with text, in page order; text decoded, white space collapsed."""
-    root = node = _Node("", None, "")
+    node = _Node("", None, "")
     found: list[tuple[_Node, str]] = []
     held: list[str] = []
 
@@ -140,7 +140,6 @@ def blocks(page: str) -> list[tuple[_Node, str]]:
     if at < len(page):
         held.append(page[at:])
     flush()
-    assert root is not None
     return found
 
 
@@ -206,8 +205,8 @@ def _smooth(values: list[float]) -> list[float]:
 
 
 def extract_pages(pages: DataFrame, column: str = "html", out: str = "text") -> DataFrame:
-    """pages without the html column, with the main text."""
-    fields = [f for f in pages.schema.fields if f.name != column]
+    """pages without the html column, with the main text; an input column named out gives way."""
+    fields = [f for f in pages.schema.fields if f.name not in (column, out)]
     names = [f.name for f in fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

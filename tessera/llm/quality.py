@@ -10,8 +10,8 @@ nearest of all references, so a wrong label rejects nothing.
 
 Edge cases: null text has no words and fails the base; null or unknown lang is
 judged as above; repeated rows and nulls in other columns stay as they are; an
-empty table gives no row. Result columns carry a prefix where input columns
-could clash.
+empty table gives no row. An input column with a result's
+name gives way to it; a prefix for the results keeps both.
 """
 
 from __future__ import annotations
@@ -142,6 +142,7 @@ def judge(docs: DataFrame, prefix: str = "") -> DataFrame:
     """docs (with text and lang) and the measures, base verdict, final verdict and both distances (null where the guard holds)."""
     kinds = [T.LongType()] * 5 + [T.BooleanType()] * 2 + [T.DoubleType()] * 2
     added = [T.StructField(prefix + n, k) for n, k in zip(COLUMNS, kinds, strict=True)]
+    docs = docs.drop(*[f.name for f in added])
     schema = T.StructType([*docs.schema.fields, *added])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -175,7 +175,8 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Stru
 
 
 def find_secrets(docs: DataFrame, prefix: str = "") -> DataFrame:
-    """docs (with text) and their spans as an array."""
+    """docs (with text) and their spans as an array; an input column of that name gives way."""
+    docs = docs.drop(f"{prefix}spans")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
