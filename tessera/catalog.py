@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import corpus
+from tessera.operators import corpus, sequences, statistics
 
-_MODULES = (corpus,)
+_MODULES = (corpus, sequences, statistics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
