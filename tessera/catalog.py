@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import corpus, sequences, statistics
+from tessera.operators import corpus, graphs, sequences, statistics
 
-_MODULES = (corpus, sequences, statistics)
+_MODULES = (corpus, sequences, statistics, graphs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

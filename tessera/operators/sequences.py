@@ -106,7 +106,10 @@ def ngram_overlap(df: DataFrame, keys: list[str], reference: Column, made: Colum
     x = x.withColumn("len_b", F.size("b"))
 
     def grams(a: str, sign: int) -> DataFrame:
-        per_n = [F.transform(ngrams(F.col(a), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in range(1, most + 1)]
+        def tagged(n: int) -> Column:
+            return F.transform(ngrams(F.col(a), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+
+        per_n = [tagged(n) for n in range(1, most + 1)]
         return x.select(*keys, "top", "len_b", F.explode(F.concat(*per_n)).alias("e")).filter("e.n <= top").select(*keys, "top", "len_b", "e.n", "e.g", F.lit(sign).alias("side"))
 
     counted = grams("a", 0).unionByName(grams("b", 1)).groupBy(*keys, "top", "len_b", "n", "g").agg(F.sum(1 - F.col("side")).alias("ca"), F.sum("side").alias("cb"))
