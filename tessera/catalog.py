@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.functions import strings, vectors
 from tessera.operators import corpus, graphs, sequences, statistics
+from tessera.streaming import windows
 
-_MODULES = (corpus, sequences, statistics, graphs)
+_MODULES = (corpus, sequences, statistics, graphs, strings, vectors, windows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
