@@ -27,11 +27,11 @@ def ids(text: Column) -> Column:
 
 def causal_windows(df: DataFrame, key: str, seq: Column, width: int, stride: int) -> DataFrame:
     """(key, start, window, labels) of each document: starts at every stride until a window reaches the end; labels are the next tokens."""
-    x = df.select(key, seq.alias("s")).filter(F.size("s") >= 2)
-    x = x.withColumn("last", F.ceil(F.greatest(F.size("s") - width, F.lit(0)) / stride).cast("int"))
-    y = x.select(key, "s", F.explode(F.sequence(F.lit(0), "last")).alias("k")).withColumn("start", F.col("k") * stride).filter(F.col("start") + 1 < F.size("s"))
-    own = F.slice("s", F.col("start") + 1, width)
-    after = F.slice("s", F.col("start") + 2, width)
+    x = df.select(key, seq.alias("_s")).filter(F.size("_s") >= 2)
+    x = x.withColumn("_last", F.ceil(F.greatest(F.size("_s") - width, F.lit(0)) / stride).cast("int"))
+    y = x.select(key, "_s", F.explode(F.transform(F.sequence(F.lit(0), "_last"), lambda i: i * stride)).alias("start")).filter(F.col("start") + 1 < F.size("_s"))
+    own = F.slice("_s", F.col("start") + 1, width)
+    after = F.slice("_s", F.col("start") + 2, width)
     return y.select(key, "start", padded(own, width, PAD).alias("window"), padded(after, width, IGNORE).alias("labels"))
 
 
@@ -42,10 +42,10 @@ def padded(a: Column, width: int, pad: int) -> Column:
 
 def next_token_windows(df: DataFrame, key: str, seq: Column, width: int) -> DataFrame:
     """(key, t, window, target): every place of a sequence at least as long as the window, the window filled at its left."""
-    x = df.select(key, seq.alias("s")).filter((F.size("s") >= width) & (F.size("s") > 1))
-    y = x.select(key, "s", F.explode(F.sequence(F.lit(1), F.size("s") - 1)).alias("t"))
-    own = F.slice("s", F.greatest(F.col("t") - width, F.lit(0)) + 1, F.least(F.col("t"), F.lit(width)))
-    return y.select(key, "t", F.concat(F.array_repeat(F.lit(PAD), F.greatest(F.lit(width) - F.col("t"), F.lit(0))), own).alias("window"), F.element_at("s", F.col("t") + 1).alias("target"))
+    x = df.select(key, seq.alias("_s")).filter((F.size("_s") >= width) & (F.size("_s") > 1))
+    y = x.select(key, "_s", F.explode(F.sequence(F.lit(1), F.size("_s") - 1)).alias("t"))
+    own = F.slice("_s", F.greatest(F.col("t") - width, F.lit(0)) + 1, F.least(F.col("t"), F.lit(width)))
+    return y.select(key, "t", F.concat(F.array_repeat(F.lit(PAD), F.greatest(F.lit(width) - F.col("t"), F.lit(0))), own).alias("window"), F.element_at("_s", F.col("t") + 1).alias("target"))
 
 
 def finetuning_windows(df: DataFrame, key: str, prompt: Column, response: Column, width: int, policy: str) -> DataFrame:
@@ -53,18 +53,18 @@ def finetuning_windows(df: DataFrame, key: str, prompt: Column, response: Column
 
     Longer than width + 1: policy skip drops the pair, prompt_head cuts the prompt's front, response_tail the response's end.
     """
-    x = df.select(key, prompt.alias("p"), response.alias("q")).filter(F.size("q") > 0)
-    over = F.size("p") + F.size("q") - (width + 1)
+    x = df.select(key, prompt.alias("_p"), response.alias("_q")).filter(F.size("_q") > 0)
+    over = F.size("_p") + F.size("_q") - (width + 1)
     if policy == "skip":
         x = x.filter(over <= 0)
     elif policy == "prompt_head":
         cut = F.greatest(over, F.lit(0))
-        x = x.filter(F.size("p") >= cut).withColumn("p", F.slice("p", cut + 1, F.size("p")))
+        x = x.filter(F.size("_p") >= cut).withColumn("_p", F.slice("_p", cut + 1, F.size("_p")))
     else:
-        left = F.size("q") - F.greatest(over, F.lit(0))
-        x = x.filter(left > 0).withColumn("q", F.slice("q", F.lit(1), left))
-    full = F.concat("p", "q")
-    labels = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda t: F.when((t >= F.size("p") - 1) & (t + 1 < F.size("p") + F.size("q")), F.try_element_at(full, t + 2)).otherwise(F.lit(IGNORE)))
+        left = F.size("_q") - F.greatest(over, F.lit(0))
+        x = x.filter(left > 0).withColumn("_q", F.slice("_q", F.lit(1), left))
+    full = F.concat("_p", "_q")
+    labels = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda t: F.when((t >= F.size("_p") - 1) & (t + 1 < F.size("_p") + F.size("_q")), F.try_element_at(full, t + 2)).otherwise(F.lit(IGNORE)))
     return x.select(key, padded(F.slice(full, 1, width), width, PAD).alias("window"), labels.alias("labels"))
 
 

@@ -57,15 +57,20 @@ def roc(df: DataFrame, score: str, truth: str, ties: list[str]) -> DataFrame:
 
 
 def equal_error_rate(df: DataFrame, score: str, high: str, ties: list[str]) -> DataFrame:
-    """The threshold at which the shares of high values below it and of low values at or above it differ least; the first such from below."""
+    """Where the shares of missed high values and of accepted low values differ least, walking down the ROC points; the first such point.
+
+    Without low values the rate is 0 at the smallest high value, without high values 0 at the largest low value plus 1, without any 0 at 0.
+    """
     flag = F.col(high).cast("int").cast("long")
-    totals = df.agg(F.sum(flag).alias("p"), F.sum(1 - flag).alias("q"))
-    sums = running(df, [F.asc(score), F.asc(high), *map(F.asc, ties)], {"h": flag, "l": 1 - flag, "rn": F.lit(1).cast("long")})
-    own = sums.crossJoin(F.broadcast(totals)).select(
-        "rn", F.col(score).alias("threshold"), ((F.col("h") - flag) / F.col("p")).alias("fnr"), ((F.col("q") - F.col("l") + (1 - flag)) / F.col("q")).alias("fpr")
-    )
+    totals = df.agg(F.sum(flag).alias("p"), F.sum(1 - flag).alias("q"), F.min(F.when(F.col(high), F.col(score))).alias("least"), F.max(F.when(~F.col(high), F.col(score))).alias("most"))
+    sums = running(df, [F.desc(score), F.asc(high), *map(F.asc, ties)], {"tp": flag, "fp": 1 - flag, "rn": F.lit(1).cast("long")})
+    own = sums.crossJoin(F.broadcast(totals)).select("rn", F.col(score).alias("threshold"), (1 - F.try_divide("tp", "p")).alias("fnr"), F.try_divide("fp", "q").alias("fpr"))
     best = own.agg(F.min(F.struct(r(F.abs(F.col("fnr") - F.col("fpr")), 12).alias("d"), "rn", F.greatest("fnr", "fpr").alias("rate"), "threshold")).alias("b"))
-    return best.select(r(F.col("b.rate")).alias("rate"), F.col("b.threshold").alias("threshold"))
+    one_sided = F.coalesce(F.col("least"), F.col("most") + 1, F.lit(0.0))
+    both = (F.col("p") > 0) & (F.col("q") > 0)
+    return best.crossJoin(F.broadcast(totals)).select(
+        F.when(both, r(F.col("b.rate"))).otherwise(0.0).alias("rate"), F.when(both, F.col("b.threshold")).otherwise(one_sided).alias("threshold")
+    )
 
 
 def average_precision(df: DataFrame, by: str, order: list[Column], relevant: Column, missing: int = 0) -> DataFrame:
@@ -256,8 +261,8 @@ SELECT user_id, count(*) AS n, round(sum(w * v) / sum(w), 5) AS mean, round(grea
 SELECT event_id, value AS threshold, round(sum(t) OVER w / (SELECT sum(t) FROM e), 6) AS tpr, round(sum(1 - t) OVER w / (SELECT sum(1 - t) FROM e), 6) AS fpr FROM e
 WINDOW w AS (ORDER BY value DESC, t, event_id ROWS UNBOUNDED PRECEDING)""",
     "equal_error_rate": """WITH e AS (SELECT event_id, value, (event_type = 'error')::INT AS t FROM events),
-x AS (SELECT value, row_number() OVER w AS rn, (sum(t) OVER w - t) / (SELECT sum(t) FROM e) AS fnr, ((SELECT sum(1 - t) FROM e) - sum(1 - t) OVER w + (1 - t)) / (SELECT sum(1 - t) FROM e) AS fpr FROM e
-  WINDOW w AS (ORDER BY value, t, event_id ROWS UNBOUNDED PRECEDING))
+x AS (SELECT value, row_number() OVER w AS rn, 1 - sum(t) OVER w / (SELECT sum(t) FROM e) AS fnr, sum(1 - t) OVER w / (SELECT sum(1 - t) FROM e) AS fpr FROM e
+  WINDOW w AS (ORDER BY value DESC, t, event_id ROWS UNBOUNDED PRECEDING))
 SELECT round(greatest(fnr, fpr), 6) AS rate, value AS threshold FROM x ORDER BY round(abs(fnr - fpr), 12), rn LIMIT 1""",
     "average_precision": """WITH x AS (SELECT user_id, (event_type = 'error')::INT AS rel, row_number() OVER w AS pos, sum((event_type = 'error')::INT) OVER w AS hits FROM events
   WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING)),
