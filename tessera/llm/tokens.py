@@ -3,25 +3,49 @@
 A text is cut by the tokenizer's own pre-splitting pattern, each distinct piece
 is encoded once by the library's model and kept in a bounded per-process cache,
 so most of the work is one pattern scan and one dictionary lookup a piece. Texts
-with a code point outside SAFE (where the pattern library and the tokenizer may
-know different Unicode versions) or with a special token's string go through
+with a code point outside SAFE (where Python and the tokenizer may know
+different Unicode versions) or with a special token's string go through
 the tokenizer whole: ids are the library's in every case.
 """
 
 from __future__ import annotations
 
 import functools
+import re
+import unicodedata
 from array import array
 
 import numpy as np
 import public_tokenizers
-import regex
 from tokenizers import Tokenizer
 
 DEFAULT = "byte_bpe_50k.json"
 CACHE_ENTRIES = 300_000
-#: Code points that both libraries class alike; tests compare every one.
-SAFE = regex.compile("[^\\x00-\\u0557\\u1e00-\\u206f\\u20a0-\\ua7cd\\uac00-\\ud7a3]")
+#: Code points whose class the installed Unicode tables and the tokenizer's give alike; tests compare every one.
+SAFE_RANGES = ((0x0, 0x557), (0x1E00, 0x206F), (0x20A0, 0xA7CA), (0xAC00, 0xD7A3))
+
+
+def _ranges(kind: str) -> str:
+    """The safe code points of a general category as the inside of a character class."""
+    out: list[list[int]] = []
+    for low, high in SAFE_RANGES:
+        for cp in range(low, high + 1):
+            if unicodedata.category(chr(cp))[0] == kind:
+                if out and out[-1][1] == cp - 1:
+                    out[-1][1] = cp
+                else:
+                    out.append([cp, cp])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+@functools.cache
+def splitter() -> re.Pattern:
+    """The public pre-splitting pattern, its classes written out for safe code points, which the standard engine matches at twice the speed."""
+    letter, number, blank = _ranges("L"), _ranges("N"), "\\t-\\r \\x85\\xa0\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{blank}{letter}{number}]+|[{blank}]+(?![^{blank}])|[{blank}]+")
+
+
+SAFE = re.compile("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in SAFE_RANGES) + "]")
 #: Longer pieces are encoded anew each time.
 CACHED_CHARS = 64
 
@@ -59,9 +83,9 @@ class Encoder:
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = 2 if self.vocab_size <= 65536 else 4
         self.dtype = f"<u{self.width}"
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.find = splitter().findall
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
+        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.lookup = _Pieces(self.tokenizer.model, "H" if self.width == 2 else "I").__getitem__
 
     def ids(self, text: str | None) -> bytes:
