@@ -240,3 +240,17 @@ def test_stateful_statistics_and_filter(spark, tmp_path):
     f = stateful.Momentum(1.0, 0.1)
     track = [f.update(3.0 * t)[0] for t in range(40)]
     assert abs(track[-1] - 117) < 1.5
+
+
+def test_murmur_and_geometry(spark):
+    from tessera.functions import numeric
+
+    # public test values of the 32-bit hash
+    assert numeric.murmur3(b"") == 0 and numeric.murmur3(b"", 1) == 0x514E28B7 and numeric.murmur3(b"test", 0x9747B28C) == 0x704B81DC
+    assert numeric.murmur3(b"Hello, world!", 0x9747B28C) == 0x24884CBA
+    square = np.array([[0, 0], [2, 0], [2, 2], [0, 2], [1, 1], [1, 0]])
+    assert numeric.convex_hull(square).tolist() == [[0, 0], [2, 0], [2, 2], [0, 2]]
+    pts = spark.createDataFrame([(1, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]), (2, [(0.0, 0.0)])], "k int, p array<struct<x: double, y: double>>")
+    assert [r[0] for r in pts.orderBy("k").select(numeric.polygon_area(F.col("p"))).collect()] == [4.0, 0.0]
+    sparse = numeric.sparse_vectors(spark.createDataFrame([(1, i, 1.0) for i in (4, 0, 4, 3, 8, 8, 8, 8)], "k int, i int, v double"), "k", "i", "v")
+    assert sparse.first().vector == {0: 1.0, 3: 1.0, 4: 2.0, 8: 4.0}
