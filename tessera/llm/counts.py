@@ -32,6 +32,8 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tessera.llm.batches import small
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed by the public unigram tokenizer
 CACHE_ENTRIES = 300_000
@@ -115,7 +117,7 @@ def count_tokens(docs: DataFrame, out: str = "n_tokens", path: str | None = None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.count(t) for t in b.column("text").to_pylist()], pa.int64())], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))

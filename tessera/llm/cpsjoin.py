@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import blocks
+from tessera.llm.batches import small
 from tessera.llm.components import components
 from tessera.llm.embeddings import label
 from tessera.plans.shared import materialize
@@ -115,7 +116,7 @@ def _read(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid, cache = TaskContext.get().partitionId() << 40, {}
-        for b in batches:
+        for b in small(batches):
             sets = [shingle_set(t, cache=cache) for t in b.column("text").cast(pa.binary()).to_pylist()]
             cid = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             made = [pa.array(np.arange(rid, rid + len(b))), pa.array(cid, pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())]
@@ -219,7 +220,7 @@ def _exact(dealt: DataFrame, threshold: float) -> DataFrame:
 def _sets(rows: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
-        for b in batches:
+        for b in small(batches):
             sets = pa.array([shingle_set(t, cache=cache).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("root"), b.column("_c"), b.column("cid"), b.column("m"), sets], names=["root", "_c", "cid", "m", "set"])
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tessera.llm.batches import small
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|title|math|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?][^>]*>|<[a-zA-Z/!?][^<>]*\Z",
@@ -210,7 +212,7 @@ def extract_pages(pages: DataFrame, column: str = "html", out: str = "text") ->
     names = [f.name for f in fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             text = pa.array([extract(h) for h in b.column(column).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), text], names=[*names, out])
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import text as words
+from tessera.llm.batches import small
 from tessera.plans.shared import materialize
 
 _SIZE, _KEY, _PART, _CUM, _SOURCE = "_mix_size", "_mix_key", "_mix_part", "_mix_cum", "_mix_source"
@@ -52,7 +53,7 @@ def _sized(docs: DataFrame, text: str) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(_SIZE, T.LongType())])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             n = pa.array([words.n_words(x) for x in words.utf8(b.column(text))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, n], names=[*b.schema.names, _SIZE])
 

@@ -15,7 +15,6 @@ separate documents; an empty table gives no row; extra columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
+from tessera.llm.batches import ROWS, small
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, slot long"
 PACKED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: st
         enc = tokens.encoder(path)
         end, w = np.array([end_id], dtype=enc.dtype).tobytes(), enc.width
         slot = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in small(batches):
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = enc.ids(text) + end
@@ -102,15 +102,21 @@ class Placer:
         return at, size - gap
 
 
-def pack(rows: DataFrame, capacity: int = 2048) -> DataFrame:
-    """The pieces with the sequence and the place in it of each; sequence ids are unique over all groups."""
+def pack(rows: DataFrame, capacity: int = 2048, width: int | None = None) -> DataFrame:
+    """The pieces with the sequence and the place in it of each; sequence ids are unique over all groups.
+
+    Given the encoder's width in bytes, ids come back as little-endian unsigned 32-bit integers, else as they are.
+    """
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         placer, group = Placer(capacity), TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in small(batches, 4 * ROWS):
             at = [placer.place(n) for n in batch.column(3).to_pylist()]
+            ids = batch.column(4)
+            if width:
+                ids = pa.array([tokens.widen(x, f"<u{width}") for x in ids.to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array([group + s for s, _ in at], pa.int64()), pa.array([o for _, o in at], pa.int64())],
+                [*batch.columns[:4], ids, pa.array([group + s for s, _ in at], pa.int64()), pa.array([o for _, o in at], pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"],
             )
 
@@ -118,18 +124,12 @@ def pack(rows: DataFrame, capacity: int = 2048) -> DataFrame:
     return dealt.mapInArrow(place, PACKED)
 
 
-def digest(packed: DataFrame, width: int) -> DataFrame:
-    """Checksums in place of ids."""
-
-    def crc(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sums = [zlib.crc32(tokens.widen(x, f"<u{width}")) for x in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sums, pa.int64()), *b.columns[5:]], names=[*b.schema.names[:4], "ids_crc32", *b.schema.names[5:]])
-
-    return packed.mapInArrow(crc, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+def digest(packed: DataFrame) -> DataFrame:
+    """CRC-32 in place of 32-bit ids."""
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 2048 ids."""
     width = tokens.encoder(tokens.default_path()).width
-    return digest(pack(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"))), width)
+    return digest(pack(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")), width=width))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tessera.llm.batches import small
+
 MIN_WORDS = 50
 MAX_REPEAT = 50  # percent of words in repeated windows
 MIN_CHARS_CLASS, MAX_CLASS_DISTANCE = 200, 0.2
@@ -148,9 +150,7 @@ def judge(docs: DataFrame, prefix: str = "") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, shares = _references()
         prose = np.array(CLASS_SHARES) / sum(CLASS_SHARES)
-        for b in batches:
-            if not len(b):
-                continue
+        for b in small(batches):
             text = b.column("text").cast(pa.binary()).to_pylist()
             found = [measure(t) for t in text]
             counts = np.array([f[0] for f in found], dtype=np.int64)

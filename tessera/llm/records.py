@@ -15,7 +15,6 @@ columns are not read.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,12 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
+from tessera.llm.batches import small
 from tessera.llm.crc32c import crc32c_words, masked
 from tessera.plans.shared import scratch_path
 
 MANIFEST = "shard string, first_row long, n_docs long, n_ids long, n_bytes long"
 READ = "doc_id long, start long, n_tokens long, ids binary"
-FLUSH_BYTES = 4 << 20
+FLUSH_BYTES = 2 << 20
 _HEAD = np.dtype([("doc_id", "<i8"), ("flags", "<u4")])
 
 
@@ -100,7 +100,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, num_sha
             queue.clear()
 
         held = 0
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 files = files or fs.open_output_stream(f"{temp}.bin")
                 ids = enc.ids(text) + end
@@ -144,7 +144,10 @@ def write_records(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2
 
 
 def read_records(spark: SparkSession, out: str, starts: list[tuple[str, int]], width: int) -> DataFrame:
-    """One row a record with its ids (width bytes each); every length and checksum is verified. A task reads a shard a few MB at a time."""
+    """One row a record with its ids as little-endian unsigned 32-bit integers (width bytes each in the files).
+
+    Every length and checksum is verified. A task reads a shard a few MB at a time.
+    """
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(out)
@@ -166,7 +169,7 @@ def read_records(spark: SparkSession, out: str, starts: list[tuple[str, int]], w
                         first = start + np.cumsum(n) - n
                         start += int(n.sum())
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(heads["doc_id"], mask=heads["flags"] & 1 == 1), pa.array(first), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"]
+                            [pa.array(heads["doc_id"], mask=heads["flags"] & 1 == 1), pa.array(first), pa.array(n), pa.array([tokens.widen(x, f"<u{width}") for x in ids], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"]
                         )
                         k = stop
 
@@ -186,19 +189,13 @@ def read_shuffled(out: str, shard: str, order: Iterable[int]) -> Iterator[bytes]
             yield unframe(f.read(size + 16), entries[k : k + 1], base)[0]
 
 
-def digest(read: DataFrame, width: int) -> DataFrame:
-    """doc_id, start, n_tokens and the CRC-32 of the ids as little-endian unsigned 32-bit integers."""
-
-    def crc(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [zlib.crc32(tokens.widen(x, f"<u{width}")) for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def digest(read: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and the CRC-32 of the 32-bit ids."""
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, write the record files, read them back and digest what was read."""
     width = tokens.encoder(tokens.default_path()).width
     out, starts = write_records(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return digest(read_records(spark, out, starts, width), width)
+    return digest(read_records(spark, out, starts, width))

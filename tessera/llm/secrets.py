@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tessera.llm.batches import small
+
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
@@ -179,7 +181,7 @@ def find_secrets(docs: DataFrame, prefix: str = "") -> DataFrame:
     docs = docs.drop(f"{prefix}spans")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, SPANS)], names=[*b.schema.names, f"{prefix}spans"])
 
@@ -192,7 +194,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     chars = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             text = [redact(t, scan(t)) for t in b.column(at).to_pylist()]
             columns = list(b.columns)
             columns[at] = pa.array(text, b.schema.field(at).type)

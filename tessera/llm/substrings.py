@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import small
 from tessera.plans.shared import materialize
 
 BASE = 0x9E3779B97F4A7C15
@@ -101,7 +102,7 @@ def anchors(w: Words, n: int, length: int) -> tuple[np.ndarray, np.ndarray, np.n
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
-        for b in batches:
+        for b in small(batches):
             made, held = [], 0
             for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 ws = text.split() if text else []
@@ -129,7 +130,7 @@ def _window_rows(heads: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
-        for b in batches:
+        for b in small(batches):
             for doc, key, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
                 w = Words(text.split(), cache)
                 starts = np.unique(np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in runs]))
@@ -196,7 +197,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     spans = repeats(keyed, length)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             n, gone, kept = [], [], []
             for text, found in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
                 ws = text.split() if text else []

@@ -56,7 +56,7 @@ def test_records_round_trip_with_edge_cases(spark):
     docs = cases.documents(spark)
     width = tokens.encoder(tokens.default_path()).width
     out, starts = records.write_records(docs, num_shards=3)
-    got = [tuple(r) for r in records.digest(records.read_records(spark, out, starts, width), width).collect()]
+    got = [tuple(r) for r in records.digest(records.read_records(spark, out, starts, width)).collect()]
     want, at = [], 0
     for r in sorted(cases.rows(), key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = [*reference_ids(r[1]), 2]
@@ -105,7 +105,7 @@ def check_packing(rows, texts, capacity=2048):
 def test_packing_edge_cases(spark):
     docs = cases.documents(spark)
     width = tokens.encoder(tokens.default_path()).width
-    rows = packing.digest(packing.pack(packing.pieces(docs)), width).collect()
+    rows = packing.digest(packing.pack(packing.pieces(docs), width=width)).collect()
     n = check_packing(rows, [r[1] for r in cases.rows()])
     assert n <= sum(r.length for r in rows) / 2048 + 4
     long_rows = sorted((r for r in rows if r.doc_id == 6), key=lambda r: r.piece)
