@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import numeric, strings, vectors
-from tessera.operators import corpus, graphs, kernels, learners, sequences, statistics
+from tessera.operators import corpus, datasets, graphs, kernels, learners, sequences, statistics
 from tessera.streaming import windows
 
-_MODULES = (corpus, sequences, statistics, graphs, learners, kernels, strings, vectors, numeric, windows)
+_MODULES = (corpus, sequences, datasets, statistics, graphs, learners, kernels, strings, vectors, numeric, windows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -233,3 +233,75 @@ SELECT least(parent, child) AS a, greatest(parent, child) AS b FROM e UNION SELE
     "nearest_neighbours": f"""WITH p AS (SELECT q.vec_id AS src, e.vec_id AS dst, {_DIST.format(a='q.embedding', b='e.embedding')} AS dist FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)
 SELECT src, dst, round(dist, 5) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(dist, 9), dst) AS rn FROM p) WHERE rn <= 5""",
 }
+
+
+def random_pairs(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n random pairs of different rows' keys, the smaller first, distinct: two hashes of a counter pick two places in key order."""
+    from tessera.plans.prefix import numbered
+
+    placed = numbered(rows.select(key), [F.asc(key)], "pos").withColumn("pos", F.col("pos") - 1)
+    size = placed.count()
+    draws = rows.sparkSession.range(n).select(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(size)).alias(c) for k, c in enumerate("ab")])
+    ends = draws.join(placed.select(F.col("pos").alias("a"), F.col(key).alias("x")), "a").join(placed.select(F.col("pos").alias("b"), F.col(key).alias("y")), "b")
+    return ends.filter("x <> y").select(F.least("x", "y").alias("i1"), F.greatest("x", "y").alias("i2")).distinct()
+
+
+def nearest_by_code(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", bits: int = 64, oversample: int = 20, seed: int = 1, block: int = 4096) -> DataFrame:
+    """(src, dst, dist): the k * oversample rows nearest to each query by differing bits of random-projection codes, ranked again by true distance.
+
+    Queries go in blocks against all rows; candidates meet their vectors by joins.
+    """
+    import math
+
+    dim = len(rows.select(vector).filter(F.col(vector).isNotNull()).first()[0])
+    planes = np.random.default_rng(seed).standard_normal((dim, bits))
+
+    def coded(df: DataFrame) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = np.array(b.column(1).to_pylist(), dtype=np.float64).reshape(-1, dim)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in np.packbits(x @ planes > 0, axis=1)], pa.binary())], names=["id", "code"])
+
+        return df.select(F.col(key).cast("long").alias("id"), vector).mapInArrow(run, "id long, code binary")
+
+    own = coded(rows)
+    asked = coded(queries)
+    blocks = max(1, math.ceil(queries.count() / block))
+    found: DataFrame | None = None
+    for i in range(blocks):
+        held = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()  # about one block
+        part = _scan_codes(own, [r.id for r in held], [bytes(r.code) for r in held], k * oversample)
+        found = part if found is None else found.unionByName(part)
+    merged = found.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "dst"))), 1, k * oversample).alias("c"))
+    pairs = merged.select("src", F.explode("c").alias("c")).select("src", "c.dst")
+    v = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    ranked = pairs.join(v.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(v.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst")
+    dist = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    best = ranked.select("src", F.struct(F.round(dist, 9).alias("dist"), "dst").alias("e")).groupBy("src").agg(F.slice(F.array_sort(F.collect_list("e")), 1, k).alias("c"))
+    return best.select("src", F.explode("c").alias("e")).select("src", "e.dst", F.round("e.dist", 5).alias("dist"))
+
+
+def _scan_codes(rows: DataFrame, ids: list[int], codes: list[bytes], keep: int) -> DataFrame:
+    names = np.array(ids, dtype=np.int64)
+    asked = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(ids), -1)
+    ones = np.array([bin(b).count("1") for b in range(256)], dtype=np.int16)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far, near = np.full((len(names), keep), 1 << 14, dtype=np.int16), np.full((len(names), keep), -1, dtype=np.int64)
+        for b in batches:
+            own = b.column(0).to_numpy()
+            code = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(len(own), -1)
+            for s in range(0, len(own), 512):
+                d = ones[asked[:, None, :] ^ code[None, s : s + 512, :]].sum(2).astype(np.int16)
+                d[names[:, None] == own[None, s : s + 512]] = 1 << 14
+                d, i = np.concatenate([far, d], 1), np.concatenate([near, np.broadcast_to(own[s : s + 512], d.shape)], 1)
+                order = np.argsort(d, axis=1, kind="stable")[:, :keep]
+                far, near = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        on = far < 1 << 14
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], far.shape)[on]), pa.array(near[on]), pa.array(far[on].astype(np.int32))], names=["src", "dst", "far"])
+
+    return rows.mapInArrow(run, "src long, dst long, far int")
+
+
+QUERIES["nearest_by_code"] = lambda s, d: nearest_by_code(*_queries_and_rows(s, d), 5)
+QUERIES["random_pairs"] = lambda s, d: random_pairs(table(s, d, "orders"), "o_orderkey", 2000)

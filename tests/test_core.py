@@ -254,3 +254,45 @@ def test_murmur_and_geometry(spark):
     assert [r[0] for r in pts.orderBy("k").select(numeric.polygon_area(F.col("p"))).collect()] == [4.0, 0.0]
     sparse = numeric.sparse_vectors(spark.createDataFrame([(1, i, 1.0) for i in (4, 0, 4, 3, 8, 8, 8, 8)], "k int, i int, v double"), "k", "i", "v")
     assert sparse.first().vector == {0: 1.0, 3: 1.0, 4: 2.0, 8: 4.0}
+
+
+def test_scalar_queries(spark):
+    from tessera.plans import sql
+
+    assert sql.scalar(spark, "SELECT :a + 1", int, a=2) == 3
+    for bad in ("SELECT 1, 2", "SELECT id FROM range(2)", "SELECT id FROM range(0)"):
+        with pytest.raises(ValueError):
+            sql.scalar(spark, bad)
+
+
+def test_grid_tasks(spark, tmp_path):
+    from tessera.sources import tasks
+
+    (tmp_path / "t1.json").write_text('{"train": [{"input": [[1, 2]], "output": [[3]]}, {"input": [[0]], "output": [[9]]}],\n "test": [{"input": [[5]], "output": [[6]]}]}')
+    rows = tasks.grid_tasks(spark, str(tmp_path))
+    assert sorted((r.task, r.split, r.pos, r.input, r.output) for r in rows.collect()) == [("t1", "test", 0, [[5]], [[6]]), ("t1", "train", 0, [[1, 2]], [[3]]), ("t1", "train", 1, [[0]], [[9]])]
+    assert tasks.task_context(rows).first().tokens == [11, 1, 2, 10, 12, 3, 10, 11, 0, 10, 12, 9, 10, 13]
+
+
+def test_augmentation_and_steadiness(spark):
+    from tessera.operators import datasets
+
+    df = spark.createDataFrame([(i, [0, 0] + list(range(5, 25))) for i in range(200)] + [(999, [0, 0])], "k long, seq array<int>")
+    out = datasets.augmented(df, "k", "seq", 1.5, 1).collect()
+    copies = [r for r in out if r._copy]
+    assert len(out) - len(copies) == 201 and 260 <= len(copies) <= 340 and all(r.k != 999 for r in copies)
+    assert all(r.seq[:2] == [0, 0] and sum(x == 1 for x in r.seq) <= 16 for r in copies) and any(1 in r.seq for r in copies)
+    assert sorted(map(str, out)) == sorted(map(str, datasets.augmented(df, "k", "seq", 1.5, 1).collect()))
+    assert datasets.steps_without(np.array([9, 8, 7, 1, 2, 3, 4, 5.0])) >= 5 and datasets.steps_without(np.array([5, 4, 3, 2, 1.0])) == 0
+    assert datasets.steps_without(np.array([5, 4, 3, 2, 1.0]), falling=False) == 5
+
+
+def test_approximate_neighbours_recall(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 8))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = rows.filter("vec_id % 50 = 0")
+    exact = {(r.src, r.dst) for r in graphs.nearest(queries, rows, 5).collect()}
+    close = {(r.src, r.dst) for r in graphs.nearest_by_code(queries, rows, 5).collect()}
+    assert len(exact) == 40 and len(exact & close) >= 30
+    assert graphs.nearest(queries, rows, 5, block=3).count() == 40
