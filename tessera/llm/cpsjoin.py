@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 
 from tessera.llm import blocks
 from tessera.llm.batches import small
-from tessera.llm.components import components
 from tessera.llm.embeddings import label
+from tessera.operators.components import components
 from tessera.plans.shared import materialize
 
 TOKENS, LEAF, BLOCK, SET_BLOCK, MAX_DEPTH, DENSE = 64, 128, 512, 192, 12, 0.8
@@ -239,7 +239,8 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, carry: l
     least = int(np.floor(TOKENS * threshold - MARGIN * np.sqrt(TOKENS * threshold * (1 - threshold))))
     edges = materialize(_candidates(blocks.deal(leaves, "node", "cid", "_c", BLOCK), least), "candidates")
     clusters = components(edges.select("id", "other"))
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("_c"))
+    clusters = materialize(clusters, "clusters")
+    sizes = materialize(clusters.groupBy("root").agg(F.count("*").alias("_c")), "sizes")
     members = clusters.join(sizes, "root").withColumnRenamed("node", "cid").join(classes.select("cid", "m", F.col(f"head.{_RID}").alias(_RID)), "cid")
     texts = _sets(members.join(rows.select(_RID, "text"), _RID))
     found = materialize(_exact(blocks.deal(texts, "root", "cid", "_c", SET_BLOCK), threshold), "links")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import blocks
-from tessera.llm.components import components
+from tessera.operators.components import components
 from tessera.plans.shared import materialize
 
 BUCKET, BLOCK, SEED = 256, 512, 20_24
@@ -102,7 +102,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     classes = materialize(rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("m"), F.first("v").alias("v"), F.min("vec_id").alias("least")), "classes")
     bits, tables = plan(classes.count(), threshold, recall)
     hashed = _hash(classes.select("cid", "m", "v"), bits, tables)
-    sizes = hashed.groupBy("key").agg(F.count("*").alias("_c")).filter("_c > 1")
+    sizes = materialize(hashed.groupBy("key").agg(F.count("*").alias("_c")).filter("_c > 1"), "buckets")
     found = materialize(_links(blocks.deal(hashed.join(sizes, "key"), "key", "id", "_c", BLOCK), kind, tables, threshold), "links")
     links = found.filter("other IS NULL").groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.filter("other IS NOT NULL"))
@@ -110,11 +110,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
 
 
 def label(rows: DataFrame, classes: DataFrame, links: DataFrame, roots: DataFrame, own: str = "vec_id") -> DataFrame:
-    """rows (with cid) and n_links and component_id; classes has cid, m and least, links id and n, roots node and root."""
+    """rows (with cid) and n_links and component_id; classes has cid, m and least, links id and n, roots node and root.
+
+    Small sides that an aggregation makes are written first, so that AQE can split a hot key of the large side.
+    """
     about = classes.select("cid", "m", "least").join(links.withColumnRenamed("id", "cid"), "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     about = about.withColumn("root", F.coalesce("root", "cid"))
     about = materialize(about, "about")
-    least = about.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = materialize(about.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     per_class = about.join(least, "root").select("cid", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     joined = rows.join(per_class, "cid", "left")
     return joined.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")).withColumn("component_id", F.coalesce("component_id", own))

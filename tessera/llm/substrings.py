@@ -175,6 +175,7 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     heads = rows.filter("NOT later").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     windows = materialize(_window_rows(docs.join(heads.hint("shuffle_hash"), ["doc_id", "key"]).select("doc_id", "key", "text", "runs"), length), "windows")
     firsts = windows.groupBy("wh").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").select("wh", "first_id")
+    firsts = materialize(firsts, "firsts")  # a written side lets AQE split a hot window of the other
     single = windows.join(firsts, "wh").filter("doc_id > first_id").select("doc_id", "key", "start", F.lit(1).alias("n"))
     covered = rows.filter("later").select("doc_id", "key", "start", "n").unionByName(single)
     return covered.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))).alias("spans"))

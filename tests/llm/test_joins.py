@@ -1,7 +1,8 @@
 import collections
 
 import numpy as np
-from tessera.llm import blocks, components, cpsjoin, embeddings, substrings
+from tessera.llm import blocks, cpsjoin, embeddings, substrings
+from tessera.operators import components
 
 from tests.llm import cases
 
