@@ -45,6 +45,8 @@ HINTS = frozenset(
     "sidebar sidebars rail widget widgets related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond login search "
     "form pager pagination copyright disclaimer complementary contentinfo skip".split()
 )
+#: Words before "header" that make it the article's own.
+OWN = frozenset("article entry post story content title".split())
 HELD = frozenset("html body main article".split())  # never outside by a name
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {
@@ -77,7 +79,10 @@ def named(names: str) -> bool:
     """Whether a class, id or role names a part that is not the article."""
     for name in names.split():
         parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+", name)
-        if parts and parts[0].lower() not in ("has", "with", "no", "without") and any(p.lower() in HINTS for p in parts):
+        found = {p.lower() for p in parts} & HINTS
+        if found == {"header"} and {p.lower() for p in parts} & OWN:
+            continue
+        if found and parts[0].lower() not in ("has", "with", "no", "without"):
             return True
     return False
 

@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.batches import small
@@ -176,4 +177,5 @@ def keep(docs: DataFrame) -> DataFrame:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts of every document."""
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")).drop("lang", "text")
+    judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")).drop("lang", "text")
+    return judged.withColumns({c: F.round(c, 6) for c in ("js_classes", "js_words")})

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import counts, cpsjoin, embeddings, html, mixing, packing, quality, records, secrets, substrings
+from tessera.llm import counts, cpsjoin, embeddings, html, mixing, oracles, packing, quality, records, secrets, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_seed_extend": substrings.ORACLE, "op9_source_mix": mixing.ORACLE}
+    return {
+        "op1_quality_divergence": oracles.quality(),
+        "op3_chosen_path_join": oracles.SHINGLE_LINKS,
+        "op5_sign_hash_dedup": oracles.COSINE_LINKS,
+        "op6_seed_extend": substrings.ORACLE,
+        "op9_source_mix": mixing.ORACLE,
+    }

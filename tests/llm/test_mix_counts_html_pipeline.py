@@ -1,7 +1,12 @@
+import collections
+import hashlib
+import math
 import random
+import re
 
 import corpus_pipeline
-from tessera.llm import counts, html, mixing, quality
+import numpy as np
+from tessera.llm import counts, html, mixing, quality, tokens
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tests.llm import cases
@@ -98,3 +103,139 @@ def test_pipeline_stages_against_brute_force(spark):
     assert {str(r.doc_id) for r in packed} == {str(r.doc_id) for r in fourth}
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, cases.empty(spark), "").count() == 0, name
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def brute_kept(text, lang):
+    """The quality verdict from its definition."""
+    ws = words_of(text)
+    windows = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
+    times = collections.Counter(windows)
+    again = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(3)}
+    if len(ws) < 50 or 100 * len(again) > 50 * len(ws):
+        return False
+
+    def distance(p, q):
+        total = 0.0
+        for a, b in zip(p, q, strict=True):
+            m = (a + b) / 2
+            total += (a * math.log2(a / m) if a else 0) + (b * math.log2(b / m) if b else 0)
+        return math.sqrt(max(0.0, total / 2))
+
+    def kind(c):
+        if c in quality.SENTENCE:
+            return "sentence"
+        if c in quality.SYMBOLS:
+            return "symbol"
+        return "capital" if c.isupper() or c.istitle() else "letter" if c.isalpha() else "digit" if c.isnumeric() else "space" if c.isspace() else "other"
+
+    chars = collections.Counter(map(kind, text))
+    total = sum(quality.CLASS_SHARES)
+    if len(text) >= 200 and distance([chars[k] / len(text) for k in quality.CLASSES], [x / total for x in quality.CLASS_SHARES]) > quality.MAX_CLASS_DISTANCE:
+        return False
+    if len(ws) >= 150 and (lang is None or lang in quality.COMMON):
+        plain = collections.Counter(w.strip(".,;:!?'\"()[]").lower() for w in ws if len(w.encode()) < 12)
+        found = []
+        for line in quality.COMMON.values():
+            share = [0.06 / (j + 1) ** 0.85 for j in range(len(line.split()))]
+            p = [plain[w] / len(ws) for w in line.split()]
+            found.append(distance([*p, 1 - sum(p)], [*share, 1 - sum(share)]))
+        return min(found) <= quality.MAX_COMMON_DISTANCE
+    return True
+
+
+def brute_mix(rows):
+    """[(row, copies)] by a straight queue; rows are (doc_id, text, source)."""
+    size = [len(words_of(r[1])) for r in rows]
+    order = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in order}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, capped = 1.5 * sum(size), {s: 0.0 for s in order if not total[s]}
+    while True:
+        open_ = [s for s in order if s not in capped]
+        level = left / sum(weight[s] for s in open_) if open_ else 0
+        over = [s for s in open_ if level * weight[s] > 2 * total[s]]
+        if not over:
+            break
+        for s in over:
+            capped[s] = 2.0 * total[s]
+            left -= capped[s]
+    target = {s: capped.get(s, level * weight[s]) for s in order}
+    queue = []
+    for rank, s in enumerate(order):
+        own = [i for i, r in enumerate(rows) if r[2] == s]
+        own.sort(key=lambda i: (int(hashlib.md5(f"mix:{'null' if rows[i][0] is None else rows[i][0]}".encode()).hexdigest()[:15], 16), rows[i][0] is not None, rows[i][0] or 0, size[i]))
+        for copy in range(2):
+            upto = 0
+            for i in own:
+                upto += size[i]
+                if size[i] and target[s]:
+                    queue.append(((copy * total[s] + upto) / target[s], rank, i))
+    taken, budget = collections.Counter(), 1.5 * sum(size)
+    for _, _, i in sorted(queue):
+        if size[i] > budget:
+            break
+        budget -= size[i]
+        taken[i] += 1
+    return taken
+
+
+def test_whole_pipeline_against_brute_force(spark, tmp_path):
+    from tests.llm.test_joins import brute_links, closure, near_docs, shingles
+    from tests.llm.test_quality_secrets import plain_spans
+
+    rng = random.Random(7)
+    rows = [(i, t + (" password=hunter2hunter2 " if i % 5 == 0 else ""), rng.choice(["en", None, "xx"]), rng.choice(["a", "b", "b", "b", None])) for i, t in near_docs()]
+    rows += [(1000 + k, cases.prose(300 + k, 120).replace(" ", "### "), "en", "a") for k in range(5)]
+    rows += [(2000, "", "en", "a"), (2001, None, "en", "b"), (2002, "short", None, None), (2003, cases.prose(400, 9000), "en", "c")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], schema).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "in")).collect()
+
+    kept = [r for r in rows if brute_kept(r[1], r[2])]
+    sets = [shingles(r[1]) for r in kept]
+    root = closure(len(kept), brute_links(sets))
+    kept = [r for i, r in enumerate(kept) if root[i] == i]
+    clean = []
+    for r in kept:
+        text, spans = r[1], []
+        for _, a, b in plain_spans(text):
+            if spans and a < spans[-1][1]:
+                spans[-1][1] = max(b, spans[-1][1])
+            else:
+                spans.append([a, b])
+        for a, b in reversed(spans):
+            text = text[:a] + "[secret]" + text[b:]
+        clean.append((r[0], text, r[3]))
+    taken = brute_mix(clean)
+    enc = tokens.encoder(tokens.default_path())
+    want, made = collections.Counter(), collections.Counter()
+    for i, n in taken.items():
+        want[(clean[i][0], tuple(enc.tokenizer.encode(clean[i][1], add_special_tokens=False).ids + [0]))] += n
+    assert len(want) > 20 and max(taken.values()) == 2
+    pieces = collections.defaultdict(list)
+    fill = collections.defaultdict(list)
+    for r in got:
+        ids = np.frombuffer(r.ids, enc.dtype)
+        assert len(ids) == r.length
+        pieces[(r.doc_id, r.piece)].append((r.start, tuple(ids.tolist())))
+        fill[r.sequence_id].append((r.offset, r.length))
+    for doc_id in {d for d, _ in pieces}:
+        parts = [pieces[(doc_id, k)] for k in range(sum(d == doc_id for d, _ in pieces))]
+        assert len({len(p) for p in parts}) == 1 and all(len(set(p)) == 1 for p in parts)
+        whole = ()
+        for p in parts:
+            assert p[0][0] == len(whole)
+            whole += p[0][1]
+        made[(doc_id, whole)] += len(parts[0])
+    assert made == want
+    for parts in fill.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
