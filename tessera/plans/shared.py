@@ -27,8 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path for one written table or set of files."""
-    return f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
+    """A new path for one written table or set of files, below a folder of this application."""
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application has written there; results that still read it must be stored first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -296,3 +296,13 @@ def test_approximate_neighbours_recall(spark):
     close = {(r.src, r.dst) for r in graphs.nearest_by_code(queries, rows, 5).collect()}
     assert len(exact) == 40 and len(exact & close) >= 30
     assert graphs.nearest(queries, rows, 5, block=3).count() == 40
+
+
+def test_scratch_tables_are_released(spark):
+    from tessera.plans import shared
+
+    df = shared.materialize(spark.range(5), "kept")
+    assert df.count() == 5 and df.inputFiles()
+    shared.release(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0]).count()
