@@ -123,28 +123,64 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.try_divide(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b))), F.lit(1.0))
 
 
-#: The public chat markup of each family.
+#: The public chat markup of each family: system block, system block without a prompt, user turn, assistant header, end of an answer.
 TEMPLATES = {
-    "chatml": ("<|im_start|>system\n{}<|im_end|>\n", "<|im_start|>user\n{}<|im_end|>\n", "<|im_start|>assistant\n{}<|im_end|>\n", "You are a helpful assistant."),
-    "zephyr": ("<|system|>\n{}</s>\n", "<|user|>\n{}</s>\n", "<|assistant|>\n{}</s>\n", ""),
-    "guanaco": ("{}\n\n", "### Human: {}\n", "### Assistant: {}\n", None),
-}
+    "raw": ("", "", "{}", "", ""),
+    "zephyr": ("<|system|>\n{}</s>\n", "<|system|>\n</s>\n", "<|user|>\n{}</s>\n", "<|assistant|>\n", "</s>"),
+    "chatml": ("<|im_start|>system\n{}<|im_end|>\n", "<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n", "<|im_start|>user\n{}<|im_end|>\n", "<|im_start|>assistant\n", "<|im_end|>"),
+    "guanaco": ("{}\n\n", "", "### Human: {}\n", "### Assistant:", "</s>"),
+    "granite": (
+        "<|start_of_role|>system<|end_of_role|>{}<|end_of_text|>\n", "", "<|start_of_role|>user<|end_of_role|>{}<|end_of_text|>\n", "<|start_of_role|>assistant<|end_of_role|>", "<|end_of_text|>",
+    ),
+}
+
+
+def _filled(form: str, value: Column) -> Column:
+    head, _, tail = form.partition("{}")
+    return F.concat(F.lit(head), value, F.lit(tail)) if "{}" in form else F.lit(form)
+
+
+def system_prefix(kind: str, prompt: Column) -> Column:
+    """The block that opens a conversation; families differ on an empty prompt."""
+    system, without, *_ = TEMPLATES[kind]
+    return F.when(F.coalesce(prompt, F.lit("")) == "", F.lit(without)).otherwise(_filled(system, prompt))
+
+
+def first_turn(kind: str, prompt: Column, user: Column) -> Column:
+    """System block, first user text and assistant header."""
+    return user if kind == "raw" else F.concat(system_prefix(kind, prompt), _filled(TEMPLATES[kind][2], user), F.lit(TEMPLATES[kind][3]))
+
+
+def next_turn(kind: str, user: Column) -> Column:
+    """A later user text and assistant header, after the line end that follows an answer."""
+    return user if kind == "raw" else F.concat(F.lit("\n"), _filled(TEMPLATES[kind][2], user), F.lit(TEMPLATES[kind][3]))
+
+
+def clean_answer(kind: str, text: Column) -> Column:
+    """An answer without reasoning spans (chatml) or a leaked next section (guanaco), trimmed; other families stay as they are."""
+    if kind not in ("chatml", "guanaco"):
+        return text
+    cut = F.regexp_replace(text, "(?s)<think>.*?(</think>|$)", "") if kind == "chatml" else F.regexp_replace(text, "(?s)###.*", "")
+    return F.regexp_replace(cut, "^[ \t\r\n]+|[ \t\r\n]+$", "")
 
 
 def rendered(turns: DataFrame, kind: str, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """(key, text, n_turns): a conversation's turns in order in one family's markup; families with a system block open with theirs."""
-    system, user, assistant, default = TEMPLATES[kind]
+    """(key, text, n_turns): a conversation in one family's markup; answers close with the family's end, later user turns open a line.
+
+    The first system text is the prompt. raw joins the texts as they are.
+    """
+    _, _, user, header, end = TEMPLATES[kind]
+    listed = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "role", F.coalesce("text", F.lit("")).alias("t")))).alias("_all"))
+    prompt = F.try_element_at(F.filter("_all", lambda x: x["role"] == "system"), F.lit(1))["t"]
+    split_ = listed.withColumn("_prompt", prompt).withColumn("_turns", F.filter("_all", lambda x: x["role"] != "system"))
+    lead = "" if kind == "raw" else "\n"
 
-    def fill(form: str, value: Column) -> Column:
-        head, tail = form.split("{}")
-        return F.concat(F.lit(head), value, F.lit(tail))
+    def one(x: Column, i: Column) -> Column:
+        asked = F.concat(F.when(i > 0, F.lit(lead)).otherwise(F.lit("")), _filled(user, x["t"]))
+        return F.when(x["role"] == "user", asked).otherwise(F.concat(F.lit(header), x["t"], F.lit(end)))
 
-    text = F.coalesce("text", F.lit(""))
-    turn = F.when(F.col("role") == "user", fill(user, text)).when(F.col("role") == "assistant", fill(assistant, text)).otherwise(fill(system, text))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "role", turn.alias("t")))), lambda s: s["t"]), "")
-    has = F.max(F.when(F.col("role") == "system", 1).otherwise(0))
-    lead = F.lit("") if default is None else F.when(has == 1, "").otherwise(fill(system, F.lit(default)))
-    return turns.groupBy(key).agg(F.concat(lead, joined).alias("text"), F.count("*").alias("n_turns"))
+    text = F.concat(F.lit("") if kind == "raw" else system_prefix(kind, F.col("_prompt")), F.array_join(F.transform("_turns", one), ""))
+    return split_.select(key, text.alias("text"), F.size("_all").cast("long").alias("n_turns"))
 
 
 def dialogue_pairs(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -196,6 +232,9 @@ QUERIES = {
     "chat_chatml": lambda s, d: _chat(s, d, "chatml"),
     "chat_zephyr": lambda s, d: _chat(s, d, "zephyr"),
     "chat_guanaco": lambda s, d: _chat(s, d, "guanaco"),
+    "chat_granite": lambda s, d: _chat(s, d, "granite"),
+    "chat_raw": lambda s, d: _chat(s, d, "raw"),
+    "clean_answer": lambda s, d: _docs(s, d).select("doc_id", F.sha1(clean_answer("guanaco", F.concat(F.lit("  "), F.col("text"), F.lit("\n###Human: x"))).cast("binary")).alias("digest")),
     "dialogue_pairs": lambda s, d: _pairs(s, d),
 }
 
@@ -225,16 +264,18 @@ SELECT k, array_to_string(list_transform(range(48), lambda t: CASE WHEN t < n TH
 
 
 def _chat_sql(kind: str) -> str:
-    system, user, assistant, default = (None if x is None else x.replace("\n", "' || chr(10) || '") for x in TEMPLATES[kind])
+    system, without, user, header, end = ("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in TEMPLATES[kind])
 
     def fill(form: str, value: str) -> str:
-        head, tail = form.split("{}")
-        return f"'{head}' || {value} || '{tail}'"
+        return form.replace("{}", f"' || {value} || '")
 
-    lead = "''" if default is None else "CASE WHEN max((role = 'system')::INT) = 1 THEN '' ELSE " + fill(system, f"'{default}'") + " END"
-    t = "coalesce(text, '')"
-    turn = f"CASE role WHEN 'user' THEN {fill(user, t)} WHEN 'assistant' THEN {fill(assistant, t)} ELSE {fill(system, t)} END"
-    return f"SELECT conv_id, sha1({lead} || string_agg({turn}, '' ORDER BY turn, role)) AS digest, count(*) AS n_turns FROM conversations GROUP BY 1"
+    lead = "''" if kind == "raw" else "chr(10)"
+    turn = f"CASE role WHEN 'user' THEN CASE WHEN i > 1 THEN {lead} ELSE '' END || {fill(user, 't')} ELSE {header} || t || {end} END"
+    head = "''" if kind == "raw" else f"CASE WHEN coalesce(p, '') = '' THEN {without} ELSE {fill(system, 'p')} END"
+    return f"""WITH a AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations), s AS (SELECT conv_id, arg_min(t, turn) AS p FROM a WHERE role = 'system' GROUP BY 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, t) AS i FROM a WHERE role <> 'system'), j AS (SELECT conv_id, string_agg({turn}, '' ORDER BY i) AS x FROM o GROUP BY 1),
+n AS (SELECT conv_id, count(*) AS n_turns FROM a GROUP BY 1)
+SELECT conv_id, sha1({head} || coalesce(x, '')) AS digest, n_turns FROM n LEFT JOIN s USING (conv_id) LEFT JOIN j USING (conv_id)"""
 
 
 ORACLES = {
@@ -256,5 +297,8 @@ SELECT conv_id, turn, round(coalesce(({_NGRAM}) / nullif(top, 0), 0), 6) AS scor
     "chat_chatml": _chat_sql("chatml"),
     "chat_zephyr": _chat_sql("zephyr"),
     "chat_guanaco": _chat_sql("guanaco"),
+    "chat_granite": _chat_sql("granite"),
+    "chat_raw": _chat_sql("raw"),
+    "clean_answer": "SELECT doc_id, sha1(trim(split_part('  ' || text || chr(10) || '###Human: x', '###', 1), ' ' || chr(9) || chr(10) || chr(13))) AS digest FROM documents",
     "dialogue_pairs": f"WITH {_PAIRS} SELECT * FROM q",
 }

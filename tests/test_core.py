@@ -306,3 +306,16 @@ def test_scratch_tables_are_released(spark):
     shared.release(spark)
     with pytest.raises(Exception):
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_chat_markup(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "user", "more"), (2, 0, "system", "Be kind."), (2, 1, "user", "q")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.text for r in sequences.rendered(turns, "chatml").collect()}
+    assert got[1] == "<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n"
+    assert got[2] == "<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>user\nq<|im_end|>\n"
+    assert {r.conv_id: r.text for r in sequences.rendered(turns, "guanaco").collect()} == {1: "### Human: hi\n### Assistant:yo</s>\n### Human: more\n", 2: "Be kind.\n\n### Human: q\n"}
+    one = spark.createDataFrame([("", "u", "a<think>x</think> b <think>open"), ("s", "v", " y ### Human: z")], "s string, u string, a string")
+    assert [r[0] for r in one.select(sequences.first_turn("zephyr", F.col("s"), F.col("u"))).collect()][0] == "<|system|>\n</s>\n<|user|>\nu</s>\n<|assistant|>\n"
+    assert [r[0] for r in one.select(sequences.next_turn("granite", F.col("u"))).collect()][1] == "\n<|start_of_role|>user<|end_of_role|>v<|end_of_text|>\n<|start_of_role|>assistant<|end_of_role|>"
+    assert [r[0] for r in one.select(sequences.clean_answer("chatml", F.col("a"))).collect()][0] == "a b"
+    assert [r[0] for r in one.select(sequences.clean_answer("guanaco", F.col("a"))).collect()][1] == "y"
