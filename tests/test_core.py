@@ -319,3 +319,35 @@ def test_chat_markup(spark):
     assert [r[0] for r in one.select(sequences.next_turn("granite", F.col("u"))).collect()][1] == "\n<|start_of_role|>user<|end_of_role|>v<|end_of_text|>\n<|start_of_role|>assistant<|end_of_role|>"
     assert [r[0] for r in one.select(sequences.clean_answer("chatml", F.col("a"))).collect()][0] == "a b"
     assert [r[0] for r in one.select(sequences.clean_answer("guanaco", F.col("a"))).collect()][1] == "y"
+
+
+def test_spectra_and_windows(spark):
+    from tessera.functions import signals
+
+    assert np.allclose(signals.window("hann", 8), np.hanning(8)) and np.allclose(signals.window("blackman", 9), np.blackman(9))
+    t = np.arange(256)
+    wave = np.cos(2 * np.pi * 8 * t / 64)
+    df = spark.createDataFrame([(1, [float(v) for v in wave]), (2, []), (3, None), (4, [1.0] * 10)], "k long, v array<double>")
+    got = signals.spectra(df, "k", "v", 64, 32).collect()
+    assert len(got) == 7 and all(r.k == 1 and int(np.argmax(r.power)) == 8 for r in got)
+
+
+def test_tensor_blocks():
+    from tessera.functions import signals
+
+    def half(x):
+        return np.array([x], "<f2").tobytes()
+
+    q = np.arange(16, dtype=np.uint8) | (15 - np.arange(16, dtype=np.uint8)) << 4
+    want = np.concatenate([np.arange(16), 15 - np.arange(16)]).astype(float)
+    assert signals.decode(half(0.5) + q.tobytes(), 2).tolist() == (0.5 * (want - 8)).tolist()
+    assert signals.decode(half(0.5) + half(1.0) + q.tobytes(), 3).tolist() == (0.5 * want + 1).tolist()
+    high = np.array([0xFFFF0000], "<u4").tobytes()
+    assert signals.decode(half(2.0) + high + q.tobytes(), 6).tolist() == (2 * (want + np.repeat([0, 16], 16) - 16)).tolist()
+    assert signals.decode(half(2.0) + half(-1.0) + high + q.tobytes(), 7).tolist() == (2 * (want + np.repeat([0, 16], 16)) - 1).tolist()
+    signed = np.arange(-16, 16, dtype=np.int8)
+    assert signals.decode(half(0.25) + signed.tobytes(), 8).tolist() == (0.25 * signed).tolist()
+    assert signals.decode(np.array([1.5, -2], "<f4").tobytes(), 0).tolist() == [1.5, -2] and signals.decode(half(3.0), 1).tolist() == [3.0]
+    assert signals.decode(np.array([0x3FC0], "<u2").tobytes(), 30).tolist() == [1.5]
+    with pytest.raises(ValueError):
+        signals.decode(b"", 99)
