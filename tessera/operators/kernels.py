@@ -100,6 +100,59 @@ def viterbi(emit: np.ndarray, move: np.ndarray) -> list[int]:
     return out[::-1]
 
 
+def min_cut(n: int, edges: list[tuple[int, int, float]], source: int, sink: int) -> tuple[float, set[int]]:
+    """Value of the largest flow and the nodes on the source's side of a smallest cut, by shortest augmenting paths."""
+    left: list[dict[int, float]] = [{} for _ in range(n)]
+    for a, b, c in edges:
+        left[a][b] = left[a].get(b, 0.0) + c
+        left[b].setdefault(a, 0.0)
+    total = 0.0
+    while True:
+        came, queue = {source: source}, [source]
+        for a in queue:
+            for b, c in left[a].items():
+                if c > 1e-12 and b not in came:
+                    came[b] = a
+                    queue.append(b)
+        if sink not in came:
+            return total, set(came)
+        path, b = [], sink
+        while b != source:
+            path.append((came[b], b))
+            b = came[b]
+        flow = min(left[a][b] for a, b in path)
+        for a, b in path:
+            left[a][b] -= flow
+            left[b][a] += flow
+        total += flow
+
+
+def binary_labels(node: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
+    """The 0/1 labelling that maximises the scores of nodes labelled 1 less a penalty for every edge whose ends differ; penalties are not negative."""
+    n = len(node)
+    links = [(n, i, float(s)) for i, s in enumerate(node) if s > 0] + [(i, n + 1, float(-s)) for i, s in enumerate(node) if s < 0]
+    links += [x for a, b, w in edges for x in ((a, b, float(w)), (b, a, float(w)))]
+    _, side = min_cut(n + 2, links, n, n + 1)
+    return np.array([int(i in side) for i in range(n)])
+
+
+def best_parse(words: int, lexical: np.ndarray, rules: list[tuple[int, int, int, float]], root: int) -> tuple[float, tuple] | None:
+    """Score and tree of the best parse: lexical[i, tag] scores single words, rules (whole, left, right, score) join spans; None if none reaches the root."""
+    best: dict[tuple[int, int, int], tuple[float, tuple]] = {}
+    for i in range(words):
+        for t in np.flatnonzero(np.isfinite(lexical[i])).tolist():
+            best[(i, i + 1, t)] = (float(lexical[i, t]), (t, i))
+    for width in range(2, words + 1):
+        for a in range(words - width + 1):
+            b = a + width
+            for m in range(a + 1, b):
+                for whole, l, r, s in rules:
+                    x, y = best.get((a, m, l)), best.get((m, b, r))
+                    if x and y and (total := x[0] + y[0] + s) > best.get((a, b, whole), (-np.inf,))[0]:
+                        best[(a, b, whole)] = (total, (whole, x[1], y[1]))
+    return best.get((0, words, root))
+
+
 def number_ranges(values: np.ndarray, width: float) -> list[tuple[float, float]]:
     """Ranges no wider than width that cover all values: a sweep from below against merging across the smallest gaps; the fewer, ties to merging."""
     x = np.unique(values)

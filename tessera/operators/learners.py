@@ -60,6 +60,25 @@ def discriminants(df: DataFrame, features: list[str], label: str, dims: int) ->
     return vectors.real[:, order].T
 
 
+def canonical(df: DataFrame, left: list[str], right: list[str], k: int, ridge_: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left directions, right directions, correlations) of the k pairs of projections that agree most; one aggregation of covariances."""
+    cols = [*left, *right]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    row = df.dropna(subset=cols).agg(*[F.covar_samp(F.col(cols[i]), F.col(cols[j])).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    c = np.zeros((len(cols), len(cols)))
+    for i, j in pairs:
+        c[i, j] = c[j, i] = row[f"c{i}_{j}"]
+    n = len(left)
+
+    def whitening(m: np.ndarray) -> np.ndarray:
+        values, vectors = np.linalg.eigh(m + ridge_ * np.eye(len(m)))
+        return vectors / np.sqrt(np.maximum(values, 1e-12))
+
+    wl, wr = whitening(c[:n, :n]), whitening(c[n:, n:])
+    u, s, vt = np.linalg.svd(wl.T @ c[:n, n:] @ wr)
+    return (wl @ u)[:, :k].T, (wr @ vt.T)[:, :k].T, s[:k]
+
+
 def folds(df: DataFrame, key: str, k: int) -> DataFrame:
     """A fold for each row by its key's hash: stable, no ordering."""
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(k)))

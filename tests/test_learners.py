@@ -83,3 +83,43 @@ def test_isotonic_and_platt(spark):
     hit = rng.random(3000) < 1 / (1 + np.exp(-(2 * s + 0.5)))
     a, b = learners.platt(spark.createDataFrame([(float(v), bool(h)) for v, h in zip(s, hit, strict=True)], "s double, h boolean"), "s", "h")
     assert abs(a + 2) < 0.25 and abs(b + 0.5) < 0.2
+
+
+def test_cut_labels_and_parse_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(30):
+        n = rng.randint(2, 6)
+        edges = [(rng.randrange(n), rng.randrange(n), rng.randint(0, 5)) for _ in range(8)]
+        value, side = kernels.min_cut(n, edges, 0, n - 1)
+        cuts = [{0, *c} for r in range(n - 1) for c in itertools.combinations(range(1, n - 1), r)]
+        best = min(sum(w for a, b, w in edges if a in c and b not in c) for c in cuts)
+        assert value == best and sum(w for a, b, w in edges if a in side and b not in side) == best
+        node = np.array([rng.randint(-4, 4) for _ in range(n)])
+
+        def score(y, node=node, edges=edges):
+            return sum(node[i] * y[i] for i in range(len(node))) - sum(w for a, b, w in edges if y[a] != y[b])
+
+        assert score(kernels.binary_labels(node, edges)) == max(score(y) for y in itertools.product((0, 1), repeat=n))
+    lexical = np.array([[0.0, -np.inf], [0.0, -1.0], [-1.0, 0.0]])
+    assert kernels.best_parse(3, lexical, [(0, 0, 1, 1.0), (1, 0, 1, 0.5)], 0) == (1.5, (0, (0, 0), (1, (0, 1), (1, 2))))
+    assert kernels.best_parse(2, lexical, [], 0) is None
+
+
+def test_canonical_correlation(spark):
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(500, 1))
+    x, y = np.hstack([z + 0.1 * rng.normal(size=(500, 1)), rng.normal(size=(500, 1))]), np.hstack([rng.normal(size=(500, 1)), -z + 0.1 * rng.normal(size=(500, 1))])
+    df = spark.createDataFrame([tuple(map(float, (*a, *b))) for a, b in zip(x, y, strict=True)], "a double, b double, c double, d double")
+    left, right, s = learners.canonical(df, ["a", "b"], ["c", "d"], 2)
+    assert s[0] > 0.97 and s[1] < 0.2 and abs(np.corrcoef(x @ left[0], y @ right[0])[0, 1] - s[0]) < 1e-6
+
+
+def test_factors_against_enumeration(spark):
+    from tessera.operators import factors
+
+    rows = [(a, b, c) for a in "xy" for b in "pq" for c in "mn" for _ in range({"xpm": 3, "xqn": 5, "ypm": 1}.get(a + b + c, 2))]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    joint = factors.normalized(df.groupBy("a", "b", "c").agg(F.count("*").cast("double").alias("p")))
+    got = {r.a: r.p for r in factors.query([joint], ["a"], c="m").collect()}
+    n = {a: sum(r[0] == a and r[2] == "m" for r in rows) for a in "xy"}
+    assert all(abs(got[a] - n[a] / sum(n.values())) < 1e-12 for a in "xy")
