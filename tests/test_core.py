@@ -20,7 +20,6 @@ from tessera.sources import corpora, files
 from tessera.streaming import stateful, windows
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"causal_windows", "nearest_neighbours"}
 
 
 def plain(rows, names):
