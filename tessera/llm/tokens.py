@@ -20,7 +20,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 DEFAULT = "byte_bpe_50k.json"
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 #: Code points whose class the installed Unicode tables and the tokenizer's give alike; tests compare every one.
 SAFE_RANGES = ((0x0, 0x557), (0x1E00, 0x206F), (0x20A0, 0xA7CA), (0xAC00, 0xD7A3))
 
