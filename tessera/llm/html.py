@@ -4,8 +4,8 @@ A page is scanned once into blocks, each with its root-to-leaf tag path. Text
 length and punctuation are summed a path and divided by its blocks; both ratios
 are smoothed over the page's block order, fused by product and compared with a
 threshold: a share of the largest. The content node is the deepest element that
-holds most text of the chosen paths, raised to an enclosing article or main; its
-blocks are the result, without those in subtrees that HTML or their names mark as
+holds most text of the chosen paths, raised to an enclosing article or main, or else
+past parents that add only headings and chosen paths; its blocks are the result, without those in subtrees that HTML or their names mark as
 menus, headers, footers, sidebars, notices, adverts, forms or comments.
 
 Edge cases: null or empty html gives an empty text; unclosed, stray and truncated
@@ -179,14 +179,21 @@ def extract(page: str | None) -> str:
     content = max((n for n in _lineage(inside) if n.weight >= MOST * total), key=lambda n: n.depth)
     while content.parent and content.tag in ("p", "li", "pre", "blockquote", "dd", "tr", *HEADINGS):
         content = content.parent
-    up = content
-    while up:
-        if up.tag in ("article", "main"):
-            content = up
-            if up.tag == "article":
-                break
-        up = up.parent
-    return "\n".join(t for n, t in inside if _below(n, content))
+    marked = [n for n in _ancestors(content) if n.tag in ("article", "main")]
+    if marked:
+        content = next((n for n in marked if n.tag == "article"), marked[-1])
+        return "\n".join(t for n, t in inside if _below(n, content))
+    # without such a mark: parents that add only headings and chosen paths, then headings right before
+    while content.parent and content.parent.tag not in ("", "html", "body"):
+        if not all(n.tag in HEADINGS or fused[n.path] >= least for n, _ in inside if _below(n, content.parent) and not _below(n, content)):
+            break
+        content = content.parent
+    taken = [_below(n, content) for n, _ in inside]
+    first = taken.index(True)
+    while first and inside[first - 1][0].tag in HEADINGS:
+        first -= 1
+        taken[first] = True
+    return "\n".join(t for (_, t), on in zip(inside, taken, strict=True) if on)
 
 
 def _lineage(inside: list[tuple[_Node, str]]) -> set[_Node]:
@@ -199,6 +206,12 @@ def _lineage(inside: list[tuple[_Node, str]]) -> set[_Node]:
     return out
 
 
+def _ancestors(node: _Node | None) -> Iterator[_Node]:
+    while node:
+        yield node
+        node = node.parent
+
+
 def _below(node: _Node | None, top: _Node) -> bool:
     while node and node.depth > top.depth:
         node = node.parent

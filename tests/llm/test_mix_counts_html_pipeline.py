@@ -239,3 +239,18 @@ def test_whole_pipeline_against_brute_force(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_page_layouts():
+    p = "The quick brown fox, having jumped over the dog, went home. It was late, and the moon was up."
+    unmarked = f"<body><table><tr><td><a>m1</a><br><a>m2</a></td><td><div><h2>T</h2><div><p>{p}</p><p>{p}</p></div><p>Last, words here. Done.</p></div></td></tr></table><div>small foot</div>"
+    assert html.extract(unmarked) == f"T\n{p}\n{p}\nLast, words here. Done."
+    by_names = (
+        f'<div id="header"><p>Best site, ever.</p></div><div class="nav"><ul><li><a>Home</a><li><a>News</a></ul></div><div id="content"><h1>My title</h1><p>By A. Writer, today.</p><p>{p * 3}</p><ul><li>First.</li><li>Second.</li></ul></div>'
+        f'<div id="sidebar"><p>{p * 2}</p></div><div id="comments"><div class="comment"><p>{p * 5}</p></div></div><div id="footer">Copyright, all rights.</div>'
+    )
+    assert html.extract(by_names) == f"My title\nBy A. Writer, today.\n{p * 3}\nFirst.\nSecond."
+    inside = f'<main><article class="post has-sidebar"><header class="entry-header"><h1>T</h1></header><p>{p}</p><div class="advertisement"><p>Buy, now.</p></div><table><tr><td>a</td><td>b</td></tr></table><form><label>Mail</label></form><pre>code  here</pre></article><section class="comments"><p>{p * 9}</p></section></main>'
+    assert html.extract(inside) == f"T\n{p}\na b\ncode here"
+    short = "<nav><a>Menu one</a></nav><article><h1>Hi</h1><p>Ok</p></article><footer>All rights, reserved. More, text here, longer than the article.</footer>"
+    assert html.extract(short) == "Hi\nOk"
