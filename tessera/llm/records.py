@@ -29,7 +29,7 @@ from tessera.llm.batches import small
 from tessera.llm.crc32c import crc32c_words, masked
 from tessera.plans.shared import scratch_path
 
-MANIFEST = "shard string, first_row long, n_docs long, n_ids long, n_bytes long"
+MANIFEST = "shard string, n_docs long, n_ids long, n_bytes long"
 READ = "doc_id long, start long, n_tokens long, ids binary"
 FLUSH_BYTES = 2 << 20
 _HEAD = np.dtype([("doc_id", "<i8"), ("flags", "<u4")])
@@ -117,7 +117,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, num_sha
                 f.write(b"".join(index))
             for kind in ("idx", "bin"):
                 fs.move(f"{temp}.{kind}", f"{root}/{shard}.{kind}")
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "first_row": [0], "n_docs": [n_docs], "n_ids": [n_ids], "n_bytes": [offset]}, schema=_manifest_schema())
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [n_docs], "n_ids": [n_ids], "n_bytes": [offset]}, schema=_manifest_schema())
 
     keys = (F.col("doc_id").asc_nulls_last(),)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -126,7 +126,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, num_sha
 
 
 def _manifest_schema() -> pa.Schema:
-    return pa.schema([("shard", pa.string()), ("first_row", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
+    return pa.schema([("shard", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
 
 
 def write_records(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, out: str | None = None, num_shards: int | None = None) -> tuple[str, list[tuple[str, int]]]:

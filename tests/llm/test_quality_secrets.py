@@ -9,8 +9,6 @@ from tessera.llm import quality, secrets
 
 from tests.llm import cases
 
-SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-
 
 def brute(text):
     ws = re.findall(r"[^\x20\x09-\x0D]+", text or "")
