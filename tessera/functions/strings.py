@@ -113,7 +113,7 @@ QUERIES = {
     "equal_ignore_case": lambda s, d: table(s, d, "orders").select("o_orderkey", equal_ignore_case(F.col("o_orderpriority"), F.lit("1-urgent")).alias("same"), equal_ignore_case(F.col("o_orderpriority"), F.lit("1-u"), 3).alias("prefix")),
     "identifier": lambda s, d: _part(s, d).select("p_partkey", identifier(F.concat_ws(" ", F.col("p_size").cast("string"), "p_name", "p_brand")).alias("name")),
     "byte_entropy": lambda s, d: table(s, d, "benchmark").select("item_id", F.round(entropy(F.col("text")), 6).alias("bits")),
-    "hash_functions": lambda s, d: _docs(s, d).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("m"), F.sha1(F.encode("text", "UTF-8")).alias("s"), F.sha2(F.encode("text", "UTF-8"), 256).alias("h"), F.base64(F.encode(F.substring("text", 1, 20), "UTF-8")).alias("b")),
+    "hash_functions": lambda s, d: _docs(s, d).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("m"), F.sha1(F.encode("text", "UTF-8")).alias("s"), F.sha2(F.encode("text", "UTF-8"), 256).alias("h"), F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "\r\n", "").alias("b")),
 }
 
 ORACLES = {

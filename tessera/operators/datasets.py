@@ -108,7 +108,7 @@ def steadiness(df: DataFrame, by: str, order: list[str], value: str) -> DataFram
 def _ids(s, d):
     from tessera.operators.sequences import ids
 
-    return table(s, d, "benchmark").select("item_id", F.slice(ids(F.col("text")), 1, 32).alias("seq"))
+    return table(s, d, "benchmark").select("item_id", ids(F.col("text")).alias("seq"))
 
 
 def _windows(s, d):

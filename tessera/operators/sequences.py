@@ -201,7 +201,7 @@ def _pairs(s, d):
 
 
 def _w(name: str) -> Column:
-    return F.slice(tokens(F.col(name)), 1, 40)
+    return tokens(F.col(name))
 
 
 _TOK = "list_filter(regexp_split_to_array(coalesce({}, ''), '[ \\t\\n\\r]+'), lambda w: w <> '')"
