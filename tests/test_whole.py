@@ -52,3 +52,16 @@ def test_hashes_and_augmentation_take_whole_texts(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{where}/documents.parquet").collect()}
     assert {r.doc_id: r.b for r in run(spark, "hash_functions", where)} == {k: base64.b64encode(t.encode()).decode() for k, t in texts.items()}
     assert [len(r.seq) for r in datasets._ids(spark, where).collect()] == [60]
+
+
+def test_sections_hold_the_rest_of_a_text(spark, tmp_path):
+    texts = {1: "x" * 80 + "rest " * 100 + "\n### Own heading\nbody of it\nand more", 2: "short", 3: "y" * 81}
+    spark.createDataFrame([(k, t, "en") for k, t in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, t in texts.items():
+        rest, *own = t[80:].split("\n### ")
+        parts = [("Summary", t[:80]), ("En", rest)] + [tuple(x.split("\n", 1)) for x in own]
+        want[k] = [(i, h, b.strip(" ")) for i, (h, b) in enumerate(parts, 1)]
+    got = run(spark, "split_sections", str(tmp_path))
+    assert {k: sorted((r.pos, r.heading, r.body) for r in got if r.doc_id == k) for k in texts} == want
+    assert {r.doc_id: r.text for r in run(spark, "rebuild_answer", str(tmp_path))} == {k: "\n\n".join(f"### {h}\n{b}" for _, h, b in v[1:]) for k, v in want.items()}
