@@ -65,3 +65,17 @@ def test_sections_hold_the_rest_of_a_text(spark, tmp_path):
     got = run(spark, "split_sections", str(tmp_path))
     assert {k: sorted((r.pos, r.heading, r.body) for r in got if r.doc_id == k) for k in texts} == want
     assert {r.doc_id: r.text for r in run(spark, "rebuild_answer", str(tmp_path))} == {k: "\n\n".join(f"### {h}\n{b}" for _, h, b in v[1:]) for k, v in want.items()}
+
+
+def test_matrices_take_all_suppliers(spark, tmp_path):
+    lines = [(i % 3 + 1, j, float(i * j % 7 + 1)) for i in range(9) for j in (1, 2, 39, 40, 55, 900)]
+    spark.createDataFrame(lines, "l_linenumber int, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(j, j / 2) for j in (1, 2, 39, 40, 55, 900)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    m = collections.defaultdict(float)
+    for i, j, v in lines:
+        m[i, j] += v
+    where, rows = str(tmp_path), range(1, 4)
+    suppliers = {j for _, j in m}
+    assert {r.i: r.v for r in run(spark, "matrix_vector", where)} == {i: sum(m[i, j] * j / 2 for j in suppliers) for i in rows}
+    assert {(r.i, r.j): r.v for r in run(spark, "matrix_product", where)} == {(a, b): sum(m[a, j] * m[b, j] for j in suppliers) for a in rows for b in rows}
+    assert run(spark, "matrix_trace", where)[0].trace == m[1, 1] + m[2, 2]
