@@ -2,9 +2,9 @@
 
 import base64
 import collections
+import itertools
 
 import pytest
-from pyspark.sql import functions as F
 from tessera import catalog
 from tessera.operators import datasets
 
@@ -79,3 +79,23 @@ def test_matrices_take_all_suppliers(spark, tmp_path):
     assert {r.i: r.v for r in run(spark, "matrix_vector", where)} == {i: sum(m[i, j] * j / 2 for j in suppliers) for i in rows}
     assert {(r.i, r.j): r.v for r in run(spark, "matrix_product", where)} == {(a, b): sum(m[a, j] * m[b, j] for j in suppliers) for a in rows for b in rows}
     assert run(spark, "matrix_trace", where)[0].trace == m[1, 1] + m[2, 2]
+
+
+def test_graphs_and_assignments_take_all_lines(spark, tmp_path):
+    lines = [(s, p, float(q)) for q, (s, p) in enumerate([(1, 10), (1, 11), (2, 11), (2, 12), (3, 20), (3, 21), (4, 21), (4, 22), (4, 20)], 1)]
+    where = str(tmp_path)
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{where}/lineitem.parquet")
+    spark.createDataFrame([(s, s % 2) for s in range(1, 5)], "s_suppkey long, s_nationkey long").write.parquet(f"{where}/supplier.parquet")
+    spark.createDataFrame([(p, p % 4 + 1, f"b{p % 3}") for _, p, _ in lines], "p_partkey long, p_size int, p_brand string").distinct().write.parquet(f"{where}/part.parquet")
+    assert {(r.node, r.root) for r in run(spark, "connected_components", where)} == {(p, 10) for p in (10, 11, 12)} | {(p, 20) for p in (20, 21, 22)}
+    assert {(r.root, r.n) for r in run(spark, "component_sizes", where)} == {(10, 3), (20, 3)}
+    edges = {(s, p + 1000000) for s, p, _ in lines}
+    wed = {(x, y) for s, x in edges for t, y in edges if s == t and x < y}
+    assert {(r.a, r.b) for r in run(spark, "moral_graph", where)} == edges | wed
+    scores, got = collections.defaultdict(lambda: collections.defaultdict(float)), collections.defaultdict(float)
+    for s, p, q in lines:
+        scores[p % 4 + 1][s % 2, f"b{p % 3}"] += q
+    for r in run(spark, "best_assignment", where):
+        got[r.g] += r.score
+    brands = [f"b{k}" for k in range(3)]
+    assert got == {g: max(sum(pairs.get((a, b), 0.0) for a, b in zip((0, 1), order)) for order in itertools.permutations(brands, 2)) for g, pairs in scores.items()} and 4 in got
