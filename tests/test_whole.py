@@ -3,10 +3,12 @@
 import base64
 import collections
 import itertools
+import os
 
+import numpy as np
 import pytest
 from tessera import catalog
-from tessera.operators import datasets
+from tessera.operators import datasets, graphs
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,3 +101,19 @@ def test_graphs_and_assignments_take_all_lines(spark, tmp_path):
         got[r.g] += r.score
     brands = [f"b{k}" for k in range(3)]
     assert got == {g: max(sum(pairs.get((a, b), 0.0) for a, b in zip((0, 1), order)) for order in itertools.permutations(brands, 2)) for g, pairs in scores.items()} and 4 in got
+
+
+def test_code_neighbours_reach_their_recall(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(8000, 64)) * rng.uniform(0.5, 2, 64))], "vec_id long, embedding array<double>")
+    queries = rows.filter("vec_id % 200 = 0")
+    exact = {(r.src, r.dst) for r in graphs.nearest(queries, rows, 5).collect()}
+    assert len(exact) == 200 and len(exact & {(r.src, r.dst) for r in graphs.nearest_by_code(queries, rows, 5).collect()}) >= 180
+
+
+def test_code_neighbours_of_the_whole_table(spark):
+    where = "/root/testdata/sf0.1"
+    if not os.path.isdir(where):
+        pytest.skip("no test tables")
+    exact, close = ({(r.src, r.dst) for r in run(spark, name, where)} for name in ("nearest_neighbours", "nearest_by_code"))
+    assert len(exact) == 200 and len(exact & close) >= 180
