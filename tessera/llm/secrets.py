@@ -32,15 +32,18 @@ KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
 LEAST = {"assign": 8, "access": 16}
 
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt])+)-----END \1-----")
 #: DER sequences begin with byte 0x30, M in base64; the OpenSSH magic with b3BlbnNzaC1rZXkt.
-B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{39,}={0,2}")
+B64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{39,}={0,2}")
+#: The next line of a wrapped run; line ends may be escaped, as in JSON and source.
+WRAP = re.compile(r"[ \t]*(?:\\+[nr]|[\r\n])+[ \t]*([A-Za-z0-9+/_-]+)")
+PAD = re.compile(r"={0,2}")
 HEXDER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
 SSH_MAGIC = b"openssh-key-v1\0"  # fixed by the public key format
 
 
 def _unbase64(text: str) -> bytes | None:
-    text = re.sub(r"\s+", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    text = re.sub(r"\s+|\\+[nrt]", "", text).rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -74,7 +77,7 @@ def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes | None) -> bool:
-    """A DER private key: RSA (version and 8 integers), EC (version 1 and octets) or the wrapped forms with an algorithm or encryption."""
+    """A DER private key: RSA (version and 8 integers), DSA (version 0 and 5 integers), EC (version 1 and octets) or the wrapped forms with an algorithm or encryption."""
     top = der_items(data) if data and data[0] == 0x30 else None
     if not top or len(top) != 1:
         return False
@@ -88,6 +91,8 @@ def is_der_key(data: bytes | None) -> bool:
         return (der_items(inner[1][1]) or [(0, b"")])[0][0] == 6
     if len(tags) >= 9 and set(tags[:9]) == {2} and inner[0][1] in (b"\0", b"\1"):
         return True
+    if tags == [2] * 6 and inner[0][1] == b"\0":
+        return True
     return tags == [0x30, 4] and (der_items(inner[0][1]) or [(0, b"")])[0][0] == 6 and len(inner[1][1]) >= 32
 
 
@@ -109,6 +114,40 @@ def is_ssh_key(data: bytes | None) -> bool:
     return at <= len(data)
 
 
+def key_kind(data: bytes | None) -> str | None:
+    return "ssh" if is_ssh_key(data) else "der" if is_der_key(data) else None
+
+
+def _der_size(head: bytes) -> int:
+    """Bytes of a DER value, by its first bytes; 0 if they begin none."""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    return 0 if k > 4 or head[1] == 0x80 else 2 + (int.from_bytes(head[2 : 2 + k], "big") + k if k else head[1])
+
+
+def wrapped_key(text: str, start: int, end: int) -> tuple[str, int] | None:
+    """(kind, end) of a base64 key whose first line is given: DER takes lines up to its own length, OpenSSH lines as wide as the first and a shorter one."""
+    if kind := key_kind(_unbase64(text[start:end])):
+        return kind, end
+    if text[end - 1] == "=":
+        return None
+    lines, width = [text[start:end]], end - start
+    ssh = lines[0].startswith("b3Blb")
+    need = 0 if ssh else -(-_der_size(_unbase64(lines[0][:12]) or b"") * 4 // 3)
+    got = width
+    while len(lines[-1]) == width if ssh else got < need:
+        m = WRAP.match(text, end)
+        if not m or ssh and len(m[1]) > width:
+            break
+        lines.append(m[1])
+        got, end = got + len(m[1]), m.end(1)
+    if not ssh and got != need:
+        return None
+    kind = key_kind(_unbase64("".join(lines)))
+    return (kind, PAD.match(text, end).end()) if kind else None
+
+
 def is_jwt(head: str, body: str) -> bool:
     """A JSON header that names an algorithm, over a JSON object or opaque body."""
     try:
@@ -131,20 +170,17 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if "eyJ" in text:
         found += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_jwt(m[1], m[2])]
-    in_pem: list[tuple[int, int]] = []
+    within: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = _unbase64(m[2])
-            kind = "ssh" if is_ssh_key(data) else "der" if is_der_key(data) else None
-            if kind:
+            if kind := key_kind(_unbase64(m[2])):
                 found.append((kind, m.start(), m.end()))
-                in_pem.append(m.span())
+                within.append(m.span())
     for m in B64.finditer(text):
-        if not any(a <= m.start() < b for a, b in in_pem):
-            data = _unbase64(m[0])
-            kind = "ssh" if is_ssh_key(data) else "der" if is_der_key(data) else None
-            if kind:
-                found.append((kind, m.start(), m.end()))
+        if not any(a <= m.start() < b for a, b in within):
+            if key := wrapped_key(text, *m.span()):
+                found.append((key[0], m.start(), key[1]))
+                within.append((m.start(), key[1]))
     for m in HEXDER.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             found.append(("der", m.start(), m.end()))

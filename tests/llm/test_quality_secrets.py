@@ -119,3 +119,28 @@ def test_query_form_and_redaction(spark):
     )
     assert secrets.redact_secrets(cases.documents(spark)).count() == len(cases.rows())
     assert hashlib.sha256(secrets.joined([("hex", 1, 40)]).encode()).hexdigest() == hashlib.sha256(b"hex:1:40").hexdigest()
+
+
+def test_keys_over_escaped_and_real_line_ends():
+    def lines(raw, end, width=64):
+        return end.join(raw[i : i + width] for i in range(0, len(raw), width))
+
+    def keys(text):
+        return [(k, text[a:b]) for k, a, b in secrets.scan(text) if k in ("der", "ssh")]
+
+    def string(x):
+        return len(x).to_bytes(4, "big") + x
+
+    dsa = der(*[integer(x) for x in (0, 1 << 1000, 1 << 159, 1 << 999, 1 << 998, 1 << 150)])
+    ssh = secrets.SSH_MAGIC + b"".join(map(string, (b"none", b"none", b""))) + (1).to_bytes(4, "big") + string(b"p" * 51) + string(b"s" * 136)
+    for data, kind in ((RSA, "der"), (dsa, "der"), (ssh, "ssh")):
+        raw = base64.b64encode(data).decode()
+        for end in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n", "\\\\n"):
+            body = lines(raw, end)
+            pem = f"-----BEGIN PRIVATE KEY-----{end}{body}{end}-----END PRIVATE KEY-----"
+            assert keys(json.dumps({"a": 1})[:-1] + f', "private_key": "{pem}{end}"}}') == [(kind, pem)]
+            assert keys(f"key:{end}{body}{end}Words that follow it.") == [(kind, body)], (kind, end)
+        assert keys(f"x {raw}\nWords") == [(kind, raw)]
+    assert keys(f"x {dsa.hex()}") == [("der", dsa.hex())]
+    assert keys("x " + lines(base64.b64encode(RSA[:-3]).decode(), "\n")) == [] and not secrets.is_der_key(der(*[integer(x) for x in (1, 2, 3, 4, 5, 6)]))
+    assert not secrets.is_der_key(der(*[integer(x) for x in (0, 2, 3, 4, 5)])) and not secrets.is_der_key(der(*[integer(x) for x in (0, 2, 3, 4, 5, 6, 7)]))
