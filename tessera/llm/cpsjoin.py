@@ -8,7 +8,8 @@ stays together with a chance that falls slowly with depth. Nodes with one class
 end; small ones are compared by brute force; a node that keeps most of its parent
 is dense (its classes are alike) and is compared too, however large, in block
 pairs; all others split again. Runs repeat until a pair at the threshold is found
-with the target recall; a single run finds it with a known chance, computed below.
+with the target recall; a single run finds it with a known chance, computed below for
+the depth that nodes reach: runs are added when they split more often than planned.
 
 Brute force on tokens joins classes into clusters with a margin that a true pair
 passes; within clusters (again in block pairs) exact shingle sets decide every
@@ -130,7 +131,7 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, TOKENS)
 
 
-def _split(rows: DataFrame, threshold: float, runs: int | None) -> DataFrame:
+def _split(rows: DataFrame, threshold: float, runs: range | None) -> DataFrame:
     """(node, cid, parent_n) of the children. rows: cid, sketch and, below the roots, node and _c."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +142,7 @@ def _split(rows: DataFrame, threshold: float, runs: int | None) -> DataFrame:
             if runs is None:
                 nodes, parents = [b.column("node").to_numpy().view(np.uint64)], b.column("_c").to_numpy()
             else:
-                nodes, parents = [np.full(len(b), r + 1, dtype=np.uint64) for r in range(runs)], np.full(len(b), 1 << 62)
+                nodes, parents = [np.full(len(b), r + 1, dtype=np.uint64) for r in runs], np.full(len(b), 1 << 62)
             for node in nodes:
                 at, child = children(node, tokens, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(cid[at]), pa.array(parents[at])], names=["node", "cid", "parent_n"])
@@ -149,8 +150,8 @@ def _split(rows: DataFrame, threshold: float, runs: int | None) -> DataFrame:
     return rows.mapInArrow(run, "node long, cid long, parent_n long")
 
 
-def _leaves(classes: DataFrame, threshold: float, runs: int) -> DataFrame:
-    """(node, cid, _c) of all nodes to compare: small, dense or at the last depth."""
+def _leaves(classes: DataFrame, threshold: float, runs: range) -> tuple[DataFrame, int]:
+    """(node, cid, _c) of all nodes to compare: small, dense or at the last depth; and how often the deepest split."""
     out: DataFrame | None = None
     rows = _split(classes.select("cid", _SKETCH), threshold, runs)
     for depth in range(MAX_DEPTH):
@@ -164,6 +165,17 @@ def _leaves(classes: DataFrame, threshold: float, runs: int) -> DataFrame:
             break
         big = rows.select("node", "cid").join(size.filter("NOT leaf").select("node", "_c"), "node")
         rows = _split(big.join(classes.select("cid", _SKETCH), "cid"), threshold, None)
+    return out, depth + 1
+
+
+def _all_leaves(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Nodes to compare of as many runs as the recall takes at the depth that nodes really reach."""
+    done, runs = 0, runs_for(threshold, recall)
+    out: DataFrame | None = None
+    while done < runs:
+        part, depth = _leaves(classes, threshold, range(done, runs))
+        out = part if out is None else out.unionByName(part)
+        done, runs = runs, max(runs, runs_for(threshold, recall, depth))
     return out
 
 
@@ -235,7 +247,7 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, carry: l
     classes = rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("m"), F.min("doc_id").alias("least"), F.min(order).alias("head"), F.first(_SKETCH).alias(_SKETCH))
     classes = materialize(classes, "classes")
 
-    leaves = _leaves(classes, threshold, runs_for(threshold, recall)).join(classes.select("cid", _SKETCH), "cid")
+    leaves = _all_leaves(classes, threshold, recall).join(classes.select("cid", _SKETCH), "cid")
     least = int(np.floor(TOKENS * threshold - MARGIN * np.sqrt(TOKENS * threshold * (1 - threshold))))
     edges = materialize(_candidates(blocks.deal(leaves, "node", "cid", "_c", BLOCK), least), "candidates")
     clusters = components(edges.select("id", "other"))

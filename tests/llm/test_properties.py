@@ -109,3 +109,36 @@ def test_recall_plan_meets_its_target():
             met |= bool(len(nodes))
         found += met
     assert found >= 297
+
+
+def test_recall_plan_meets_its_target_at_the_last_depth(spark, monkeypatch):
+    """Nodes that split MAX_DEPTH times get the runs that this depth takes, and simulated paths that long find the recall asked for."""
+    made, split = [], cpsjoin._split
+
+    def counted(rows, threshold, runs):
+        made.append(0 if runs is None else runs if isinstance(runs, int) else len(runs))
+        return split(rows, threshold, runs)
+
+    monkeypatch.setattr(cpsjoin, "_split", counted)
+    monkeypatch.setattr(cpsjoin, "LEAF", 1)
+    monkeypatch.setattr(cpsjoin, "DENSE", 2.0)
+    monkeypatch.setattr(cpsjoin, "MAX_DEPTH", 9)
+    shared_ = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{shared_} own{i}") for i in range(12)], "doc_id long, text string")
+    assert {r.n_links for r in cpsjoin.join(docs).collect()} == {11}
+    assert sum(made) == cpsjoin.runs_for(0.8, 0.99, 9) > cpsjoin.runs_for(0.8, 0.99)
+
+    rng, found, runs = np.random.default_rng(1), 0, cpsjoin.runs_for(0.8, 0.99, 12)
+    for trial in range(600):
+        a = rng.integers(0, 1 << 32, cpsjoin.TOKENS, dtype=np.uint64).astype("<u4")
+        b = a.copy()
+        b[rng.permutation(cpsjoin.TOKENS)[:13]] ^= 1  # 51 of 64 tokens agree, as near to 0.8 as they come
+        met = False
+        for r in range(runs):
+            nodes = np.array([trial * 1000 + r + 1], dtype=np.uint64)
+            for _ in range(12):
+                if len(nodes):
+                    nodes = np.intersect1d(*(cpsjoin.children(nodes, np.repeat(x[None], len(nodes), 0), 0.8)[1] for x in (a, b)))
+            met |= bool(len(nodes))
+        found += met
+    assert found >= 0.98 * 600
