@@ -5,8 +5,9 @@ length and punctuation are summed a path and divided by its blocks; both ratios
 are smoothed over the page's block order, fused by product and compared with a
 threshold: a share of the largest. The content node is the deepest element that
 holds most text of the chosen paths, raised to an enclosing article or main, or else
-past parents that add only headings and chosen paths; its blocks are the result, without those in subtrees that HTML or their names mark as
-menus, headers, footers, sidebars, notices, adverts, forms or comments.
+joined by siblings that add only headings and chosen paths; its blocks are the result, without those in subtrees that HTML or their names mark as
+menus, headers, footers, sidebars, notices, adverts, forms or comments. A form or a
+name that wraps the article or most of the text doesn't count as such a mark.
 
 Edge cases: null or empty html gives an empty text; unclosed, stray and truncated
 tags are read as browsers do; nulls in other columns, ties and repeated rows stay;
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from tessera.llm.batches import small
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|title|math|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?!(?:svg|math)(?![^\s/>])[^>]*/>)(script|style|noscript|template|svg|iframe|object|select|textarea|title|math|canvas)(?![^\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?][^>]*>|<[a-zA-Z/!?][^<>]*\Z",
     re.S | re.I,
 )
@@ -45,6 +46,11 @@ HINTS = frozenset(
     "sidebar sidebars rail widget widgets related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond login search "
     "form pager pagination copyright disclaimer complementary contentinfo skip".split()
 )
+#: Those of them that never name a wrapper of the article.
+FIRM = frozenset(
+    "comment comments commentlist disqus reply replies respond related recommended recommendations cookie cookies consent gdpr modal popup overlay "
+    "menu menus nav navbar navigation breadcrumb breadcrumbs login newsletter".split()
+)
 #: Words before "header" that make it the article's own.
 OWN = frozenset("article entry post story content title".split())
 HELD = frozenset("html body main article".split())  # never outside by a name
@@ -57,14 +63,16 @@ THRESHOLD, MOST, SMOOTH = 0.1, 0.75, (0.25, 0.5, 0.25)
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "outside", "weight", "depth")
+    __slots__ = ("tag", "parent", "path", "outside", "loose", "weight", "depth")
 
     def __init__(self, tag: str, parent: _Node | None, names: str):
         self.tag, self.parent, self.weight = tag, parent, 0.0
         self.path = (parent.path if parent else "") + "/" + tag + ("." + names if names else "")
         self.depth = parent.depth + 1 if parent else 0
-        own = tag in OUTSIDE or (tag == "header" and not (parent and parent.within("article"))) or (tag not in HELD and named(names))
+        own = (tag in OUTSIDE and tag != "form") or (tag == "header" and not (parent and parent.within("article"))) or (tag not in HELD and named(names, FIRM))
         self.outside = own or bool(parent and parent.outside)
+        #: a form or a name that may also wrap the article
+        self.loose = tag == "form" or (tag not in HELD and named(names))
 
     def within(self, tag: str) -> bool:
         node = self
@@ -75,11 +83,11 @@ class _Node:
         return False
 
 
-def named(names: str) -> bool:
+def named(names: str, words: frozenset[str] = HINTS) -> bool:
     """Whether a class, id or role names a part that is not the article."""
     for name in names.split():
         parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+", name)
-        found = {p.lower() for p in parts} & HINTS
+        found = {p.lower() for p in parts} & words
         if found == {"header"} and {p.lower() for p in parts} & OWN:
             continue
         if found and parts[0].lower() not in ("has", "with", "no", "without"):
@@ -150,9 +158,37 @@ def blocks(page: str) -> list[tuple[_Node, str]]:
     return found
 
 
+def _inside(page: str) -> list[tuple[_Node, str]]:
+    """The blocks that may be the article's. An article or main with more text than lies outside forms and named parts overrides
+    those around it; without article or main an element with most of the text (half, if there is no other) overrides its own form or name."""
+    found = [(n, t) for n, t in blocks(page) if not n.outside]
+    plain = [(n, t) for n, t in found if not any(u.loose for u in _ancestors(n))]
+    if len(plain) == len(found):
+        return found
+    weight: dict[_Node, int] = {}
+    for node, text in found:
+        for up in _ancestors(node):
+            weight[up] = weight.get(up, 0) + len(text)
+    total, free = sum(len(t) for _, t in found), sum(len(t) for _, t in plain)
+    marked = {n for n in weight if n.tag in ("article", "main") and weight[n] > free and any(u.loose for u in _ancestors(n))}
+    held: set[_Node] = set()
+    if not marked and not any(n.tag in ("article", "main") for n in _lineage(plain)):
+        held = {n for n in weight if n.loose and weight[n] >= (MOST if free else 0.5) * total}
+
+    def on(node: _Node) -> bool:
+        for up in _ancestors(node):
+            if up in marked:
+                return True
+            if up.loose and up not in held:
+                return False
+        return True
+
+    return [(n, t) for n, t in found if on(n)]
+
+
 def extract(page: str | None) -> str:
     """The main text of one page."""
-    inside = [(n, t) for n, t in blocks(page or "") if not n.outside]
+    inside = _inside(page or "")
     if not inside:
         return ""
     sums: dict[str, list[float]] = {}
@@ -183,12 +219,18 @@ def extract(page: str | None) -> str:
     if marked:
         content = next((n for n in marked if n.tag == "article"), marked[-1])
         return "\n".join(t for n, t in inside if _below(n, content))
-    # without such a mark: parents that add only headings and chosen paths, then headings right before
+    # without such a mark: siblings that hold only headings and chosen paths, each judged on its own, then headings right before
+    taken = [_below(n, content) for n, _ in inside]
     while content.parent and content.parent.tag not in ("", "html", "body"):
-        if not all(n.tag in HEADINGS or fused[n.path] >= least for n, _ in inside if _below(n, content.parent) and not _below(n, content)):
-            break
+        beside: dict[object, list[int]] = {}
+        for k, (n, _) in enumerate(inside):
+            if _below(n, content.parent) and not _below(n, content):
+                beside.setdefault(next((u for u in _ancestors(n) if u.parent is content.parent), k) if n is not content.parent else k, []).append(k)
+        for group in beside.values():
+            if all(inside[k][0].tag in HEADINGS or fused[inside[k][0].path] >= least for k in group):
+                for k in group:
+                    taken[k] = True
         content = content.parent
-    taken = [_below(n, content) for n, _ in inside]
     first = taken.index(True)
     while first and inside[first - 1][0].tag in HEADINGS:
         first -= 1

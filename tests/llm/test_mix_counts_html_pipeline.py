@@ -254,3 +254,17 @@ def test_page_layouts():
     assert html.extract(inside) == f"T\n{p}\na b\ncode here"
     short = "<nav><a>Menu one</a></nav><article><h1>Hi</h1><p>Ok</p></article><footer>All rights, reserved. More, text here, longer than the article.</footer>"
     assert html.extract(short) == "Hi\nOk"
+
+
+def test_wrapped_articles_and_cut_tags_are_whole():
+    p = "Words of a sentence, with marks. And one more of them, here."
+    body = f"<h1>T</h1><p>{p}</p><p>{p}</p>"
+    want = f"T\n{p}\n{p}"
+    for wrapped in (f"<form><article>{body}</article></form>", f"<form><div>{body}</div></form>", f"<div class='layout-sidebar-right'><main>{body}</main></div>", f"<div class='elementor-widget-container'>{body}</div>"):
+        assert html.extract(f"<body><nav>Home</nav>{wrapped}<footer>Foot</footer></body>") == want, wrapped
+    for tag in ("<svg class='i'/>", "<math/>", "<svg-icon name='a'></svg-icon>", "<title-bar></title-bar>"):
+        assert html.extract(f"<body><article><h1>T</h1><p>{p}</p>{tag}<p>{p}</p></article></body>") == want, tag
+    assert html.extract(f"<body><article>{body}<svg><text>in it</text></svg></article></body>") == want
+    assert html.extract(f"<body><article>{body}</article><form><p>{p}</p></form><div class='comments'><article>{p * 9}</article></div></body>") == want
+    parts = f"<div><div>{f'<p>{p}</p>' * 8}</div>{"<div class='by'>x</div>" * 9}<p>{p}</p></div>"
+    assert html.extract(f"<body>{parts}</body>") == "\n".join([p] * 9)
