@@ -4,6 +4,8 @@ A group of c rows is cut by a hash of the row's id into ceil(c / size) blocks.
 Every pair of blocks, a block with itself included, is compared on its own, so
 each pair of rows meets exactly once, no task holds more than two blocks, and a
 row is copied as often as its group has blocks: once in all but large groups.
+Block pairs are dealt by ranges of equal row counts, as hashing would put several
+large ones into one task. A range never cuts a block pair.
 Kernels return counts and a spanning forest, never the pairs themselves.
 """
 
@@ -28,7 +30,7 @@ def deal(rows: DataFrame, key: str, row_id: str, count: str, size: int) -> DataF
     pairs = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     pairs = pairs.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other")).drop("_n", "_other", count)
     keys = [key, "_i", "_j"]
-    return pairs.repartition(*keys).sortWithinPartitions(*keys)
+    return pairs.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

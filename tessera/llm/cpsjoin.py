@@ -43,6 +43,8 @@ from tessera.operators.components import components
 from tessera.plans.shared import materialize
 
 TOKENS, LEAF, BLOCK, SET_BLOCK, MAX_DEPTH, DENSE = 64, 128, 512, 192, 12, 0.8
+#: Bits of the filter that texts pass before they are exchanged.
+FILTER_BITS = 1 << 24
 #: Standard deviations below the threshold at which token agreement still joins a cluster.
 MARGIN = 4.5
 _RID, _CID, _SKETCH = "_cps_rid", "cid", "_cps_sketch"
@@ -229,6 +231,18 @@ def _exact(dealt: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(lambda batches: blocks.stream(batches, ["root", "_i", "_j"], kernel), blocks.FOUND)
 
 
+def _marked(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """rows of which a filter of FILTER_BITS bits says that they may be members: texts of all others stay where they lie.
+
+    The filter is a table of at most FILTER_BITS / 64 words, so its broadcast is bounded; a full one only filters less.
+    """
+    slot = F.pmod(F.xxhash64(_RID), F.lit(FILTER_BITS))
+    words = members.select(F.shiftright(slot, 6).alias("_word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({_RID}), {FILTER_BITS}) & 63 AS INT))").alias("_bit"))
+    words = words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    near = rows.withColumn("_word", F.shiftright(slot, 6)).join(F.broadcast(words), "_word")
+    return near.filter(F.expr(f"getbit(_bits, CAST(pmod(xxhash64({_RID}), {FILTER_BITS}) & 63 AS INT)) = 1")).drop("_word", "_bits")
+
+
 def _sets(rows: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
@@ -254,8 +268,9 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, carry: l
     clusters = materialize(clusters, "clusters")
     sizes = materialize(clusters.groupBy("root").agg(F.count("*").alias("_c")), "sizes")
     members = clusters.join(sizes, "root").withColumnRenamed("node", "cid").join(classes.select("cid", "m", F.col(f"head.{_RID}").alias(_RID)), "cid")
-    texts = _sets(members.join(rows.select(_RID, "text"), _RID))
-    found = materialize(_exact(blocks.deal(texts, "root", "cid", "_c", SET_BLOCK), threshold), "links")
+    members = materialize(members, "members")
+    sets = materialize(_sets(_marked(rows.select(_RID, "text"), members).join(members.hint("merge"), _RID)), "sets")
+    found = materialize(_exact(blocks.deal(sets, "root", "cid", "_c", SET_BLOCK), threshold), "links")
     links = found.filter("other IS NULL").groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.filter("other IS NOT NULL"))
 
