@@ -1,22 +1,31 @@
 """Main text of web pages by tag-path ratios.
 
-A page is scanned once into blocks, each with its root-to-leaf tag path. Text
-length and punctuation are summed a path and divided by its blocks; both ratios
-are smoothed over the page's block order, fused by product and compared with a
-threshold: a share of the largest. The content node is the deepest element that
-holds most text of the chosen paths, raised to an enclosing article or main, or else
-joined by siblings that add only headings and chosen paths; its blocks are the result, without those in subtrees that HTML or their names mark as
-menus, headers, footers, sidebars, notices, adverts, forms or comments. A form or a
-name that wraps the article or most of the text doesn't count as such a mark.
+A page is scanned once into blocks, each with its root-to-leaf tag path. Text outside links and
+punctuation are summed a path and divided by its blocks; both ratios are smoothed over the page's block
+order, compressed by logarithms, fused by product and weighed by what tags and names on the path suggest.
+Tags and names are only features: they scale a path's ratio, and ratios relative to the page's best
+decide. A wrapper around everything scales all paths alike, so it decides nothing.
+
+Paths at STRONG times the best ratio or above are content paths. The content node is the deepest element
+that holds most of their text, raised to the article or main around it. Below it (and below articles of
+the same path) every block stays whose path reaches LEAST; elsewhere a path must reach STRONG, or be a
+heading right before the content. The result is the blocks that stay, in page order.
+
+Weights: FIRM for menus, footers, comments, adverts and the like; the same for looser marks (forms, page
+headers, sidebars, widgets) unless they hold over half of the text, in which case they name a layout; MILD
+for a name that joins such a word to an ordinary one (related-work, share-price); MARKED for article and main.
 
 Edge cases: null or empty html gives an empty text; unclosed, stray and truncated
-tags are read as browsers do; nulls in other columns, ties and repeated rows stay;
+tags are read as browsers do; a page whose text all lies in links keeps it; time and memory follow the
+length of the page however deeply it nests; nulls in other columns, ties and repeated rows stay;
 an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -31,233 +40,258 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?][^>]*>|<[a-zA-Z/!?][^<>]*\Z",
     re.S | re.I,
 )
-NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
-    "hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul video audio".split()
+    "hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul video audio head button label datalist".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that hold no article text.
-OUTSIDE = frozenset("nav footer aside form menu button fieldset head dialog label datalist audio video".split())
-#: Words in class, id or role that name such parts.
-HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert "
-    "newsletter subscribe subscription signup popup modal overlay paywall menu menus nav navbar navigation navi breadcrumb breadcrumbs topbar toolbar masthead header footer foot "
-    "sidebar sidebars rail widget widgets related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond login search "
-    "form pager pagination copyright disclaimer complementary contentinfo skip".split()
+#: Tags that mark no article text, whatever they hold.
+FIRM_TAGS = frozenset("nav footer aside menu button fieldset head dialog label datalist audio video".split())
+#: Words in class, id or role that always name such parts.
+FIRM_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored comment comments commentlist disqus reply replies respond "
+    "recommended recommendations cookie cookies consent gdpr modal popup overlay menu menus nav navbar navigation navi breadcrumb breadcrumbs newsletter subscribe subscription "
+    "signup paywall topbar toolbar masthead".split()
 )
-#: Those of them that never name a wrapper of the article.
-FIRM = frozenset(
-    "comment comments commentlist disqus reply replies respond related recommended recommendations cookie cookies consent gdpr modal popup overlay "
-    "menu menus nav navbar navigation breadcrumb breadcrumbs login newsletter".split()
+#: Words that name such parts alone or beside words of layout, but may also name a wrapper.
+LOOSE_WORDS = frozenset(
+    "banner banners promo promotion notice notices alert header footer foot sidebar sidebars rail widget widgets related share sharing social login search form pager pagination "
+    "copyright disclaimer complementary contentinfo skip".split()
 )
-#: Words before "header" that make it the article's own.
-OWN = frozenset("article entry post story content title".split())
-HELD = frozenset("html body main article".split())  # never outside by a name
+#: Words of layout that say nothing of their own.
+LAYOUT = frozenset(
+    "site page global main primary secondary top bottom left right box bar block section container wrapper wrap inner outer area item items list row col column content contents "
+    "posts post articles article stories links link buttons button icons media group text title heading panel module region legal info fixed sticky hidden mobile desktop".split()
+)
+OWN = frozenset("article entry post story content title".split())  # before "header": the article's own
+HELD = frozenset("html body main article".split())  # never marked by a name
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARTS = frozenset("p li pre blockquote dd dt tr tbody thead table ul ol dl figure figcaption".split()) | HEADINGS  # parts of a text, never the whole of it
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "tbody": frozenset(["thead", "tbody"]), "tfoot": frozenset(["tbody"]),
 }
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
-THRESHOLD, MOST, SMOOTH = 0.1, 0.75, (0.25, 0.5, 0.25)
+STRONG, LEAST, MOST, SMOOTH = 0.5, 0.03, 0.75, (0.25, 0.5, 0.25)
+FIRM, MILD, MARKED = 0.0005, 0.3, 4.0
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "outside", "loose", "weight", "depth")
+    """An element: mark is what its tag and names suggest ("", firm, loose or mild), prior the product of weights from the root."""
+
+    __slots__ = ("tag", "parent", "path", "mark", "prior", "depth", "held", "weight", "inside")
 
-    def __init__(self, tag: str, parent: _Node | None, names: str):
-        self.tag, self.parent, self.weight = tag, parent, 0.0
-        self.path = (parent.path if parent else "") + "/" + tag + ("." + names if names else "")
+    def __init__(self, tag: str, parent: _Node | None, path: int, mark: str):
+        self.tag, self.parent, self.path, self.mark = tag, parent, path, mark
         self.depth = parent.depth + 1 if parent else 0
-        own = (tag in OUTSIDE and tag != "form") or (tag == "header" and not (parent and parent.within("article"))) or (tag not in HELD and named(names, FIRM))
-        self.outside = own or bool(parent and parent.outside)
-        #: a form or a name that may also wrap the article
-        self.loose = tag == "form" or (tag not in HELD and named(names))
-
-    def within(self, tag: str) -> bool:
-        node = self
-        while node:
-            if node.tag == tag:
-                return True
-            node = node.parent
-        return False
+        self.held = tag in ("article", "main") or bool(parent and parent.held)  # at or below article or main
+        self.prior, self.weight, self.inside = 1.0, 0.0, False
 
 
-def named(names: str, words: frozenset[str] = HINTS) -> bool:
-    """Whether a class, id or role names a part that is not the article."""
+@functools.lru_cache(maxsize=20_000)
+def named(names: str) -> str:
+    """What a class, id or role suggests: firm, loose, mild or nothing."""
+    found = ""
     for name in names.split():
-        parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+", name)
-        found = {p.lower() for p in parts} & words
-        if found == {"header"} and {p.lower() for p in parts} & OWN:
+        parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)]
+        if not parts or parts[0] in ("has", "with", "no", "without"):
+            continue
+        words = set(parts)
+        if words & FIRM_WORDS:
+            return "firm"
+        if not words & LOOSE_WORDS or words & LOOSE_WORDS == {"header"} and words & OWN:
             continue
-        if found and parts[0].lower() not in ("has", "with", "no", "without"):
-            return True
-    return False
+        if words <= LOOSE_WORDS | LAYOUT:
+            found = "loose"
+        elif not found:
+            found = "mild"
+    return found
 
 
-def blocks(page: str) -> list[tuple[_Node, str]]:
-    """(element, text) of every block with text, in page order; text decoded, white space collapsed."""
-    node = _Node("", None, "")
-    found: list[tuple[_Node, str]] = []
+def _mark(tag: str, attributes: str, parent: _Node) -> str:
+    if tag in FIRM_TAGS:
+        return "firm"
+    names, hidden = [], False
+    if attributes and ("=" in attributes or "hidden" in attributes.lower()):
+        for key, a, b, c in ATTRIBUTE.findall(attributes):
+            key = key.lower()
+            if key in ("class", "id", "role"):
+                names.append(a or b or c)
+            elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", a or b or c, re.I):
+                hidden = True
+    mark = named(" ".join(names)) if names and tag not in HELD else ""
+    if mark != "firm" and (hidden or tag == "form" or (tag == "header" and not parent.held)):
+        return "loose"
+    return mark
+
+
+def blocks(page: str) -> tuple[list[_Node], list[tuple[_Node, str, str]]]:
+    """All elements, parents first, and (element, text, text outside links) of every block with text, in page order.
+
+    Text is decoded, its white space collapsed; in headings links count as text.
+    """
+    paths: dict[tuple[int, str, str], int] = {}
+    node = root = _Node("", None, 0, "")
+    nodes, found = [root], []
     held: list[str] = []
+    plain: list[str] = []
+    open_: dict[str, int] = {}  # open elements of a tag
+    link: _Node | None = None  # where an open link began
+
+    def add(text: str) -> None:
+        if "&" in text:
+            text = entities.unescape(text)
+        held.append(text)
+        if not link or node.tag in HEADINGS:
+            plain.append(text)
 
     def flush() -> None:
         if held:
-            text = " ".join(entities.unescape("".join(held)).split())
+            text = " ".join("".join(held).split())
             if text:
-                found.append((node, text))
+                found.append((node, text, text if len(plain) == len(held) else " ".join("".join(plain).split())))
             held.clear()
+            plain.clear()
+
+    def leave(to: _Node) -> None:
+        """Close all elements below one."""
+        nonlocal node, link
+        while node is not to:
+            open_[node.tag] -= 1
+            node = node.parent
+        if link and node.depth < link.depth:
+            link = None
 
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            held.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         tag = m[3]
         if not tag:
             continue
         tag = tag.lower()
+        if tag == "a":
+            link = None if m[2] else node
+            continue
         if tag in VOID:
-            if tag in ("br", "img", "wbr", "input"):
-                held.append("" if tag == "wbr" else " ")
-            elif tag == "hr":
+            if tag == "hr":
                 flush()
+            elif tag in ("br", "img", "input"):
+                add(" ")
             continue
         if tag in ("td", "th"):
-            held.append(" ")
+            add(" ")
             continue
-        if tag not in BLOCKS and tag not in OUTSIDE:
+        if tag not in BLOCKS:
             continue
         flush()
         if m[2]:
-            open_ = node
-            while open_.parent and open_.tag != tag:
-                open_ = open_.parent
-            if open_.parent:
-                node = open_.parent
+            if open_.get(tag):
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                leave(up.parent)
             continue
         if tag not in ("button", "label"):
             up = node
-            while up.parent and up.tag in ("p", *HEADINGS):  # a block ends an open paragraph or heading
+            while up.parent and (up.tag == "p" or up.tag in HEADINGS):  # a block ends an open paragraph or heading
                 up = up.parent
-            node = up
-        if tag in CLOSED_BY:
+            leave(up)
+        if tag in CLOSED_BY and any(open_.get(t) for t in CLOSED_BY[tag]):
             up = node
             while up.parent and up.tag not in ("ul", "ol", "dl", "table", "menu"):
                 if up.tag in CLOSED_BY[tag]:
-                    node = up.parent
+                    leave(up.parent)
                     break
                 up = up.parent
-        names = " ".join(v for _, a, b, c in NAMES.findall(m[4]) if (v := a or b or c)) if m[4] else ""
-        if "hidden" in m[4]:
-            names += " modal" if re.search(r"(?<![\w-])hidden(?![\w-])", m[4]) else ""
-        node = _Node(tag, node, names.strip())
+        mark = _mark(tag, m[4], node)
+        node = _Node(tag, node, paths.setdefault((node.path, tag, mark), len(paths) + 1), mark)
+        open_[tag] = open_.get(tag, 0) + 1
+        nodes.append(node)
     if at < len(page):
-        held.append(page[at:])
+        add(page[at:])
     flush()
-    return found
-
-
-def _inside(page: str) -> list[tuple[_Node, str]]:
-    """The blocks that may be the article's. An article or main with more text than lies outside forms and named parts overrides
-    those around it; without article or main an element with most of the text (half, if there is no other) overrides its own form or name."""
-    found = [(n, t) for n, t in blocks(page) if not n.outside]
-    plain = [(n, t) for n, t in found if not any(u.loose for u in _ancestors(n))]
-    if len(plain) == len(found):
-        return found
-    weight: dict[_Node, int] = {}
-    for node, text in found:
-        for up in _ancestors(node):
-            weight[up] = weight.get(up, 0) + len(text)
-    total, free = sum(len(t) for _, t in found), sum(len(t) for _, t in plain)
-    marked = {n for n in weight if n.tag in ("article", "main") and weight[n] > free and any(u.loose for u in _ancestors(n))}
-    held: set[_Node] = set()
-    if not marked and not any(n.tag in ("article", "main") for n in _lineage(plain)):
-        held = {n for n in weight if n.loose and weight[n] >= (MOST if free else 0.5) * total}
-
-    def on(node: _Node) -> bool:
-        for up in _ancestors(node):
-            if up in marked:
-                return True
-            if up.loose and up not in held:
-                return False
-        return True
-
-    return [(n, t) for n, t in found if on(n)]
-
-
-def extract(page: str | None) -> str:
-    """The main text of one page."""
-    inside = _inside(page or "")
-    if not inside:
-        return ""
-    sums: dict[str, list[float]] = {}
-    for node, text in inside:
-        s = sums.setdefault(node.path, [0, 0, 0])
-        s[0] += len(text)
-        s[1] += len(PUNCTUATION.findall(text))
+    return nodes, found
+
+
+def _weigh(nodes: list[_Node], found: list[tuple[_Node, str, str]]) -> None:
+    """Priors of all elements; a loose mark on over half of the text outside firm ones names a layout and counts for nothing."""
+    for node in nodes:  # parents first
+        node.weight, node.inside = 0.0, node.mark == "firm" or bool(node.parent and node.parent.inside)
+    for node, _, own in found:
+        if not node.inside:
+            node.weight += len(own)
+    for node in reversed(nodes[1:]):
+        node.parent.weight += node.weight
+    total = nodes[0].weight
+    for node in nodes[1:]:
+        scale = FIRM if node.mark == "firm" or node.mark == "loose" and 2 * node.weight <= total else MILD if node.mark == "mild" else 1.0
+        if node.tag in ("article", "main") and not node.parent.held:
+            scale *= MARKED
+        node.prior = node.parent.prior * scale
+
+
+def ratios(found: list[tuple[_Node, str, str]]) -> dict[int, float]:
+    """Fused ratio of every path: smoothed text and punctuation a block, by its weight; 0 for paths whose text is all links."""
+    sums: dict[int, list[float]] = {}
+    for node, _, own in found:
+        s = sums.setdefault(node.path, [0, 0, 0, node.prior])
+        s[0] += len(own)
+        s[1] += len(PUNCTUATION.findall(own))
         s[2] += 1
-    length = _smooth([sums[n.path][0] / sums[n.path][2] for n, _ in inside])
-    marks = _smooth([sums[n.path][1] / sums[n.path][2] for n, _ in inside])
-    by_path: dict[str, list[float]] = {}
-    for (node, _), x, y in zip(inside, length, marks, strict=True):
-        by_path.setdefault(node.path, []).append(x * (1 + y))
-    fused = {p: sum(v) / len(v) for p, v in by_path.items()}
-    least = THRESHOLD * max(fused.values())
+        s[3] = max(s[3], node.prior)
+    length = _smooth([sums[n.path][0] / sums[n.path][2] for n, _, _ in found])
+    marks = _smooth([sums[n.path][1] / sums[n.path][2] for n, _, _ in found])
+    mean: dict[int, list[float]] = {}
+    for (node, _, _), x, y in zip(found, length, marks, strict=True):
+        v = mean.setdefault(node.path, [0.0, 0.0])
+        v[0] += x
+        v[1] += y
+    return {p: (1 + math.log1p(v[0] / sums[p][2])) * (1 + math.log1p(v[1] / sums[p][2])) * sums[p][3] if sums[p][0] else 0.0 for p, v in mean.items()}
+
+
+def chosen(nodes: list[_Node], found: list[tuple[_Node, str, str]], fused: dict[int, float]) -> list[bool]:
+    """Which blocks stay."""
+    best = max(fused.values())
+    for node in nodes:
+        node.weight = 0.0
     total = 0.0
-    for node, text in inside:
-        if fused[node.path] >= least:
+    for node, text, _ in found:
+        if fused[node.path] >= STRONG * best:
+            node.weight += len(text)
             total += len(text)
-            up: _Node | None = node
-            while up:
-                up.weight += len(text)
-                up = up.parent
-    content = max((n for n in _lineage(inside) if n.weight >= MOST * total), key=lambda n: n.depth)
-    while content.parent and content.tag in ("p", "li", "pre", "blockquote", "dd", "tr", *HEADINGS):
-        content = content.parent
-    marked = [n for n in _ancestors(content) if n.tag in ("article", "main")]
-    if marked:
-        content = next((n for n in marked if n.tag == "article"), marked[-1])
-        return "\n".join(t for n, t in inside if _below(n, content))
-    # without such a mark: siblings that hold only headings and chosen paths, each judged on its own, then headings right before
-    taken = [_below(n, content) for n, _ in inside]
-    while content.parent and content.parent.tag not in ("", "html", "body"):
-        beside: dict[object, list[int]] = {}
-        for k, (n, _) in enumerate(inside):
-            if _below(n, content.parent) and not _below(n, content):
-                beside.setdefault(next((u for u in _ancestors(n) if u.parent is content.parent), k) if n is not content.parent else k, []).append(k)
-        for group in beside.values():
-            if all(inside[k][0].tag in HEADINGS or fused[inside[k][0].path] >= least for k in group):
-                for k in group:
-                    taken[k] = True
+    for node in reversed(nodes[1:]):
+        node.parent.weight += node.weight
+    content = max((n for n in nodes if n.weight >= MOST * total), key=lambda n: n.depth)
+    while content.parent and content.tag in PARTS:
         content = content.parent
-    first = taken.index(True)
-    while first and inside[first - 1][0].tag in HEADINGS:
+    up: _Node | None = content
+    while up and up.held:  # the outermost article or main around it
+        content = up if up.tag in ("article", "main") else content
+        up = up.parent
+    for node in nodes:
+        node.inside = node is content or (content.tag == "article" and node.path == content.path) or bool(node.parent and node.parent.inside)
+    on = [fused[n.path] >= (LEAST if n.inside else STRONG) * best for n, _, _ in found]
+    first = on.index(True)
+    while first and found[first - 1][0].tag in HEADINGS and fused[found[first - 1][0].path] >= LEAST * best:
         first -= 1
-        taken[first] = True
-    return "\n".join(t for (_, t), on in zip(inside, taken, strict=True) if on)
-
+        on[first] = True
+    return on
 
-def _lineage(inside: list[tuple[_Node, str]]) -> set[_Node]:
-    out: set[_Node] = set()
-    for node, _ in inside:
-        up: _Node | None = node
-        while up and up not in out:
-            out.add(up)
-            up = up.parent
-    return out
 
-
-def _ancestors(node: _Node | None) -> Iterator[_Node]:
-    while node:
-        yield node
-        node = node.parent
-
-
-def _below(node: _Node | None, top: _Node) -> bool:
-    while node and node.depth > top.depth:
-        node = node.parent
-    return node is top
+def extract(page: str | None) -> str:
+    """The main text of one page."""
+    nodes, found = blocks(page or "")
+    if not any(own for _, _, own in found):  # all text lies in links
+        found = [(n, text, text) for n, text, _ in found]
+    if not found:
+        return ""
+    _weigh(nodes, found)
+    if all(n.prior <= FIRM for n, _, _ in found):  # nothing but menus, footers and the like
+        return ""
+    on = chosen(nodes, found, ratios(found))
+    return "\n".join(text for (_, text, _), k in zip(found, on, strict=True) if k)
 
 
 def _smooth(values: list[float]) -> list[float]:

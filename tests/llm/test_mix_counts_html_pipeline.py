@@ -268,3 +268,51 @@ def test_wrapped_articles_and_cut_tags_are_whole():
     assert html.extract(f"<body><article>{body}</article><form><p>{p}</p></form><div class='comments'><article>{p * 9}</article></div></body>") == want
     parts = f"<div><div>{f'<p>{p}</p>' * 8}</div>{"<div class='by'>x</div>" * 9}<p>{p}</p></div>"
     assert html.extract(f"<body>{parts}</body>") == "\n".join([p] * 9)
+
+
+def test_pages_keep_all_of_the_article():
+    p = "The quick brown fox, having jumped over the dog, went home. It was late, and the moon was up."
+    pages = [
+        (f"<main><header><h1>Title</h1></header><p>{p}</p></main>", f"Title\n{p}"),
+        (f"<body><form><h1>T</h1><p>{p}</p><p>{p}</p></form></body>", f"T\n{p}\n{p}"),
+        (f"<main><article><h2>A</h2><p>{p}</p></article><article><h2>B</h2><p>{p*4}</p></article></main>", f"A\n{p}\nB\n{p*4}"),
+        (f"<body><article><h2>A</h2><p>{p}</p></article><article><h2>B</h2><p>{p*4}</p></article></body>", f"A\n{p}\nB\n{p*4}"),
+        (f"<article><p>{p}</p><p title='hidden gems'>{p}</p></article>", f"{p}\n{p}"),
+        (f"<article><p>{p}</p><section class='related-work'><h2>Related work</h2><p>{p}</p></section><section id='share-price'><p>{p}</p></section><section class='search-trees'><h3>Trees</h3><p>{p}</p></section></article>", "\n".join([p,"Related work",p,p,"Trees",p])),
+        (f"<article><h1>T</h1><p>{p}</p><ul><li>One</li><li>Two</li></ul><p><a href='x'>Linked paragraph</a></p><h2><a href='#s'>Section</a></h2><p>{p}</p><div class='share'><a href='f'>Facebook</a></div><ul class='related-posts'><li><a href='1'>Another one</a></li></ul></article>", f"T\n{p}\nOne\nTwo\nLinked paragraph\nSection\n{p}"),
+        (f"<div class='comments'><p>{p*9}</p></div><div><p>{p}</p><p>{p}</p></div>", f"{p}\n{p}"),
+        (f"<body><div id=page><div class=content><p>{p}</p><p>{p}</p></div><div class='sidebar'><p>{p*1}</p></div></div></body>", f"{p}\n{p}"),
+        ("<ul><li><a href=x>One</a></li><li><a>Two</a></li></ul>", "One\nTwo"),
+        (f"<article><figure><img src=x><figcaption>A caption</figcaption></figure><blockquote>Quote here</blockquote><dl><dt>Term</dt><dd>Meaning</dd></dl><p>{p}</p><table><tr><td>a</td><td>1</td></tr></table></article>", f"A caption\nQuote here\nTerm\nMeaning\n{p}\na 1"),
+        (f"<article><p>AT&amp;T <b>and</b> AT&<i>amp;</i></p><p>{p}</p><div hidden>secret</div><div style='display: none'><p>{p}</p></div></article>", f"AT&T and AT&amp;\n{p}"),
+        (f"<header class='site-header'><h1>Site</h1></header><article><p>{p}</p></article><div class=disclaimer>{p}</div>", p),
+        (f"<article><p>{p}</p><h2>One</h2><div class='cookie-banner'>{p}</div><p>Yes</p></article>", f"{p}\nOne\nYes"),
+        (f"<article><h1>T</h1><p>{p}</p><pre>a\n b</pre><section class='comments'><h2>Comments</h2><article><p>{p*30}</p></article></section></article>", f"T\n{p}\na b"),
+    ]
+    for page, want in pages:
+        assert html.extract(page) == want, page
+
+
+def test_paths_decide(monkeypatch):
+    """Without thresholds all blocks stay; with flat ratios tags and names alone decide nothing but firm marks; a threshold near 1 leaves the best paths."""
+    p = "The quick brown fox, having jumped over the dog, went home. It was late, and the moon was up."
+    page = f"<nav><a>Menu</a></nav><div>Small talk.</div><article><h1>T</h1><p>{p}</p><ul><li>One</li></ul></article><footer>Foot.</footer>"
+    assert html.extract(page) == f"T\n{p}\nOne"
+    monkeypatch.setattr(html, "LEAST", 0.99)
+    assert html.extract(page) == p
+    monkeypatch.setattr(html, "LEAST", 0.0)
+    monkeypatch.setattr(html, "STRONG", 0.0)
+    assert html.extract(page) == f"Menu\nSmall talk.\nT\n{p}\nOne\nFoot."
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        page = "<div class='a b'>" * n + "<p>Hello, world.</p>" + "</x><li>" * n
+        began = time.process_time()
+        assert html.extract(page) == "Hello, world."
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.02)
