@@ -12,22 +12,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.shared import materialize
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (a, b) with a > b. Large: every larger neighbour of a node goes to its smallest; small: every smaller one and itself."""
-    if large:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "minima")
-        made = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        made = moved.unionByName(least.select("a", F.col("m").alias("b")))
+from tessera.plans.shared import discard, materialize
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _large(edges: DataFrame, minima: DataFrame) -> DataFrame:
+    """Edges (a, b) with a > b: every larger neighbour of a node goes to the node's smallest."""
+    made = _both(edges).join(minima, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return made.filter("a <> b").distinct()
 
 
+def _small(edges: DataFrame) -> DataFrame:
+    """Every smaller neighbour of a node, and the node itself, goes to its smallest."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
     return row.n, row.s
@@ -39,7 +43,10 @@ def components(edges: DataFrame, a: str = "id", b: str = "other") -> DataFrame:
     now = materialize(now, "edges")
     before, state = None, _state(now)
     while state != before and state[0]:
-        now = materialize(_star(_star(now, True), False), "edges")
+        minima = _both(now).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        minima = materialize(minima, "minima")
+        last, now = now, materialize(_small(_large(now, minima)), "edges")
         before, state = state, _state(now)
+        discard(last, minima)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

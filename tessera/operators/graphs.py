@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import components
-from tessera.plans.shared import materialize
+from tessera.plans.shared import discard, materialize
 from tessera.plans.session import table
 
 
@@ -55,7 +55,9 @@ def propagate(edges: DataFrame, rounds: int = 3) -> DataFrame:
     for _ in range(rounds):
         votes = links.join(labels.withColumnRenamed("node", "i2"), "i2").groupBy("i1", "label").agg(F.round(F.sum("w"), 6).alias("v"))
         best = votes.groupBy("i1").agg(F.max(F.struct("v", (-F.col("label")).alias("n"))).alias("b"))
-        labels = materialize(best.select(F.col("i1").alias("node"), (-F.col("b.n")).alias("label")), "labels")
+        last, labels = labels, materialize(best.select(F.col("i1").alias("node"), (-F.col("b.n")).alias("label")), "labels")
+        discard(last)
+    discard(links)
     return labels
 
 
@@ -75,7 +77,9 @@ def has_cycle(edges: DataFrame) -> bool:
         if not n:
             return False
         left = materialize(now.join(now.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi"), "dag")
+        discard(now)
         if left.count() == n:
+            discard(left)
             return True
         now = left
 
