@@ -26,6 +26,7 @@ no row; extra columns are carried only for the deduplicated form.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,11 +41,10 @@ from tessera.llm import blocks
 from tessera.llm.batches import small
 from tessera.llm.embeddings import label
 from tessera.operators.components import components
-from tessera.plans.shared import materialize
+from tessera.plans.bits import passing
+from tessera.plans.shared import discard, materialize
 
 TOKENS, LEAF, BLOCK, SET_BLOCK, MAX_DEPTH, DENSE = 64, 128, 512, 192, 12, 0.8
-#: Bits of the filter that texts pass before they are exchanged.
-FILTER_BITS = 1 << 24
 #: Standard deviations below the threshold at which token agreement still joins a cluster.
 MARGIN = 4.5
 _RID, _CID, _SKETCH = "_cps_rid", "cid", "_cps_sketch"
@@ -152,31 +152,34 @@ def _split(rows: DataFrame, threshold: float, runs: range | None) -> DataFrame:
     return rows.mapInArrow(run, "node long, cid long, parent_n long")
 
 
-def _leaves(classes: DataFrame, threshold: float, runs: range) -> tuple[DataFrame, int]:
-    """(node, cid, _c) of all nodes to compare: small, dense or at the last depth; and how often the deepest split."""
-    out: DataFrame | None = None
+def _leaves(classes: DataFrame, threshold: float, runs: range) -> tuple[list[DataFrame], int]:
+    """(node, cid, _c) of all nodes to compare, a written table a depth: small, dense or at the last depth; and how often the deepest split."""
+    out: list[DataFrame] = []
     rows = _split(classes.select("cid", _SKETCH), threshold, runs)
+    last: list[DataFrame] = []
     for depth in range(MAX_DEPTH):
         rows = materialize(rows, "nodes")
         size = rows.groupBy("node").agg(F.count("*").alias("_c"), F.first("parent_n").alias("parent_n")).filter("_c > 1")
         dense = F.lit(depth == MAX_DEPTH - 1) | (F.col("_c") >= DENSE * F.col("parent_n"))
         size = materialize(size.withColumn("leaf", (F.col("_c") <= LEAF) | dense), "sizes")
-        kept = rows.select("node", "cid").join(size.filter("leaf").select("node", "_c"), "node")
-        out = kept if out is None else out.unionByName(kept)
+        discard(*last)  # the depth above, now that its children are written
+        last = [rows, size]
+        out.append(materialize(rows.select("node", "cid").join(size.filter("leaf").select("node", "_c"), "node"), "leaves"))
         if size.filter("NOT leaf").isEmpty():
             break
         big = rows.select("node", "cid").join(size.filter("NOT leaf").select("node", "_c"), "node")
         rows = _split(big.join(classes.select("cid", _SKETCH), "cid"), threshold, None)
+    discard(*last)
     return out, depth + 1
 
 
-def _all_leaves(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+def _all_leaves(classes: DataFrame, threshold: float, recall: float) -> list[DataFrame]:
     """Nodes to compare of as many runs as the recall takes at the depth that nodes really reach."""
     done, runs = 0, runs_for(threshold, recall)
-    out: DataFrame | None = None
+    out: list[DataFrame] = []
     while done < runs:
         part, depth = _leaves(classes, threshold, range(done, runs))
-        out = part if out is None else out.unionByName(part)
+        out += part
         done, runs = runs, max(runs, runs_for(threshold, recall, depth))
     return out
 
@@ -231,18 +234,6 @@ def _exact(dealt: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(lambda batches: blocks.stream(batches, ["root", "_i", "_j"], kernel), blocks.FOUND)
 
 
-def _marked(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """rows of which a filter of FILTER_BITS bits says that they may be members: texts of all others stay where they lie.
-
-    The filter is a table of at most FILTER_BITS / 64 words, so its broadcast is bounded; a full one only filters less.
-    """
-    slot = F.pmod(F.xxhash64(_RID), F.lit(FILTER_BITS))
-    words = members.select(F.shiftright(slot, 6).alias("_word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({_RID}), {FILTER_BITS}) & 63 AS INT))").alias("_bit"))
-    words = words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    near = rows.withColumn("_word", F.shiftright(slot, 6)).join(F.broadcast(words), "_word")
-    return near.filter(F.expr(f"getbit(_bits, CAST(pmod(xxhash64({_RID}), {FILTER_BITS}) & 63 AS INT)) = 1")).drop("_word", "_bits")
-
-
 def _sets(rows: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
@@ -261,16 +252,19 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, carry: l
     classes = rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("m"), F.min("doc_id").alias("least"), F.min(order).alias("head"), F.first(_SKETCH).alias(_SKETCH))
     classes = materialize(classes, "classes")
 
-    leaves = _all_leaves(classes, threshold, recall).join(classes.select("cid", _SKETCH), "cid")
+    leaves = _all_leaves(classes, threshold, recall)
+    met = functools.reduce(DataFrame.unionByName, leaves).join(classes.select("cid", _SKETCH), "cid")
     least = int(np.floor(TOKENS * threshold - MARGIN * np.sqrt(TOKENS * threshold * (1 - threshold))))
-    edges = materialize(_candidates(blocks.deal(leaves, "node", "cid", "_c", BLOCK), least), "candidates")
+    edges = materialize(_candidates(blocks.deal(met, "node", "cid", "_c", BLOCK), least), "candidates")
+    discard(*leaves)
     clusters = components(edges.select("id", "other"))
     clusters = materialize(clusters, "clusters")
     sizes = materialize(clusters.groupBy("root").agg(F.count("*").alias("_c")), "sizes")
     members = clusters.join(sizes, "root").withColumnRenamed("node", "cid").join(classes.select("cid", "m", F.col(f"head.{_RID}").alias(_RID)), "cid")
     members = materialize(members, "members")
-    sets = materialize(_sets(_marked(rows.select(_RID, "text"), members).join(members.hint("merge"), _RID)), "sets")
+    sets = materialize(_sets(passing(rows.select(_RID, "text"), members, _RID).join(members.hint("merge"), _RID)), "sets")
     found = materialize(_exact(blocks.deal(sets, "root", "cid", "_c", SET_BLOCK), threshold), "links")
+    discard(edges, clusters, sizes, members, sets)
     links = found.filter("other IS NULL").groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.filter("other IS NOT NULL"))
 

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import small
-from tessera.plans.shared import materialize
+from tessera.plans.bits import failing, passing
+from tessera.plans.shared import discard, materialize
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -171,14 +172,20 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     told = classes.join(several, "ah", "left").filter("several OR first_id < last_id").select("ah", "ch", "first_id", F.coalesce("several", F.lit(False)).alias("several"))
     rows = found.join(told, ["ah", "ch"])
     rows = materialize(rows.filter("doc_id > first_id OR several").select("doc_id", "key", "start", "n", (F.col("doc_id") > F.col("first_id")).alias("later")), "matches")
+    discard(found, classes)
 
-    heads = rows.filter("NOT later").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    windows = materialize(_window_rows(docs.join(heads.hint("shuffle_hash"), ["doc_id", "key"]).select("doc_id", "key", "text", "runs"), length), "windows")
+    heads = materialize(rows.filter("NOT later").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "heads")
+    texts = passing(docs, heads, "doc_id", "key").join(heads, ["doc_id", "key"])
+    windows = materialize(_window_rows(texts.select("doc_id", "key", "text", "runs"), length), "windows")
+    discard(heads)
     firsts = windows.groupBy("wh").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").select("wh", "first_id")
     firsts = materialize(firsts, "firsts")  # a written side lets AQE split a hot window of the other
     single = windows.join(firsts, "wh").filter("doc_id > first_id").select("doc_id", "key", "start", F.lit(1).alias("n"))
     covered = rows.filter("later").select("doc_id", "key", "start", "n").unionByName(single)
-    return covered.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))).alias("spans"))
+    spans = covered.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))).alias("spans"))
+    spans = materialize(spans, "spans")
+    discard(rows, windows, firsts)
+    return spans
 
 
 def maximal(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -212,7 +219,9 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
-    joined = keyed.join(spans.hint("shuffle_hash"), ["doc_id", "key"], "left").select("doc_id", "text", "spans")
+    some = passing(keyed, spans, "doc_id", "key").join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans")
+    none = failing(keyed, spans, "doc_id", "key").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    joined = some.unionByName(none)  # texts without a repeat are not exchanged
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
 
 
