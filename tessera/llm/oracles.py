@@ -25,17 +25,16 @@ SELECT vec_id, coalesce(m.n, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS co
 
 def quality() -> str:
     """Measures, both distances and the verdict, from the same constants as the operator."""
-    total = sum(q.CLASS_SHARES)
     patterns = {"capital": r"[\p{Lu}\p{Lt}]", "letter": r"[\p{Ll}\p{Lm}\p{Lo}\p{M}]", "digit": r"\p{N}", "space": r"[\p{Z}\x09-\x0D]", "sentence": r"[.,;:!?''\"()-]", "symbol": r"[#*$%&|<>]"}
     cols = ", ".join(f"length(t) - length(regexp_replace(t, '{p}', '', 'g')) AS c_{k}" for k, p in patterns.items())
-    share = dict(zip(q.CLASSES, q.CLASS_SHARES, strict=True))
+    shares = ", ".join(f"('{k}', {', '.join(f'{x!r}::DOUBLE' for x in v)})" for k, v in q.CLASS_SHARES.items())
 
     def part(x: str, m: str) -> str:
         return f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ({m})) ELSE 0 END"
 
     terms = []
     for k in q.CLASSES:
-        p, r = f"(c_{k} / chars)", f"{share[k] / total!r}::DOUBLE"
+        p, r = f"(c_{k} / chars)", f"r_{k}"
         m = f"({p} + {r}) / 2"
         terms.append(f"{part(p, m)} + {part(r, m)}")
     refs = []
@@ -49,8 +48,9 @@ b AS (SELECT doc_id, lang, t, len(w)::BIGINT AS n_words, length(regexp_replace(t
 li AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d), dl AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM li WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
 tr AS (SELECT doc_id, unnest(range(len(w) - 2)) AS i, w FROM d WHERE len(w) >= 3), tw AS (SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g FROM tr),
 tc AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tw), rp AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM tc WHERE n > 1) GROUP BY 1),
-cc AS (SELECT doc_id, t, length(t) AS chars, {cols} FROM d), cl AS (SELECT *, chars - c_capital - c_letter - c_digit - c_space - c_sentence - c_symbol AS c_other FROM cc WHERE chars > 0),
-jc AS (SELECT doc_id, chars, sqrt(greatest(0, ({' + '.join(terms)}) / 2)) AS j FROM cl),
+cc AS (SELECT doc_id, lang, t, length(t) AS chars, {cols} FROM d), cl AS (SELECT *, chars - c_capital - c_letter - c_digit - c_space - c_sentence - c_symbol AS c_other FROM cc WHERE chars > 0),
+cref(ref_lang, {', '.join('r_' + k for k in q.CLASSES)}) AS (VALUES {shares}),
+jc AS (SELECT doc_id, chars, min(sqrt(greatest(0, ({' + '.join(terms)}) / 2))) AS j FROM cl JOIN cref ON lang IS NULL OR lang = ref_lang GROUP BY 1, 2),
 ref(lang, word, share) AS (VALUES {', '.join(refs)}), ws AS (SELECT doc_id, unnest(w) AS w FROM d),
 wc AS (SELECT doc_id, translate(trim(w, '.,;:!?''"()[]'), '{upper}', '{lower}') AS word, count(*) AS n FROM ws WHERE strlen(w) < 12 GROUP BY 1, 2),
 al AS (SELECT DISTINCT doc_id, lang FROM wc, (SELECT DISTINCT lang FROM ref)),

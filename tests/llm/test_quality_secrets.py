@@ -39,6 +39,17 @@ def test_verdicts(spark):
     assert got == {0: (False, True), 1: (False, False), 2: (False, False), 3: (False, False), 4: (True, False), 5: (True, False), 6: (True, False)}
 
 
+def test_classes_are_judged_by_the_own_language(spark):
+    assert all(abs(sum(v) - 1) < 1e-9 for v in quality.CLASS_SHARES.values()) and set(quality.CLASS_SHARES) == set(quality.COMMON)
+    rng = random.Random(2)
+    japanese = " ".join("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3)) for _ in range(120))
+    nouns = " ".join(w.capitalize() if i % 3 == 0 else w for i, w in enumerate(cases.prose(12, 140).lower().split()))
+    rows = [(1, japanese, "ja"), (2, nouns, "de"), (3, nouns, "en"), (4, nouns, None), (5, nouns, "xx")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[1].kept and got[1].js_classes is None and got[5].js_classes is None
+    assert got[2].js_classes < got[3].js_classes and got[4].js_classes == min(got[2].js_classes, got[3].js_classes)
+
+
 def test_edge_rows_and_clashing_columns(spark):
     docs = cases.documents(spark)
     assert quality.judge(docs).count() == len(cases.rows())
@@ -144,3 +155,29 @@ def test_keys_over_escaped_and_real_line_ends():
     assert keys(f"x {dsa.hex()}") == [("der", dsa.hex())]
     assert keys("x " + lines(base64.b64encode(RSA[:-3]).decode(), "\n")) == [] and not secrets.is_der_key(der(*[integer(x) for x in (1, 2, 3, 4, 5, 6)]))
     assert not secrets.is_der_key(der(*[integer(x) for x in (0, 2, 3, 4, 5)])) and not secrets.is_der_key(der(*[integer(x) for x in (0, 2, 3, 4, 5, 6, 7)]))
+
+
+def test_keys_behind_separators_and_below_headers():
+    def keys(text):
+        return [(k, text[a:b]) for k, a, b in secrets.scan(text) if k in ("der", "ssh")]
+
+    raw = base64.b64encode(RSA).decode()
+    for before in ("x/", "k_", "key-", "a+", "M/", "Mx/M/", "M" + "A" * 50 + "/"):
+        assert keys(f"{before}{raw} end") == [("der", raw)], before
+    lines = "\n".join(raw[i : i + 64] for i in range(0, len(raw), 64))
+    for headers in ("Proc-Type: 4,CLEAR\nComment: of a key\n\n", "Comment: x\n"):
+        pem = f"-----BEGIN RSA PRIVATE KEY-----\n{headers}{lines}\n-----END RSA PRIVATE KEY-----"
+        assert keys(f"a {pem} b") == [("der", pem)], headers
+    body = base64.b64encode(bytes(range(1, 97))).decode()
+    sealed = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert keys(sealed) == [("der", sealed)]
+    assert keys(sealed.replace("DEK-Info", "Other")) == [] and keys(sealed.replace(body, body[:8])) == []
+
+
+def test_long_runs_of_separators_take_linear_time():
+    import time
+
+    began = time.process_time()
+    assert secrets.scan("M/" * 100_000) == []
+    assert secrets.scan("-----BEGIN PRIVATE KEY-----" + "a: b\n" * 20_000) == []
+    assert time.process_time() - began < 20
