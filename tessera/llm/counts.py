@@ -13,7 +13,8 @@ Spaces become word marks, a text is cut before each mark, and counts
 of words are kept in a bounded per-process cache, so any length costs memory for
 one text only.
 
-Vocabulary: the pieces and scores of a piece file (a parameter), as they stand.
+Vocabulary: the text pieces and scores of a piece file (a parameter), as they stand;
+its control, unknown and byte pieces match no text.
 
 Edge cases: null or empty text has 0 pieces; nulls in other columns, ties and
 repeated rows change nothing; an empty table gives no row.
@@ -40,25 +41,28 @@ CACHE_ENTRIES = 300_000
 WORD = re.compile(f"{MARK}[^{MARK}]*|[^{MARK}]+")
 
 
-def vocabulary(path: str) -> tuple[list[tuple[str, float]], int]:
-    """(piece, score) in id order and the unknown's id, of a sentencepiece file."""
+def vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
+    """(piece, score) of the pieces that plain text can match, in id order, and whether bytes stand for unknowns, of a sentencepiece file.
+
+    Control, unknown, unused and byte pieces are markup of the file, not text.
+    """
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size())], sp.unk_id()
+    n = sp.get_piece_size()
+    pieces = [(sp.id_to_piece(i), sp.get_score(i)) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
+    return pieces, sum(sp.is_byte(i) for i in range(n)) == 256
 
 
 class Counter:
     """Piece counts under one vocabulary."""
 
-    def __init__(self, vocab: list[tuple[str, float]], unk_id: int):
+    def __init__(self, vocab: list[tuple[str, float]], bytes_: bool = False):
         self.trie = ahocorasick.Automaton()
         for piece, score in dict(vocab).items():
             if piece:
                 self.trie.add_word(piece, (len(piece), score))
         self.trie.make_automaton()
-        self.unknown = min(s for _, s in vocab) - UNKNOWN_PENALTY
-        self.unk_piece = vocab[unk_id][0]
-        pieces = {p for p, _ in vocab}
-        self.bytes = all(f"<0x{b:02X}>" in pieces for b in range(256))
+        self.unknown = min((s for _, s in vocab), default=0.0) - UNKNOWN_PENALTY
+        self.bytes = bytes_
         self.cache: dict[str, int] = {}
 
     def viterbi(self, word: str) -> int:
