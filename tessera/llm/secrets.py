@@ -32,9 +32,11 @@ KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
 LEAST = {"assign": 8, "access": 16}
 
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt])+)-----END \1-----")
+#: Group 2 holds header lines, group 3 the body.
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?:\s|\\+[nr])*[A-Za-z][A-Za-z0-9-]*:(?:[^\r\n\\])*(?:\\+[nr]|[\r\n]))*)((?:[A-Za-z0-9+/=\s]|\\+[nrt])+)-----END \1-----")
 #: DER sequences begin with byte 0x30, M in base64; the OpenSSH magic with b3BlbnNzaC1rZXkt.
-B64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{39,}={0,2}")
+B64 = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nrt]))(?:M|b3BlbnNzaC1rZXkt)(?=[A-Za-z0-9+/_-]{39})")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: The next line of a wrapped run; line ends may be escaped, as in JSON and source.
 WRAP = re.compile(r"[ \t]*(?:\\+[nr]|[\r\n])+[ \t]*([A-Za-z0-9+/_-]+)")
 PAD = re.compile(r"={0,2}")
@@ -96,6 +98,11 @@ def is_der_key(data: bytes | None) -> bool:
     return tags == [0x30, 4] and (der_items(inner[0][1]) or [(0, b"")])[0][0] == 6 and len(inner[1][1]) >= 32
 
 
+def is_sealed(headers: str, data: bytes | None) -> bool:
+    """A key under a passphrase: headers say so and name a cipher, the body is whole cipher blocks."""
+    return "ENCRYPTED" in headers and "DEK-Info:" in headers and bool(data) and len(data) >= 32 and len(data) % 8 == 0
+
+
 def is_ssh_key(data: bytes | None) -> bool:
     """An OpenSSH private key: magic, three counted strings, a key count and a counted key each."""
     if not data or not data.startswith(SSH_MAGIC):
@@ -122,19 +129,26 @@ def _der_size(head: bytes) -> int:
     """Bytes of a DER value, by its first bytes; 0 if they begin none."""
     if len(head) < 6 or head[0] != 0x30:
         return 0
+    if head[1] & 0x80 and (head[1] & 0x7F) > 4:
+        return 0
     k = head[1] & 0x7F if head[1] & 0x80 else 0
     return 0 if k > 4 or head[1] == 0x80 else 2 + (int.from_bytes(head[2 : 2 + k], "big") + k if k else head[1])
 
 
 def wrapped_key(text: str, start: int, end: int) -> tuple[str, int] | None:
     """(kind, end) of a base64 key whose first line is given: DER takes lines up to its own length, OpenSSH lines as wide as the first and a shorter one."""
+    ssh = text.startswith("b3Blb", start)
+    size = 0 if ssh else _der_size(_unbase64(text[start : start + 12]) or b"")
+    if not ssh and not size:
+        return None
+    need = -(-size * 4 // 3)
+    if not ssh and end - start > need + 2:
+        return None
     if kind := key_kind(_unbase64(text[start:end])):
         return kind, end
     if text[end - 1] == "=":
         return None
     lines, width = [text[start:end]], end - start
-    ssh = lines[0].startswith("b3Blb")
-    need = 0 if ssh else -(-_der_size(_unbase64(lines[0][:12]) or b"") * 4 // 3)
     got = width
     while len(lines[-1]) == width if ssh else got < need:
         m = WRAP.match(text, end)
@@ -173,14 +187,22 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     within: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if kind := key_kind(_unbase64(m[2])):
+            body = _unbase64(m[3])
+            if kind := key_kind(body) or ("der" if is_sealed(m[2], body) else None):
                 found.append((kind, m.start(), m.end()))
                 within.append(m.span())
-    for m in B64.finditer(text):
-        if not any(a <= m.start() < b for a, b in within):
-            if key := wrapped_key(text, *m.span()):
-                found.append((key[0], m.start(), key[1]))
-                within.append((m.start(), key[1]))
+    end = free = 0
+    for m in B64.finditer(text):  # a run that is no key may hold one after a separator
+        start = m.start()
+        if start < free or any(a <= start < b for a, b in within):
+            continue
+        if start >= end:
+            end = RUN.match(text, start).end()
+        if key := wrapped_key(text, start, end):
+            found.append((key[0], start, key[1]))
+            free = key[1]
+        elif m[0] != "M":
+            free = end
     for m in HEXDER.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             found.append(("der", m.start(), m.end()))
