@@ -41,6 +41,12 @@ def plan(n: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision over their largest component, so that no square or product overflows or vanishes."""
+    x = x.astype(np.float64)
+    return x / np.abs(x).max(axis=1, keepdims=True)
+
+
 def _planes(dim: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((dim, bits * tables))
 
@@ -61,7 +67,7 @@ def _hash(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                 x = flat[starts[pick][:, None] + np.arange(dim)]
                 if dim not in planes:
                     planes[dim] = _planes(dim, bits, tables)
-                sign = (x.astype(np.float64) @ planes[dim] > 0).reshape(len(pick), tables, bits)
+                sign = (scaled(x) @ planes[dim] > 0).reshape(len(pick), tables, bits)
                 codes = (sign * weight).sum(2)
                 key = (np.int64(dim) << np.int64(44)) ^ (np.arange(tables, dtype=np.int64) << np.int64(34)) ^ codes
                 raw, own = [v.tobytes() for v in x], [c.astype(np.int32).tobytes() for c in codes]
@@ -76,7 +82,7 @@ def _hash(classes: DataFrame, bits: int, tables: int) -> DataFrame:
 def _links(dealt: DataFrame, kind: str, tables: int, threshold: float) -> DataFrame:
     def kernel(t: pa.Table):
         ids, m = t["id"].to_numpy(), t["m"].to_numpy()
-        x = np.frombuffer(b"".join(t["vector"].to_pylist()), dtype=kind).reshape(len(ids), -1).astype(np.float64)
+        x = scaled(np.frombuffer(b"".join(t["vector"].to_pylist()), dtype=kind).reshape(len(ids), -1))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         codes = np.frombuffer(b"".join(t["codes"].to_pylist()), dtype=np.int32).reshape(len(ids), tables)
         table = int(t["key"][0].as_py() >> 34 & 0x3FF)
