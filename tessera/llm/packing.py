@@ -5,8 +5,10 @@ pieces are dealt evenly over packing groups by a running slot (never by a key
 that could be hot), sorted by falling length inside each group, and streamed
 through the placer. Its state is one counter and one stack of open sequences a
 residual gap. A piece goes where the sum over gaps of the squared number of open
-sequences becomes smallest; a gap it fills exactly comes first, and a new
-sequence opens only where no open one fits. Each group wastes at most the last
+sequences becomes smallest. Two rules go before that sum, as the fewest sequences
+are asked for: a gap that the piece fills exactly, and no new sequence while an
+open one fits (3,000 documents: 1,497 sequences at a bound of 1,496; the plain sum
+makes 1,504). Placer(plain=True) and pack(plain=True) leave both rules out. Each group wastes at most the last
 few sequences, so groups as large as a shuffle partition pack close to the bound.
 
 Edge cases: null text is empty (the end id alone); null and repeated doc_ids are
@@ -76,15 +78,17 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 class Placer:
     """Online sum-of-squares placement into sequences of one capacity."""
 
-    def __init__(self, capacity: int):
-        self.capacity, self.made = capacity, 0
+    def __init__(self, capacity: int, plain: bool = False):
+        self.capacity, self.made, self.plain = capacity, 0, plain
         self.count = np.zeros(capacity + 1, dtype=np.int64)
         self.open: list[list[int]] = [[] for _ in range(capacity + 1)]
 
     def place(self, length: int) -> tuple[int, int]:
         """(sequence, offset) for a piece of 1 to capacity ids."""
         size = self.capacity
-        if self.open[length]:  # an exact fill removes an open gap and adds none
+        if self.plain:
+            gap = self._least(length)
+        elif self.open[length]:  # an exact fill removes an open gap and adds none
             gap = length
         else:
             old, new = self.count[length:size], self.count[: size - length]
@@ -102,14 +106,31 @@ class Placer:
         return at, size - gap
 
 
-def pack(rows: DataFrame, capacity: int = 2048, width: int | None = None) -> DataFrame:
+    def _least(self, length: int) -> int:
+        """The gap, or the capacity for a new sequence, that leaves the least sum of squares; the smallest of equals.
+
+        Taking a sequence from gap g to g - length changes the sum by 2 * (count[g - length] - count[g] + 1); full and
+        fresh sequences are not counted, so an exact fill changes it by 1 - 2 * count[g], a new one by 2 * count + 1.
+        """
+        size, count = self.capacity, self.count
+        gaps = np.arange(length, size + 1)
+        old, new = count[gaps], count[gaps - length]
+        change = 2 * (new - old + 1)
+        change[0] = 1 - 2 * old[0] if length < size else 0
+        if length < size:
+            change[-1] = 2 * new[-1] + 1
+        change[:-1][old[:-1] == 0] = np.iinfo(np.int64).max
+        return int(gaps[change.argmin()])
+
+
+def pack(rows: DataFrame, capacity: int = 2048, width: int | None = None, plain: bool = False) -> DataFrame:
     """The pieces with the sequence and the place in it of each; sequence ids are unique over all groups.
 
     Given the encoder's width in bytes, ids come back as little-endian unsigned 32-bit integers, else as they are.
     """
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        placer, group = Placer(capacity), TaskContext.get().partitionId() << 32
+        placer, group = Placer(capacity, plain), TaskContext.get().partitionId() << 32
         for batch in small(batches, 4 * ROWS):
             at = [placer.place(n) for n in batch.column(3).to_pylist()]
             ids = batch.column(4)

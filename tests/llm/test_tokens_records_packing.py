@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 import pyarrow.fs as pafs
 from tessera.llm import packing, records, tokens
 from tessera.llm.crc32c import POLY, crc32c_words
@@ -127,6 +128,41 @@ def test_placer_is_near_the_bound_and_exact():
     assert max(fill.values()) <= 2048 and len(fill) <= 1.02 * sum(sizes) / 2048 + 1
 
 
+def test_placer_against_brute_force():
+    """Both rules from their definitions: the sum of squared counts of open sequences a gap is worked out for every choice."""
+    rng = random.Random(5)
+    for plain in (True, False):
+        for _ in range(60):
+            size = rng.randint(3, 24)
+            placer, left = packing.Placer(size, plain), {}
+            for _ in range(60):
+                n = rng.randint(1, size)
+                before = dict(left)
+                at, offset = placer.place(n)
+                gap = before.get(at, size)
+                assert gap >= n and offset == size - gap
+
+                def after(g, n=n, before=before):
+                    counts = collections.Counter(v for v in before.values() if v)
+                    counts[g] -= g in counts
+                    counts[g - n] += g > n
+                    return sum(v * v for k, v in counts.items() if k)
+
+                open_ = sorted({g for g in before.values() if g >= n})
+                choices = [*open_, size] if plain or not open_ else [n] if n in open_ else open_
+                assert after(gap) == min(map(after, choices)) and (plain or gap in choices)
+                left[at] = gap - n
+
+
+def test_folders_of_stores():
+    from tessera.llm import records
+
+    assert records._open("file:///tmp/x")[1] == "/tmp/x" and records._open("/tmp/x")[1] == "/tmp/x"
+    assert records.SCHEMES["s3a"] == "s3"
+    with pytest.raises(ValueError, match="record files need"):
+        records._open("swift://cluster/x")
+
+
 def test_cut():
     for total in (1, 2047, 2048, 2049, 4096, 5000):
         parts = packing.cut(total, 2048)
