@@ -71,8 +71,18 @@ def _payload(doc_id: int | None, ids: bytes) -> bytes:
     return head + ids + b"\0" * pad
 
 
+#: Schemes that Spark's and Arrow's file systems name differently.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}
+
+
 def _open(uri: str):
-    return pafs.FileSystem.from_uri(uri)
+    """(file system, path) of a folder that Spark names; a scheme that Arrow doesn't know is an error that says so."""
+    scheme, mark, rest = uri.partition("://")
+    uri = SCHEMES.get(scheme, scheme) + mark + rest
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"record files need a folder on file, hdfs, s3a, abfss or gs; got {uri}") from e
 
 
 def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, num_shards: int | None = None) -> DataFrame:
