@@ -5,7 +5,8 @@ time is its source's running word count, repeats included, over the source's
 target. Documents of all sources are range-sorted by that time and the order is
 cut at the total budget. Running sums are taken per range partition and shifted
 by the sums of the partitions before, so a source that holds most rows is spread
-over many tasks; the driver sees one row a partition and source.
+over many tasks. Sources may be many: their sizes, places and targets stay distributed
+too; the driver sees one row a partition.
 
 Edge cases: null text has size 0; a null source is a source of its own, last in
 order; null doc_ids hash as the word null; repeated rows are separate documents;
@@ -21,31 +22,38 @@ from collections.abc import Iterable, Iterator, Sequence
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import text as words
 from tessera.llm.batches import small
+from tessera.plans.prefix import numbered, running
 from tessera.plans.shared import materialize
 
 _SIZE, _KEY, _PART, _CUM, _SOURCE = "_mix_size", "_mix_key", "_mix_part", "_mix_cum", "_mix_source"
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], share: float, most: float) -> list[float]:
-    """Water-filling: share * sum(sizes) dealt by weight, none above most times its size.
+def _goals(parts: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """A row a source: its place (code points, null last), size and target by water-filling.
 
-    A source stops at its cap where the common level (words a weight) passes cap / weight, so caps are met in the
-    order of that ratio.
+    share times all sizes is dealt by weight, none above most times its size. Sources stop at their caps in the order of
+    cap over weight; the first whose part of the rest is within its cap sets the level (words a weight) for all after it.
+    Sources may be many: places and running sums come from distributed ranges; only totals and the level reach the driver.
     """
-    left, weight = share * sum(sizes), sum(w for w, n in zip(weights, sizes, strict=True) if n)
-    level = None
-    for i in sorted((i for i, n in enumerate(sizes) if n), key=lambda i: most * sizes[i] / weights[i]):
-        if left / weight * weights[i] <= most * sizes[i]:
-            level = left / weight
-            break
-        left, weight = left - most * sizes[i], weight - weights[i]
-    return [0.0 if not n else float(most * n) if level is None else float(min(most * n, level * w)) for n, w in zip(sizes, weights, strict=True)]
+    sizes = numbered(parts.groupBy(_SOURCE).agg(F.sum("n").alias("source_size")), [F.col(_SOURCE).asc_nulls_last()], "_mix_rank").withColumn("_mix_rank", F.col("_mix_rank") - 1)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_mix_rank") % len(weights) + 1).cast("int"))
+    sizes = materialize(sizes.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(most))), "sources")
+    used = sizes.filter("source_size > 0")
+    total = used.agg(F.sum("source_size").alias("n"), F.sum("_w").alias("w")).first()
+    if total.n is None:
+        return sizes.select(_SOURCE, "_mix_rank", "source_size", F.lit(0.0).alias("target"))
+    order = [F.asc("_ratio"), F.asc("_mix_rank")]
+    queue = running(used.select("_mix_rank", "_w", "_cap", (F.col("_cap") / F.col("_w")).alias("_ratio")), order, {"_caps": F.col("_cap"), "_ws": F.col("_w")})
+    rest = (F.lit(float(share * total.n)) - (F.col("_caps") - F.col("_cap"))) / (F.lit(float(total.w)) - (F.col("_ws") - F.col("_w")))
+    level = queue.withColumn("_rest", rest).filter(F.col("_rest") * F.col("_w") <= F.col("_cap")).agg(F.min(F.struct("_ratio", "_mix_rank", "_rest")).alias("x")).first().x
+    target = F.col("_cap") if level is None else F.least(F.col("_cap"), F.lit(level["_rest"]) * F.col("_w"))
+    return sizes.select(_SOURCE, "_mix_rank", "source_size", F.when(F.col("source_size") > 0, target).otherwise(0.0).alias("target"))
 
 
 def _sized(docs: DataFrame, text: str) -> DataFrame:
@@ -100,29 +108,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     ranged = sized.withColumn(_KEY, number.cast("long")).repartitionByRange(*keys).sortWithinPartitions(*keys)
     rows = materialize(_running(ranged, _SOURCE), "mix")
 
-    # one row a partition and source: partitions plus sources in all
-    parts = rows.groupBy(_PART, _SOURCE).agg(F.max(_CUM).alias("n")).collect()
-    order = sorted({p[_SOURCE] for p in parts}, key=lambda s: (s is None, s or ""))
-    found = dict.fromkeys(order, 0)
-    for p in parts:
-        found[p[_SOURCE]] += p.n
-    sizes = [found[s] for s in order]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(order))], share, max_repeats)
-    rank = {s: i for i, s in enumerate(order)}
-    offsets, so_far = [], [0] * len(order)
-    for p in sorted(parts, key=lambda p: p[_PART]):
-        i = rank[p[_SOURCE]]
-        offsets.append((p[_PART], p[_SOURCE], i, so_far[i], sizes[i], goal[i]))
-        so_far[i] += p.n
-    about = spark.createDataFrame(offsets, f"{_PART} long, {_SOURCE} string, _mix_rank int, _mix_before long, source_size long, target double")
-    about = about.withColumnRenamed(_PART, "_mix_p").withColumnRenamed(_SOURCE, "_mix_s")
+    parts = materialize(rows.groupBy(_PART, _SOURCE).agg(F.max(_CUM).alias("n")), "parts")  # one row a partition and source
+    goals = _goals(parts, weights, share, max_repeats)
+    before = Window.partitionBy(_SOURCE).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    about = parts.withColumn("_mix_before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumnsRenamed({_PART: "_mix_p", _SOURCE: "_mix_s"})
+    about = about.join(goals, F.col("_mix_s").eqNullSafe(F.col(_SOURCE))).select("_mix_p", "_mix_s", "_mix_rank", "_mix_before", "source_size", "target")
+    about = materialize(about, "about")  # a written side lets AQE split a hot partition of the other
     placed = rows.join(about, (rows[_PART] == about["_mix_p"]) & rows[_SOURCE].eqNullSafe(about["_mix_s"])).drop("_mix_p", "_mix_s")
+    total = goals.agg(F.sum("source_size")).first()[0] or 0
 
     def finish(copy) -> F.Column:
         return F.when(F.col("target") > 0, (copy * F.col("source_size") + F.col("_mix_before") + F.col(_CUM)) / F.col("target"))
 
     queue = placed.select(_SIZE, "_mix_rank", F.explode(F.array(*[finish(F.lit(e)) for e in range(max_repeats)])).alias("_mix_finish")).filter(f"_mix_finish IS NOT NULL AND {_SIZE} > 0")
-    cut = _cut(queue, share * sum(sizes))
+    cut = _cut(queue, share * total)
     within = [(finish(F.lit(e)) < F.lit(cut[0])) | ((finish(F.lit(e)) == F.lit(cut[0])) & (F.col("_mix_rank") <= F.lit(cut[1]))) for e in range(max_repeats)]
     copies = sum((F.when(w & (F.col(_SIZE) > 0), 1).otherwise(0) for w in within[1:]), F.when(within[0] & (F.col(_SIZE) > 0), 1).otherwise(0))
     return placed.select(
