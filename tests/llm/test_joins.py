@@ -182,3 +182,11 @@ def test_segments_of_very_long_texts(monkeypatch):
         return {int(s) + k: int(a) for a, _, s, n in zip(*found, strict=True) for k in range(int(n))}
 
     assert places(whole) == places(cut)
+
+
+def test_components_of_any_magnitude(spark):
+    """Vectors whose squares overflow or vanish in double precision still link by direction alone."""
+    base = [0.3, -1.0, 2.0, 0.7]
+    rows = [(1, [x * 1e200 for x in base]), (2, [x * 1e-200 for x in base]), (3, [x * 1.0 for x in base]), (4, [x * 1.7e308 / 2 for x in base[:1] + base[2:3] + base[1:2] + base[3:]])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}

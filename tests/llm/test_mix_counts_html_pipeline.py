@@ -12,11 +12,25 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from tests.llm import cases
 
 
-def test_targets_fill_by_weight_and_stop_at_caps():
-    sizes, weights = [100, 1000, 0, 10], [5, 2, 1, 5]
-    t = mixing.targets(sizes, weights, 1.5, 2)
-    assert t == [200.0, 1445.0, 0.0, 20.0] and sum(t) == 1.5 * 1110
-    assert mixing.targets([], [], 1.5, 2) == [] and mixing.targets([7], [5], 3.0, 2) == [14.0]
+def goals(spark, sizes, weights, share, most):
+    parts = spark.createDataFrame([(i % 2, f"s{k:03}", n // 2 if i < 2 else n - n // 2) for k, n in enumerate(sizes) for i in (0, 3)], f"{mixing._PART} long, {mixing._SOURCE} string, n long")
+    return [(r.source_size, r.target) for r in mixing._goals(parts, weights, share, most).orderBy("_mix_rank").collect()]
+
+
+def test_targets_fill_by_weight_and_stop_at_caps(spark):
+    t = goals(spark, [100, 1000, 0, 10], [5, 2, 1, 5], 1.5, 2)
+    assert t == [(100, 200.0), (1000, 1445.0), (0, 0.0), (10, 20.0)] and sum(x for _, x in t) == 1.5 * 1110
+    assert goals(spark, [], [5], 1.5, 2) == [] and goals(spark, [7], [5], 3.0, 2) == [(7, 14.0)] and goals(spark, [0], [5], 1.5, 2) == [(0, 0.0)]
+
+
+def test_mix_of_many_sources(spark):
+    """As many sources as documents: targets by the plain loop over all sources."""
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randint(0, 30), f"host{i % 700:04}") for i in range(1400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken = brute_mix(rows)
+    by_id = {r.doc_id: r for r in got}
+    assert all(by_id[i].copies == taken[i] for i in range(len(rows)))
 
 
 def test_mix_edge_cases(spark):
@@ -47,17 +61,21 @@ def test_mix_near_targets_with_a_hot_source(spark):
 def test_counts_equal_the_library():
     import public_tokenizers
 
-    vocab, unk = counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    vocab, has_bytes = counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    assert has_bytes and not {"<s>", "</s>", "<unk>", "<0x41>"} & {p for p, _ in vocab}
+    in_bytes = [("<unk>", 0.0)] + [(f"<0x{b:02X}>", 0.0) for b in range(256)]
     rng = random.Random(0)
     texts = [cases.prose(1, 300), "", " ", "  a  b ", "日本語 テキスト 🙂🙂 x", "\n\n a\tb", "▁▁a b▁c"]
     texts += ["".join(rng.choice("abe 🙂ñ\nth<0x>▁日é") for _ in range(rng.randint(0, 40))) for _ in range(800)]
-    small = [("<unk>", 0.0), ("▁", -3.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("aa", -2.0), ("▁a", -4.0), ("ba", -1.5), ("aba", -3.0)]
-    for v, u, fallback in ((vocab, unk, True), ([x for x in vocab if not x[0].startswith("<0x")], 0, False), (small, 0, False)):
-        tk = Tokenizer(models.Unigram(v, unk_id=u, byte_fallback=fallback))
+    small = [("▁", -3.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("aa", -2.0), ("▁a", -4.0), ("ba", -1.5), ("aba", -3.0)]
+    for v, fallback in ((vocab, True), (vocab, False), (small, False)):
+        tk = Tokenizer(models.Unigram((in_bytes if fallback else in_bytes[:1]) + v, unk_id=0, byte_fallback=fallback))
         tk.pre_tokenizer = pre_tokenizers.Metaspace(replacement=counts.MARK, prepend_scheme="always")
-        c = counts.Counter(v, u)
+        c = counts.Counter(v, fallback)
         for t in texts:
             assert c.count(t) == len(tk.encode(t, add_special_tokens=False).ids), t
+    c = counts.Counter(vocab, has_bytes)
+    assert c.count("a<s>") > 2 and c.count("<0x41>") > 2  # markup of the file is plain text here
 
 
 def test_count_edge_cases(spark):
@@ -133,8 +151,8 @@ def brute_kept(text, lang):
         return "capital" if c.isupper() or c.istitle() else "letter" if c.isalpha() else "digit" if c.isnumeric() else "space" if c.isspace() else "other"
 
     chars = collections.Counter(map(kind, text))
-    total = sum(quality.CLASS_SHARES)
-    if len(text) >= 200 and distance([chars[k] / len(text) for k in quality.CLASSES], [x / total for x in quality.CLASS_SHARES]) > quality.MAX_CLASS_DISTANCE:
+    lines = [v for k, v in quality.CLASS_SHARES.items() if lang in (None, k)]
+    if len(text) >= 200 and lines and min(distance([chars[k] / len(text) for k in quality.CLASSES], v) for v in lines) > quality.MAX_CLASS_DISTANCE:
         return False
     if len(ws) >= 150 and (lang is None or lang in quality.COMMON):
         plain = collections.Counter(w.strip(".,;:!?'\"()[]").lower() for w in ws if len(w.encode()) < 12)
