@@ -29,10 +29,13 @@ def causal_windows(df: DataFrame, key: str, seq: Column, width: int, stride: int
     """(key, start, window, labels) of each document: starts at every stride until a window reaches the end; labels are the next tokens."""
     x = df.select(key, seq.alias("_s")).filter(F.size("_s") >= 2)
     x = x.withColumn("_last", F.ceil(F.greatest(F.size("_s") - width, F.lit(0)) / stride).cast("int"))
-    y = x.select(key, "_s", F.explode(F.transform(F.sequence(F.lit(0), "_last"), lambda i: i * stride)).alias("start")).filter(F.col("start") + 1 < F.size("_s"))
-    own = F.slice("_s", F.col("start") + 1, width)
-    after = F.slice("_s", F.col("start") + 2, width)
-    return y.select(key, "start", padded(own, width, PAD).alias("window"), padded(after, width, IGNORE).alias("labels"))
+
+    def cut(i: Column) -> Column:
+        return F.struct((i * stride).alias("start"), F.slice("_s", i * stride + 1, width).alias("own"), F.slice("_s", i * stride + 2, width).alias("after"))
+
+    # the slices are cut in the row of their sequence, so no row carries the whole of it
+    y = x.select(key, F.size("_s").alias("_n"), F.explode(F.transform(F.sequence(F.lit(0), "_last"), cut)).alias("e")).filter(F.col("e.start") + 1 < F.col("_n"))
+    return y.select(key, "e.start", padded(F.col("e.own"), width, PAD).alias("window"), padded(F.col("e.after"), width, IGNORE).alias("labels"))
 
 
 def padded(a: Column, width: int, pad: int) -> Column:
@@ -43,9 +46,13 @@ def padded(a: Column, width: int, pad: int) -> Column:
 def next_token_windows(df: DataFrame, key: str, seq: Column, width: int) -> DataFrame:
     """(key, t, window, target): every place of a sequence at least as long as the window, the window filled at its left."""
     x = df.select(key, seq.alias("_s")).filter((F.size("_s") >= width) & (F.size("_s") > 1))
-    y = x.select(key, "_s", F.explode(F.sequence(F.lit(1), F.size("_s") - 1)).alias("t"))
-    own = F.slice("_s", F.greatest(F.col("t") - width, F.lit(0)) + 1, F.least(F.col("t"), F.lit(width)))
-    return y.select(key, "t", F.concat(F.array_repeat(F.lit(PAD), F.greatest(F.lit(width) - F.col("t"), F.lit(0))), own).alias("window"), F.element_at("_s", F.col("t") + 1).alias("target"))
+
+    def cut(t: Column) -> Column:
+        own = F.slice("_s", F.greatest(t - width, F.lit(0)) + 1, F.least(t, F.lit(width)))
+        return F.struct(t.alias("t"), own.alias("own"), F.element_at("_s", t + 1).alias("target"))
+
+    y = x.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("_s") - 1), cut)).alias("e")).select(key, "e.*")
+    return y.select(key, "t", F.concat(F.array_repeat(F.lit(PAD), F.greatest(F.lit(width) - F.col("t"), F.lit(0))), "own").alias("window"), "target")
 
 
 def finetuning_windows(df: DataFrame, key: str, prompt: Column, response: Column, width: int, policy: str) -> DataFrame:
@@ -83,16 +90,16 @@ def packed_windows(df: DataFrame, key: str, length: Column, width: int) -> DataF
     return y.select("window", key, begin.alias("begin"), end.alias("end"))
 
 
-def shared(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, v: acc + F.least(F.size(F.filter(a, lambda x: x == v)), F.size(F.filter(b, lambda x: x == v))))
-
-
-def overlap(reference: Column, made: Column) -> dict[str, Column]:
-    """Multiset precision, recall and F1 of two token arrays; 0 if either is empty."""
-    k, n, m = shared(reference, made), F.size(reference), F.size(made)
-    p, q = F.coalesce(F.try_divide(k, m), F.lit(0.0)), F.coalesce(F.try_divide(k, n), F.lit(0.0))
-    return {"precision": p, "recall": q, "f1": F.coalesce(F.try_divide(2 * p * q, p + q), F.lit(0.0))}
+def overlap(df: DataFrame, keys: list[str], reference: Column, made: Column) -> DataFrame:
+    """keys and multiset precision, recall and f1 of two token arrays; 0 if either is empty. Tokens are counted as rows, so long texts cost what they hold."""
+    x = df.select(*keys, reference.alias("a"), made.alias("b"))
+    sides = x.select(*keys, F.explode("a").alias("w"), F.lit(1).alias("ca"), F.lit(0).alias("cb")).unionByName(x.select(*keys, F.explode("b").alias("w"), F.lit(0).alias("ca"), F.lit(1).alias("cb")))
+    counted = sides.groupBy(*keys, "w").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
+    both = counted.groupBy(*keys).agg(F.sum(F.least("ca", "cb")).alias("k"), F.sum("ca").alias("n"), F.sum("cb").alias("m"))
+    p, q = F.coalesce(F.try_divide("k", "m"), F.lit(0.0)), F.coalesce(F.try_divide("k", "n"), F.lit(0.0))
+    scores = both.select(*keys, p.alias("precision"), q.alias("recall"))
+    out = x.select(*keys).join(scores, keys, "left").fillna(0.0, ["precision", "recall"])
+    return out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
 def ngrams(a: Column, n: int) -> Column:
@@ -226,7 +233,7 @@ QUERIES = {
     "finetuning_response_tail": lambda s, d: _sft(s, d, "response_tail"),
     "packed_starts": lambda s, d: packed_starts(_docs(s, d), "doc_id", F.length("text")),
     "packed_windows": lambda s, d: packed_windows(_docs(s, d), "doc_id", F.length("text"), 4096),
-    "token_overlap": lambda s, d: _pairs(s, d).select("conv_id", "turn", *[F.round(c, 6).alias(k) for k, c in overlap(_w("question"), _w("answer")).items()]),
+    "token_overlap": lambda s, d: overlap(_pairs(s, d), ["conv_id", "turn"], _w("question"), _w("answer")).select("conv_id", "turn", *[F.round(k, 6).alias(k) for k in ("precision", "recall", "f1")]),
     "ngram_overlap": lambda s, d: ngram_overlap(_pairs(s, d), ["conv_id", "turn"], _w("question"), _w("answer")),
     "edit_similarity": lambda s, d: _pairs(s, d).select("conv_id", "turn", F.round(edit_similarity(F.col("question"), F.col("answer")), 6).alias("similarity")),
     "chat_chatml": lambda s, d: _chat(s, d, "chatml"),
@@ -289,10 +296,10 @@ SELECT item_id, t::INT AS t, array_to_string(list_transform(range(8), lambda k:
     "packed_windows": """WITH s AS (SELECT doc_id, (sum(length(text)) OVER (ORDER BY doc_id) - length(text))::BIGINT AS b, length(text) AS n FROM documents),
 w AS (SELECT *, unnest(range(b // 4096, (b + n - 1) // 4096 + 1)) AS "window" FROM s WHERE n > 0)
 SELECT "window", doc_id, greatest("window" * 4096 - b, 0) AS begin, least(("window" + 1) * 4096 - b, n) AS "end" FROM w""",
-    "token_overlap": f"""WITH {_PAIRS}, t AS (SELECT conv_id, turn, {_TOK.format('question')}[1:40] AS a, {_TOK.format('answer')}[1:40] AS b FROM q), k AS (SELECT *, {_SHARED.format(a='a', b='b')} AS k FROM t),
+    "token_overlap": f"""WITH {_PAIRS}, t AS (SELECT conv_id, turn, {_TOK.format('question')} AS a, {_TOK.format('answer')} AS b FROM q), k AS (SELECT *, {_SHARED.format(a='a', b='b')} AS k FROM t),
 r AS (SELECT conv_id, turn, coalesce(k / nullif(len(b), 0), 0) AS p, coalesce(k / nullif(len(a), 0), 0) AS q FROM k)
 SELECT conv_id, turn, round(p, 6) AS "precision", round(q, 6) AS recall, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 6) AS f1 FROM r""",
-    "ngram_overlap": f"""WITH {_PAIRS}, t AS (SELECT conv_id, turn, {_TOK.format('question')}[1:40] AS a, {_TOK.format('answer')}[1:40] AS b FROM q), u AS (SELECT *, least(len(a), len(b), 4) AS top FROM t)
+    "ngram_overlap": f"""WITH {_PAIRS}, t AS (SELECT conv_id, turn, {_TOK.format('question')} AS a, {_TOK.format('answer')} AS b FROM q), u AS (SELECT *, least(len(a), len(b), 4) AS top FROM t)
 SELECT conv_id, turn, round(coalesce(({_NGRAM}) / nullif(top, 0), 0), 6) AS score FROM u""",
     "chat_chatml": _chat_sql("chatml"),
     "chat_zephyr": _chat_sql("zephyr"),
