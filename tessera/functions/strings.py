@@ -128,5 +128,5 @@ FROM (SELECT *, greatest(12 - length(p_type), 0) AS g FROM part)""",
     "identifier": """SELECT p_partkey, CASE WHEN regexp_matches(t, '^[0-9]') THEN '_' || t ELSE t END AS name FROM (SELECT p_partkey, trim(regexp_replace(lower(concat_ws(' ', p_size, p_name, p_brand)), '[^a-z0-9]+', '_', 'g'), '_') AS t FROM part)""",
     "byte_entropy": """WITH b AS (SELECT item_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM benchmark), c AS (SELECT item_id, x, count(*) AS n FROM b GROUP BY 1, 2), p AS (SELECT item_id, n / sum(n) OVER (PARTITION BY item_id) AS p FROM c)
 SELECT item_id, round(-sum(p * log2(p)), 6) AS bits FROM p GROUP BY 1""",
-    "hash_functions": "SELECT doc_id, md5(text) AS m, sha1(text) AS s, sha256(text) AS h, to_base64(encode(substr(text, 1, 20))) AS b FROM documents",
+    "hash_functions": "SELECT doc_id, md5(text) AS m, sha1(text) AS s, sha256(text) AS h, to_base64(encode(text)) AS b FROM documents",
 }
