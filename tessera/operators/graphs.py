@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import components
+from tessera.plans.prefix import numbered
 from tessera.plans.shared import discard, materialize
 from tessera.plans.session import table
 
@@ -31,8 +32,9 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 
 def shortest_share(edges: DataFrame, share: float) -> DataFrame:
-    """The given share of edges with the smallest weights, ties by pair; a top-k, not a full sort."""
-    return edges.orderBy("w", "i1", "i2").limit(int(edges.count() * share))
+    """The given share of edges with the smallest weights, ties by pair; places come from distributed ranges, as the share grows with the table."""
+    placed = numbered(edges, [F.asc("w"), F.asc("i1"), F.asc("i2")], "_place")
+    return placed.filter(F.col("_place") <= int(edges.count() * share)).drop("_place")
 
 
 def component_sizes(edges: DataFrame) -> DataFrame:
@@ -94,7 +96,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", ve
     """(src, dst, dist) of the k rows nearest to each query by squared distance, ties by id; a query set against all rows.
 
     Queries are cut into blocks; every task holds one block of queries beside its own rows, keeps k candidates a query, and
-    an aggregation merges them. Memory follows the block, whatever the number of rows.
+    an aggregation merges them. A block's result is written before the next block is read, so tasks and driver hold one
+    block at a time, whatever the number of rows and queries.
     """
     import math
 
@@ -103,11 +106,16 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", ve
     cut = queries.select(F.col(key).alias("qid"), F.col(vector).cast("array<double>").alias("qv"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
     merged: DataFrame | None = None
     for b in range(blocks):
-        held = [(r.qid, r.qv) for r in cut.filter(F.col("block") == b).select("qid", "qv").collect()]  # at most about one block
-        part = _scan(rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")), held, k)
+        held = [(r.qid, r.qv) for r in cut.filter(F.col("block") == b).select("qid", "qv").collect()]  # about one block
+        part = materialize(_best(_scan(rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")), held, k), k), "nearest")
         merged = part if merged is None else merged.unionByName(part)
-    best = merged.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("c"))
-    return best.select("src", F.explode(F.slice("c", 1, k)).alias("e")).select("src", "e.dst", F.round("e.dist", 5).alias("dist"))
+    return merged
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query of what tasks found: at most k rows a query and task."""
+    best = found.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "dst"))), 1, k).alias("c"))
+    return best.select("src", F.explode("c").alias("e")).select("src", "e.dst", F.round("e.dist", 5).alias("dist"))
 
 
 def _scan(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
@@ -206,7 +214,7 @@ QUERIES = {
     "component_sizes": lambda s, d: component_sizes(_follow(s, d)),
     "modularity": lambda s, d: modularity(undirected(_trade(s, d), "a", "b", "w"), table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_regionkey").alias("label"))),
     "label_propagation": lambda s, d: propagate(undirected(_trade(s, d), "a", "b", "w"), 2),
-    "moral_graph": lambda s, d: moral_graph(table(s, d, "lineitem").select(F.col("l_suppkey").alias("child"), (F.col("l_partkey") + 1000000).alias("parent"))),
+    "moral_graph": lambda s, d: moral_graph(table(s, d, "lineitem").select(F.col("l_orderkey").alias("child"), (-F.col("l_partkey")).alias("parent"))),
     "symmetric_edges": lambda s, d: symmetric(_trade(s, d).select(F.col("a").alias("i1"), F.col("b").alias("i2"))),
     "nearest_neighbours": lambda s, d: nearest(*_queries_and_rows(s, d), 5),
     "kmeans_step": lambda s, d: assign(_vectors(s, d), "vec_id", "embedding", seeds(_vectors(s, d), "vec_id", "embedding", 4)),
@@ -214,9 +222,9 @@ QUERIES = {
 
 _TRADE = "t AS (SELECT c_nationkey::BIGINT AS a, s_nationkey::BIGINT AS b, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"
 _UND = f"{_TRADE}, u AS (SELECT least(a, b) AS i1, greatest(a, b) AS i2, min(w) AS w FROM t GROUP BY 1, 2), z AS (SELECT i1, i2, w FROM u UNION ALL SELECT i2, i1, w FROM u WHERE i1 <> i2)"
-_FOLLOW = """f AS (SELECT l_suppkey, l_partkey, min(l_partkey) OVER (PARTITION BY l_suppkey) AS a FROM lineitem WHERE l_quantity <= 2), e AS (SELECT DISTINCT least(a, l_partkey) AS x, greatest(a, l_partkey) AS y FROM f WHERE a <> l_partkey),
-l AS (SELECT x AS p, y AS q FROM e UNION SELECT y, x FROM e), r(node, root) AS (SELECT p, p FROM l UNION SELECT l.q, r.root FROM r JOIN l ON l.p = r.node WHERE r.root < l.q),
-c AS (SELECT node, min(root) AS root FROM r GROUP BY node)"""
+_FOLLOW = """f AS (SELECT l_suppkey, l_partkey, min(l_partkey) OVER (PARTITION BY l_suppkey) AS a FROM lineitem), e AS (SELECT DISTINCT least(a, l_partkey) AS x, greatest(a, l_partkey) AS y FROM f WHERE a <> l_partkey),
+l AS (SELECT x AS p, y AS q FROM e UNION SELECT y, x FROM e), c(node, root) USING KEY (node) AS (SELECT p, min(least(p, q)) FROM l GROUP BY p
+  UNION SELECT l.q, min(c.root) FROM c JOIN l ON l.p = c.node JOIN recurring.c AS k ON k.node = l.q WHERE c.root < k.root GROUP BY l.q)"""
 _VOTE = """n{k} AS (SELECT i1 AS node, label FROM (SELECT z.i1, n{j}.label, row_number() OVER (PARTITION BY z.i1 ORDER BY round(sum(w), 6) DESC, n{j}.label) AS rn FROM z JOIN n{j} ON z.i2 = n{j}.node WHERE z.i1 <> z.i2 GROUP BY 1, 2) WHERE rn = 1)"""
 _DIST = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
 
@@ -231,7 +239,7 @@ ORACLES = {
 k AS (SELECT l, sum(w) AS k FROM (SELECT l1 AS l, w FROM x UNION ALL SELECT l2, w FROM x) GROUP BY 1)
 SELECT round(sum(CASE WHEN l1 = l2 THEN w ELSE 0 END) / sum(w) - (SELECT sum(k * k) FROM k) / (4 * sum(w) * sum(w)), 6) AS q FROM x""",
     "label_propagation": f"WITH {_UND}, n0 AS (SELECT DISTINCT i1 AS node, i1 AS label FROM z WHERE i1 <> i2), {_VOTE.format(k=1, j=0)}, {_VOTE.format(k=2, j=1)} SELECT node, label FROM n2",
-    "moral_graph": """WITH e AS (SELECT DISTINCT l_suppkey AS child, l_partkey + 1000000 AS parent FROM lineitem WHERE l_quantity = 1)
+    "moral_graph": """WITH e AS (SELECT DISTINCT l_orderkey AS child, -l_partkey AS parent FROM lineitem)
 SELECT least(parent, child) AS a, greatest(parent, child) AS b FROM e UNION SELECT x.parent, y.parent FROM e x JOIN e y ON x.child = y.child AND x.parent < y.parent""",
     "symmetric_edges": f"WITH {_TRADE} SELECT count(*) AS n, count(*) FILTER (NOT EXISTS (SELECT 1 FROM t q WHERE q.a = t.b AND q.b = t.a)) AS one_way FROM t",
     "nearest_neighbours": f"""WITH p AS (SELECT q.vec_id AS src, e.vec_id AS dst, {_DIST.format(a='q.embedding', b='e.embedding')} AS dist FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)
@@ -241,8 +249,6 @@ SELECT src, dst, round(dist, 5) AS dist FROM (SELECT *, row_number() OVER (PARTI
 
 def random_pairs(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n random pairs of different rows' keys, the smaller first, distinct: two hashes of a counter pick two places in key order."""
-    from tessera.plans.prefix import numbered
-
     placed = numbered(rows.select(key), [F.asc(key)], "pos").withColumn("pos", F.col("pos") - 1)
     size = placed.count()
     draws = rows.sparkSession.range(n).select(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(size)).alias(c) for k, c in enumerate("ab")])
@@ -268,10 +274,9 @@ def nearest_by_code(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec
     found: DataFrame | None = None
     for i in range(blocks):
         held = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()  # about one block
-        part = _scan_codes(own, [r.id for r in held], np.array([r.v for r in held], dtype=np.float64).reshape(-1, dim), planes, k)
+        part = materialize(_best(_scan_codes(own, [r.id for r in held], np.array([r.v for r in held], dtype=np.float64).reshape(-1, dim), planes, k), k), "nearest")
         found = part if found is None else found.unionByName(part)
-    best = found.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "dst"))), 1, k).alias("c"))
-    return best.select("src", F.explode("c").alias("e")).select("src", "e.dst", F.round("e.dist", 5).alias("dist"))
+    return found
 
 
 def most_bits(angle: np.ndarray, bits: int) -> np.ndarray:

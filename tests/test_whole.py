@@ -4,11 +4,13 @@ import base64
 import collections
 import itertools
 import os
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tessera import catalog
-from tessera.operators import datasets, graphs
+from tessera.operators import corpus, datasets, graphs, sequences
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,15 +60,78 @@ def test_hashes_and_augmentation_take_whole_texts(spark, small):
 
 def test_sections_hold_the_rest_of_a_text(spark, tmp_path):
     texts = {1: "x" * 80 + "rest " * 100 + "\n### Own heading\nbody of it\nand more", 2: "short", 3: "y" * 81}
-    spark.createDataFrame([(k, t, "en") for k, t in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    want = {}
+    spark.createDataFrame([(k, t, "en") for k, t in texts.items()], "doc_id long, text string, lang string").withColumn("source", F.lit("web")).write.parquet(f"{tmp_path}/documents.parquet")
+    want, rebuilt = {}, {}
     for k, t in texts.items():
-        rest, *own = t[80:].split("\n### ")
-        parts = [("Summary", t[:80]), ("En", rest)] + [tuple(x.split("\n", 1)) for x in own]
-        want[k] = [(i, h, b.strip(" ")) for i, (h, b) in enumerate(parts, 1)]
+        text = f"Of web\n### Summary\n{t[:80]}\n### En\n{t[80:]}"
+        heads = list(re.finditer(r"^###\s+(.+?)\s*$", text, re.M))
+        ends = [h.start() for h in heads[1:]] + [len(text)]
+        want[k] = [(0, "", text[: heads[0].start()])] + [(i, h[1], text[h.end() : e]) for i, (h, e) in enumerate(zip(heads, ends, strict=True), 1)]
+        joined = "".join(b if not h else f"### {h}\n{b}" for _, h, b in want[k] if h != "Summary")
+        rebuilt[k] = re.sub(r"\n{3,}", "\n\n", joined).strip()
     got = run(spark, "split_sections", str(tmp_path))
     assert {k: sorted((r.pos, r.heading, r.body) for r in got if r.doc_id == k) for k in texts} == want
-    assert {r.doc_id: r.text for r in run(spark, "rebuild_answer", str(tmp_path))} == {k: "\n\n".join(f"### {h}\n{b}" for _, h, b in v[1:]) for k, v in want.items()}
+    assert {r.doc_id: r.text for r in run(spark, "rebuild_answer", str(tmp_path))} == rebuilt
+
+
+def test_texts_without_headings_and_dropped_sections(spark):
+    df = spark.createDataFrame([(1, "no heading\n####x"), (2, ""), (3, None), (4, "### A\nx\n### B\n"), (5, "### A\nonly")], "k int, t string")
+    got = sorted((r.k, r.pos, r.heading, r.body) for r in corpus.sections(df, "k", "t").collect())
+    assert got == [(1, 0, "", "no heading\n####x"), (2, 0, "", ""), (3, 0, "", ""), (4, 1, "A", "\nx\n"), (4, 2, "B", ""), (5, 1, "A", "\nonly")]
+    assert {r.k: r.text for r in corpus.without_sections(df, "k", "t", [" a "]).collect()} == {1: "no heading\n####x", 2: "", 3: "", 4: "### B", 5: ""}
+    assert {r.k: r.t for r in corpus.without_sections(df, "k", "t", []).collect()}[4] == "### A\nx\n### B\n"
+
+
+def test_cleaning_against_plain_rules(spark):
+    import unicodedata
+
+    raw = [
+        "According to NIST, page 4: First part. Second one | a | b |\n\n\n\nThird <!-- x\ny --> end ____ . ", "fragment of a. Then It starts here. And it goes on, well. tail without", "|---|:--:|\n| | |", "S P A C E D L E T T E R S here. Done now.",
+        "Continued from previous page. Words\tand\u00a0more\x07.\r\nLine two  ", "", None, "no sentence", "x. Y", "This Page Intentionally Left Blank", "ﬁne ① text.",
+    ]
+
+    def clean(t):
+        t = re.sub(r"^According to .{0,220}?:\s*", "", t)
+        t = re.sub(r"(?s)<!--.*?-->", " ", t)
+        t = re.sub(r"(?i)\b(?:continued from previous page|this page intentionally left blank)\b\.?", " ", t)
+        t = re.sub(r"\|[\s\-:|]{4,}\|", " ", t)
+        t = re.sub(r"(?:\s*\|\s*){2,}", " ", t)
+        t = re.sub(r"[-_=.]{4,}", " ", t)
+        t = re.sub(r"(?:(?<!\S)\S ){10,}\S(?!\S)", " ", t).replace("|", " ")
+        t = "".join(c for c in t if c in "\n\t" or unicodedata.category(c)[0] != "C")
+        t = "\n".join(x.strip() for x in re.sub("[ \t\u00a0]+", " ", t).split("\n"))
+        return re.sub(r"\n{3,}", "\n\n", t).strip(" ;:,\n\t")
+
+    def trimmed(t):
+        head = re.search(r"(?<=[.!?:])\s+(?=[A-Z0-9])", t[:400])
+        t = t[head.end() :] if head and head.end() < len(t) else t
+        tail = max(t.rfind(x) for x in (". ", ".\n", "? ", "! "))
+        tail = len(t) - 2 if tail == -1 and t.endswith(".") else tail
+        return (t[: tail + 1] if tail > 0.5 * len(t) else t).strip()
+
+    df = spark.createDataFrame(list(enumerate(raw)), "i int, t string")
+    for r in df.select("i", corpus.cleaned(F.col("t")).alias("c")).select("i", "c", corpus.whole_sentences(F.col("c")).alias("w")).collect():
+        c = clean(raw[r.i] or "")
+        assert (r.c, r.w) == (c, trimmed(c)), raw[r.i]
+    assert [r.t for r in corpus.nfkc(df, "t").orderBy("i").collect()] == [None if t is None else unicodedata.normalize("NFKC", t) for t in raw]
+
+
+def test_reasons_in_their_order(spark):
+    body = "The committee met in the old hall, and every member spoke about plans for the coming year; nobody left before the end. "
+    base = " ".join(f"{body}Point {w} was read." for w in ("alpha", "beta", "gamma", "delta"))
+    texts = [base, base.upper(), "", "Short one.", base + " Any mention of commercial products is for information only.", "1234 5678 " * 80, "word " * 100 + ".", "ab cd ef gh ij kl mn op qr st uv wx yz " * 12]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    got = {r.doc_id: r.reject_reason for r in corpus.judged(docs).collect()}
+    assert got == {0: "kept", 1: "duplicate", 2: "no_text", 3: "too_short", 4: "boilerplate", 5: "alpha", 6: "diversity", 7: "fragments"} or got[7] == "diversity"
+
+
+def test_murmur_of_many_strings(spark):
+    from tessera.functions.numeric import hashed, murmur3, murmur3_all
+
+    values = [b"", b"a", b"abcd", b"abcde", b"x" * 1001, "日本".encode()] * 3
+    assert murmur3_all(values, 7).tolist() == [murmur3(v, 7) for v in values] and murmur3_all([]).tolist() == []
+    rows = hashed(spark.createDataFrame([(None,), ("ab",), ("",)], "s string"), "s").collect()
+    assert {r.s: r.murmur for r in rows} == {None: None, "ab": murmur3(b"ab"), "": 0}
 
 
 def test_matrices_take_all_suppliers(spark, tmp_path):
@@ -86,13 +151,13 @@ def test_matrices_take_all_suppliers(spark, tmp_path):
 def test_graphs_and_assignments_take_all_lines(spark, tmp_path):
     lines = [(s, p, float(q)) for q, (s, p) in enumerate([(1, 10), (1, 11), (2, 11), (2, 12), (3, 20), (3, 21), (4, 21), (4, 22), (4, 20)], 1)]
     where = str(tmp_path)
-    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{where}/lineitem.parquet")
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").withColumn("l_orderkey", F.col("l_suppkey")).write.parquet(f"{where}/lineitem.parquet")
     spark.createDataFrame([(s, s % 2) for s in range(1, 5)], "s_suppkey long, s_nationkey long").write.parquet(f"{where}/supplier.parquet")
     spark.createDataFrame([(p, p % 4 + 1, f"b{p % 3}") for _, p, _ in lines], "p_partkey long, p_size int, p_brand string").distinct().write.parquet(f"{where}/part.parquet")
     assert {(r.node, r.root) for r in run(spark, "connected_components", where)} == {(p, 10) for p in (10, 11, 12)} | {(p, 20) for p in (20, 21, 22)}
     assert {(r.root, r.n) for r in run(spark, "component_sizes", where)} == {(10, 3), (20, 3)}
-    edges = {(s, p + 1000000) for s, p, _ in lines}
-    wed = {(x, y) for s, x in edges for t, y in edges if s == t and x < y}
+    edges = {(-p, s) for s, p, _ in lines}
+    wed = {(x, y) for x, s in edges for y, t in edges if s == t and x < y}
     assert {(r.a, r.b) for r in run(spark, "moral_graph", where)} == edges | wed
     scores, got = collections.defaultdict(lambda: collections.defaultdict(float)), collections.defaultdict(float)
     for s, p, q in lines:
@@ -117,3 +182,20 @@ def test_code_neighbours_of_the_whole_table(spark):
         pytest.skip("no test tables")
     exact, close = ({(r.src, r.dst) for r in run(spark, name, where)} for name in ("nearest_neighbours", "nearest_by_code"))
     assert len(exact) == 200 and len(exact & close) >= 180
+
+
+def test_edit_similarity_counts_code_points(spark):
+    """DuckDB's distance counts bytes, so plain rows decide."""
+    pairs = [("kitten", "sitting"), ("é日x", "e日"), ("", ""), ("abc", ""), ("same", "same")]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: r.s for r in df.select("i", sequences.edit_similarity(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert all(abs(got[i] - (1 - distance(a, b) / max(len(a), len(b)) if a or b else 1)) < 1e-12 for i, (a, b) in enumerate(pairs))
