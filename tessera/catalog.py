@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.functions import numeric, strings, vectors
+from tessera.functions import matrices, numeric, strings, vectors
 from tessera.operators import corpus, datasets, factors, graphs, kernels, learners, sequences, statistics
+from tessera.sources import entries
 from tessera.streaming import windows
 
-_MODULES = (corpus, sequences, datasets, statistics, graphs, learners, kernels, factors, strings, vectors, numeric, windows)
+_MODULES = (corpus, sequences, datasets, statistics, graphs, learners, kernels, factors, strings, vectors, numeric, matrices, windows, entries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

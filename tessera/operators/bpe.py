@@ -116,3 +116,14 @@ def encode(docs: DataFrame, merges: Merges, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=[key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
+
+
+def decoded(ids: DataFrame, merges: Merges, key: str = "doc_id") -> DataFrame:
+    """(key, text) of (key, ids)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(merges)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.decode(x or ()) for x in b.column(1).to_pylist()], pa.string())], names=[key, "text"])
+
+    return ids.select(key, "ids").mapInArrow(run, f"{key} {ids.schema[key].dataType.simpleString()}, text string")
