@@ -37,6 +37,31 @@ def shortest_share(edges: DataFrame, share: float) -> DataFrame:
     return placed.filter(F.col("_place") <= int(edges.count() * share)).drop("_place")
 
 
+def without_shortest(edges: DataFrame, share: float) -> DataFrame:
+    """The edges that are not among the given share with the smallest weights."""
+    placed = numbered(edges, [F.asc("w"), F.asc("i1"), F.asc("i2")], "_place")
+    return placed.filter(F.col("_place") > int(edges.count() * share)).drop("_place")
+
+
+def angular(df: DataFrame, key: str, vector: str, k: int, rounds: int = 10) -> tuple[list[list[float]], DataFrame]:
+    """k-means by angle: vectors are put to length 1 and centres with them; zero vectors drop."""
+    n = F.sqrt(F.aggregate(F.transform(vector, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
+    unit = df.withColumn("_n", n).filter("_n > 0").withColumn(vector, F.transform(vector, lambda x: x / F.col("_n"))).drop("_n")
+    centres = seeds(unit, key, vector, k)
+    for _ in range(rounds):
+        near = assign(unit, key, vector, centres).select(key, "cluster")
+        rows = unit.select(key, vector).join(near, key).select("cluster", F.posexplode(vector).alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum("x").alias("x")).collect()
+        new = [list(c) for c in centres]
+        for row in rows:
+            new[row.cluster][row.pos] = row.x
+        new = [list(np.array(c) / (np.linalg.norm(c) or 1.0)) for c in new]
+        done = np.allclose(new, centres)
+        centres = new
+        if done:
+            break
+    return centres, assign(unit, key, vector, centres)
+
+
 def component_sizes(edges: DataFrame) -> DataFrame:
     """Root and size of each component."""
     return components(edges, "i1", "i2").groupBy("root").agg(F.count("*").alias("n"))
@@ -210,6 +235,9 @@ QUERIES = {
     "both_directions": lambda s, d: both_ways(undirected(_trade(s, d), "a", "b", "w")),
     "neighbour_ranges": lambda s, d: neighbours(undirected(_trade(s, d), "a", "b", "w")),
     "shortest_edges": lambda s, d: shortest_share(undirected(_trade(s, d), "a", "b", "w"), 0.25),
+    "longest_edges": lambda s, d: without_shortest(undirected(_trade(s, d), "a", "b", "w"), 0.25),
+    "kmeans": lambda s, d: kmeans(_vectors(s, d), "vec_id", "embedding", 4, 5)[1],
+    "angular_kmeans": lambda s, d: angular(_vectors(s, d), "vec_id", "embedding", 4, 5)[1],
     "connected_components": lambda s, d: components(_follow(s, d), "i1", "i2"),
     "component_sizes": lambda s, d: component_sizes(_follow(s, d)),
     "modularity": lambda s, d: modularity(undirected(_trade(s, d), "a", "b", "w"), table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_regionkey").alias("label"))),
@@ -233,6 +261,7 @@ ORACLES = {
     "both_directions": f"WITH {_UND} SELECT * FROM z",
     "neighbour_ranges": f"WITH {_UND} SELECT i1 AS node, count(*) AS degree, round(sum(w), 4) AS weight FROM z GROUP BY 1",
     "shortest_edges": f"WITH {_UND} SELECT i1, i2, w FROM (SELECT *, row_number() OVER (ORDER BY w, i1, i2) AS rn FROM u) WHERE rn <= floor((SELECT count(*) FROM u) * 0.25)",
+    "longest_edges": f"WITH {_UND} SELECT i1, i2, w FROM (SELECT *, row_number() OVER (ORDER BY w, i1, i2) AS rn FROM u) WHERE rn > floor((SELECT count(*) FROM u) * 0.25)",
     "connected_components": f"WITH RECURSIVE {_FOLLOW} SELECT * FROM c",
     "component_sizes": f"WITH RECURSIVE {_FOLLOW} SELECT root, count(*) AS n FROM c GROUP BY 1",
     "modularity": f"""WITH {_UND}, x AS (SELECT w, p.n_regionkey AS l1, q.n_regionkey AS l2 FROM u JOIN nation p ON i1 = p.n_nationkey JOIN nation q ON i2 = q.n_nationkey),

@@ -45,6 +45,26 @@ def decayed_stats(df: DataFrame, by: str, order: list[str], value: str, half_lif
     )
 
 
+def cross_covariance(df: DataFrame, by: list[str], left: list[str], right: list[str]) -> DataFrame:
+    """(by, x, y, cov) of every column of one vector with every column of another; one mergeable aggregation."""
+    pairs = [(x, y) for x in left for y in right]
+    wide = df.groupBy(*by).agg(*[F.covar_samp(x, y).alias(f"_{k}") for k, (x, y) in enumerate(pairs)])
+    cells = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), (r(F.col(f"_{k}"), 5) + 0.0).alias("cov")) for k, (x, y) in enumerate(pairs)])
+    return wide.select(*by, F.explode(cells).alias("e")).select(*by, "e.*")
+
+
+def decayed_covariance(df: DataFrame, by: str, order: list[str], x: str, y: str, half_life: float) -> DataFrame:
+    """Covariance and correlation of two columns under weights that halve every half_life values; null unless the weights pass 1."""
+    back = Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])
+    w = F.pow(F.lit(0.5), (F.row_number().over(back) - 1) / F.lit(float(half_life)))
+    a, b = F.col("w") * F.col("x"), F.col("w") * F.col("y")
+    sums = df.select(by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), w.alias("w")).groupBy(by)
+    s = sums.agg(F.sum("w").alias("n"), F.sum(a).alias("x"), F.sum(b).alias("y"), F.sum(a * F.col("x")).alias("xx"), F.sum(b * F.col("y")).alias("yy"), F.sum(a * F.col("y")).alias("xy"))
+    n = F.col("n")
+    cov, vx, vy = F.col("xy") - F.col("x") * F.col("y") / n, F.col("xx") - F.col("x") * F.col("x") / n, F.col("yy") - F.col("y") * F.col("y") / n
+    return s.select(by, r(F.when(n > 1, cov / (n - 1)), 4).alias("cov"), r(F.when(n > 1, F.try_divide(cov, F.sqrt(vx * vy))), 5).alias("corr"))
+
+
 def roc(df: DataFrame, score: str, truth: str, ties: list[str]) -> DataFrame:
     """One point an item by falling score, false items first at equal scores: running shares of true and false items."""
     flag = F.col(truth).cast("int").cast("long")
@@ -222,6 +242,8 @@ QUERIES = {
     "running_stats": lambda s, d: running_stats(_lines(s, d), ["l_returnflag", "l_linestatus"], "l_extendedprice"),
     "pair_statistics": lambda s, d: covariance(_lines(s, d).withColumn("d", F.col("l_discount") - 0.05), ["l_linestatus"], "l_tax", "d"),
     "decayed_stats": lambda s, d: decayed_stats(table(s, d, "events"), "user_id", ["ts", "event_id"], "value", 10),
+    "cross_covariance": lambda s, d: cross_covariance(_lines(s, d), ["l_returnflag"], ["l_quantity", "l_tax"], ["l_discount", "l_extendedprice"]),
+    "decayed_covariance": lambda s, d: decayed_covariance(table(s, d, "events").withColumn("hit", (F.col("event_type") == "click").cast("int")), "user_id", ["ts", "event_id"], "value", "hit", 10),
     "roc_curve": lambda s, d: roc(table(s, d, "events").withColumn("t", F.col("event_type") == "error"), "value", "t", ["event_id"]),
     "equal_error_rate": lambda s, d: equal_error_rate(table(s, d, "events").withColumn("t", F.col("event_type") == "error"), "value", "t", ["event_id"]),
     "average_precision": lambda s, d: average_precision(table(s, d, "events"), "user_id", [F.desc("value"), F.asc("event_id")], F.col("event_type") == "error"),
@@ -257,6 +279,10 @@ ORACLES = {
   FROM (SELECT *, l_discount - 0.05::DOUBLE AS d FROM lineitem) GROUP BY 1""",
     "decayed_stats": """WITH x AS (SELECT user_id, value AS v, pow(0.5, (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1) / 10.0) AS w FROM events)
 SELECT user_id, count(*) AS n, round(sum(w * v) / sum(w), 5) AS mean, round(greatest(0.0, sum(w * v * v) / sum(w) - pow(sum(w * v) / sum(w), 2)), 4) AS variance FROM x GROUP BY 1""",
+    "cross_covariance": " UNION ALL ".join(f"SELECT l_returnflag, '{x}' AS x, '{y}' AS y, round(covar_samp({x}, {y}), 5) + 0.0 AS cov FROM lineitem GROUP BY 1" for x in ("l_quantity", "l_tax") for y in ("l_discount", "l_extendedprice")),
+    "decayed_covariance": """WITH e AS (SELECT user_id, value AS x, (event_type = 'click')::INT AS y, pow(0.5, (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1) / 10.0) AS w FROM events),
+s AS (SELECT user_id, sum(w) AS n, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * y * y) AS yy, sum(w * x * y) AS xy FROM e GROUP BY 1)
+SELECT user_id, round(CASE WHEN n > 1 THEN (xy - x * y / n) / (n - 1) END, 4) AS cov, round(CASE WHEN n > 1 THEN (xy - x * y / n) / nullif(sqrt((xx - x * x / n) * (yy - y * y / n)), 0) END, 5) AS corr FROM s""",
     "roc_curve": """WITH e AS (SELECT event_id, value, (event_type = 'error')::INT AS t FROM events)
 SELECT event_id, value AS threshold, round(sum(t) OVER w / (SELECT sum(t) FROM e), 6) AS tpr, round(sum(1 - t) OVER w / (SELECT sum(1 - t) FROM e), 6) AS fpr FROM e
 WINDOW w AS (ORDER BY value DESC, t, event_id ROWS UNBOUNDED PRECEDING)""",

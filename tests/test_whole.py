@@ -199,3 +199,16 @@ def test_edit_similarity_counts_code_points(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
     got = {r.i: r.s for r in df.select("i", sequences.edit_similarity(F.col("a"), F.col("b")).alias("s")).collect()}
     assert all(abs(got[i] - (1 - distance(a, b) / max(len(a), len(b)) if a or b else 1)) < 1e-12 for i, (a, b) in enumerate(pairs))
+
+
+def test_clusters_by_distance_and_by_angle(spark):
+    rng = np.random.default_rng(4)
+    centre = np.array([[5.0, 0], [0, 5.0], [-5.0, -5.0]])
+    points = [(i, (centre[i % 3] * (1 + i % 4) + rng.normal(size=2) * 0.1).tolist()) for i in range(60)]
+    df = spark.createDataFrame([(100, [0.0, 0.0]), *points], "id long, v array<double>")
+    centres, near = graphs.angular(df, "id", "v", 3)
+    label = {r.id: r.cluster for r in near.collect()}
+    assert 100 not in label and len({(i % 3, label[i]) for i in range(60)}) == 3 and np.allclose(np.linalg.norm(centres, axis=1), 1)
+    flat = spark.createDataFrame([(i, (centre[i % 3] + rng.normal(size=2) * 0.1).tolist()) for i in range(60)], "id long, v array<double>")
+    label = {r.id: r.cluster for r in graphs.kmeans(flat, "id", "v", 3)[1].collect()}
+    assert len({(i % 3, label[i]) for i in range(60)}) == 3
