@@ -46,7 +46,7 @@ def without_shortest(edges: DataFrame, share: float) -> DataFrame:
 def angular(df: DataFrame, key: str, vector: str, k: int, rounds: int = 10) -> tuple[list[list[float]], DataFrame]:
     """k-means by angle: vectors are put to length 1 and centres with them; zero vectors drop."""
     n = F.sqrt(F.aggregate(F.transform(vector, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    unit = df.withColumn("_n", n).filter("_n > 0").withColumn(vector, F.transform(vector, lambda x: x / F.col("_n"))).drop("_n")
+    unit = df.withColumn("_n", n).filter("_n > 0").withColumn(vector, F.transform(vector, lambda x: F.try_divide(x, "_n"))).drop("_n")
     centres = seeds(unit, key, vector, k)
     for _ in range(rounds):
         near = assign(unit, key, vector, centres).select(key, "cluster")
