@@ -73,9 +73,18 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
 
-def steps_without(values: np.ndarray, chance: float = 0.51, falling: bool = True) -> int:
-    """Length of the longest suffix whose least-squares slope falls (or rises) with less than the given chance."""
+def steps_without(values: np.ndarray, chance: float = 0.51, falling: bool = True, discard: float | None = None) -> int:
+    """Length of the longest suffix whose least-squares slope falls (or rises) with less than the given chance.
+
+    With a share to discard, values above that at place round((n - 1)(1 - discard)) in ascending order don't count for
+    the slope, though they lengthen the suffix.
+    """
     y = np.asarray(values, dtype=float)[::-1]
+    size, kept = len(y), np.arange(len(y))
+    if discard is not None and size:
+        edge = np.sort(y)[math.floor((size - 1) * (1 - discard) + 0.5)]
+        kept = np.flatnonzero(y <= edge)
+        y = y[kept]
     best = 0
     n = np.arange(1, len(y) + 1)
     # suffix of m values: place t counted from its start, so the reversed index runs down
@@ -91,18 +100,18 @@ def steps_without(values: np.ndarray, chance: float = 0.51, falling: bool = True
         below = (1.0 if slope < 0 else 0.5 if slope == 0 else 0.0) if err == 0 else 0.5 * (1 + math.erf(-slope / err / math.sqrt(2)))
         if (below if falling else 1 - below) < chance:
             best = int(m)
-    return best
+    return best if best == 0 else int(kept[best]) if best < len(kept) else size
 
 
 def steadiness(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
-    """(by, no_fall, no_rise): how far back each series shows no fall and no rise. Series are ordered in their group."""
+    """(by, no_fall, no_rise, no_fall_robust): how far back each series shows no fall and no rise, and no fall without its largest tenth. Series are ordered in their group."""
     kinds = dict(df.dtypes)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         v = f.sort_values(order)[value].to_numpy()
-        return pd.DataFrame({by: [f[by].iloc[0]], "no_fall": [steps_without(v)], "no_rise": [steps_without(v, falling=False)]})
+        return pd.DataFrame({by: [f[by].iloc[0]], "no_fall": [steps_without(v)], "no_rise": [steps_without(v, falling=False)], "no_fall_robust": [steps_without(v, discard=0.1)]})
 
-    return df.select(by, *order, value).groupBy(by).applyInPandas(run, f"`{by}` {kinds[by]}, no_fall long, no_rise long")
+    return df.select(by, *order, value).groupBy(by).applyInPandas(run, f"`{by}` {kinds[by]}, no_fall long, no_rise long, no_fall_robust long")
 
 
 def _ids(s, d):

@@ -207,6 +207,34 @@ def trend(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
     return g.select(by, "n", r(F.col("slope"), 8).alias("slope"), r(err, 8).alias("stderr"), r(F.try_divide("slope", err), 4).alias("z"))
 
 
+def without_largest(df: DataFrame, by: str, value: str, ties: list[str], discard: float = 0.1) -> DataFrame:
+    """The rows of each group whose value is at most that at place round((n - 1)(1 - discard)) in ascending order; for trends that single spikes must not turn."""
+    group = Window.partitionBy(by)
+    placed = df.filter(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(group.orderBy(value, *ties))).withColumn("_n", F.count("*").over(group))
+    edge = F.max(F.when(F.col("_at") == F.floor((F.col("_n") - 1) * (1 - F.lit(discard)) + 0.5) + 1, F.col(value))).over(group)
+    return placed.withColumn("_edge", edge).filter(F.col(value) <= F.col("_edge")).drop("_at", "_n", "_edge")
+
+
+def share_difference(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
+    """Log-likelihood gain of two shares k / n over one common share, negative where the first is the smaller; 0 without any trials."""
+    shares = [F.coalesce(F.try_divide(k.cast("double"), n), F.lit(0.0)) for k, n in ((k1, n1), (k2, n2), (k1 + k2, n1 + n2))]
+
+    def ll(p: Column, k: Column, n: Column) -> Column:
+        return F.when((p > 0) & (p < 1), k * F.ln(p) + (n - k) * F.ln(1 - p)).otherwise(0.0)
+
+    p1, p2, both = shares
+    gain = ll(p1, k1, n1) + ll(p2, k2, n2) - ll(both, k1, n1) - ll(both, k2, n2)
+    return F.when(p1 >= p2, gain).otherwise(-gain)
+
+
+def against_rest(df: DataFrame, by: str, hit: Column) -> DataFrame:
+    """For each group its hits, its rows and how far its share of hits differs from that of all other rows."""
+    own = df.groupBy(by).agg(F.count_if(hit).alias("hits"), F.count("*").alias("n"))
+    total = own.agg(F.sum("hits").alias("_h"), F.sum("n").alias("_n"))  # one row
+    rest = share_difference(F.col("hits"), F.col("n"), F.col("_h") - F.col("hits"), F.col("_n") - F.col("n"))
+    return own.crossJoin(F.broadcast(total)).select(by, "hits", "n", (r(rest, 5) + 0.0).alias("difference"))
+
+
 def probability_increasing(z: float) -> float:
     """Normal distribution function of a slope over its error."""
     import math
@@ -257,6 +285,8 @@ QUERIES = {
     "regression_report": lambda s, d: regression_report(_lines(s, d).withColumn("guess", F.col("l_quantity") * 1500), ["l_returnflag"], "l_extendedprice", "guess"),
     "ranking_inversions": lambda s, d: ranking_inversions(table(s, d, "events"), "user_id", "value", F.col("event_type") == "error"),
     "trend": lambda s, d: trend(table(s, d, "events"), "user_id", ["ts", "event_id"], "value"),
+    "robust_trend": lambda s, d: trend(without_largest(table(s, d, "events"), "user_id", "value", ["event_id"]), "user_id", ["ts", "event_id"], "value"),
+    "share_difference": lambda s, d: against_rest(_lines(s, d), "l_suppkey", F.col("l_returnflag") == "R"),
     "zscore": lambda s, d: zscore(table(s, d, "supplier"), ["s_acctbal"], ["s_suppkey"]),
     "reservoir_sample": lambda s, d: reservoir(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 100),
     "covariance_matrix": lambda s, d: covariance_matrix(_lines(s, d), ["l_quantity", "l_discount", "l_tax"]),
@@ -317,6 +347,17 @@ SELECT user_id, (p * q)::BIGINT AS pairs, inv::BIGINT AS inversions, round(CASE
 g AS (SELECT user_id, count(*) AS n, regr_slope(y, x) AS slope, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx FROM x GROUP BY 1),
 e AS (SELECT *, CASE WHEN n > 2 THEN sqrt(greatest(syy - sxy * sxy / nullif(sxx, 0), 0.0) / (n - 2) * 12 / (n::DOUBLE * n * n - n)) END AS err FROM g)
 SELECT user_id, n, round(slope, 8) AS slope, round(err, 8) AS stderr, round(slope / nullif(err, 0), 4) AS z FROM e""",
+    "robust_trend": """WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS m FROM events),
+v AS (SELECT user_id, value AS edge FROM k WHERE pos = floor((m - 1) * (1 - 0.1::DOUBLE) + 0.5) + 1),
+x AS (SELECT user_id, value AS y, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::DOUBLE AS x FROM events JOIN v USING (user_id) WHERE value <= edge),
+g AS (SELECT user_id, count(*) AS n, regr_slope(y, x) AS slope, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx FROM x GROUP BY 1),
+e AS (SELECT *, CASE WHEN n > 2 THEN sqrt(greatest(syy - sxy * sxy / nullif(sxx, 0), 0.0) / (n - 2) * 12 / (n::DOUBLE * n * n - n)) END AS err FROM g)
+SELECT user_id, n, round(slope, 8) AS slope, round(err, 8) AS stderr, round(slope / nullif(err, 0), 4) AS z FROM e""",
+    "share_difference": """WITH o AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS hits, count(*) AS n FROM lineitem GROUP BY 1),
+t AS (SELECT *, sum(hits) OVER () - hits AS k2, sum(n) OVER () - n AS n2, hits / n AS p1, coalesce((sum(hits) OVER () - hits) / nullif(sum(n) OVER () - n, 0), 0) AS p2, sum(hits) OVER () / sum(n) OVER () AS p FROM o),
+g AS (SELECT *, CASE WHEN p1 IN (0, 1) THEN 0 ELSE hits * ln(p1) + (n - hits) * ln(1 - p1) END + CASE WHEN p2 IN (0, 1) THEN 0 ELSE k2 * ln(p2) + (n2 - k2) * ln(1 - p2) END
+  - CASE WHEN p IN (0, 1) THEN 0 ELSE (hits + k2) * ln(p) + (n + n2 - hits - k2) * ln(1 - p) END AS gain FROM t)
+SELECT l_suppkey, hits, n, round(CASE WHEN p1 >= p2 THEN gain ELSE -gain END, 5) + 0.0 AS difference FROM g""",
     "zscore": "SELECT s_suppkey, round((s_acctbal - avg(s_acctbal) OVER ()) / stddev_samp(s_acctbal) OVER (), 5) AS z_s_acctbal FROM supplier",
     "reservoir_sample": "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('0:' || o_orderkey), o_orderkey LIMIT 100",
     "covariance_matrix": " UNION ALL ".join(
