@@ -10,6 +10,8 @@ is dense (its classes are alike) and is compared too, however large, in block
 pairs; all others split again. Runs repeat until a pair at the threshold is found
 with the target recall; a single run finds it with a known chance, computed below for
 the depth that nodes reach: runs are added when they split more often than planned.
+Rows and sketches pass a bit filter before they are exchanged, so a depth moves what
+its nodes need, not every sketch again.
 
 Brute force on tokens joins classes into clusters with a margin that a true pair
 passes; within clusters (again in block pairs) exact shingle sets decide every
@@ -152,6 +154,16 @@ def _split(rows: DataFrame, threshold: float, runs: range | None) -> DataFrame:
     return rows.mapInArrow(run, "node long, cid long, parent_n long")
 
 
+def _of(rows: DataFrame, size: DataFrame) -> DataFrame:
+    """(node, cid, _c) of the nodes in size; rows of most others stay where they lie."""
+    return passing(rows.select("node", "cid"), size, "node").join(size.select("node", "_c"), "node")
+
+
+def _sketched(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows (a written table, as it is read twice) and their classes' sketches; sketches of most other classes stay where they lie."""
+    return rows.join(passing(classes.select("cid", _SKETCH), rows, "cid"), "cid")
+
+
 def _leaves(classes: DataFrame, threshold: float, runs: range) -> tuple[list[DataFrame], int]:
     """(node, cid, _c) of all nodes to compare, a written table a depth: small, dense or at the last depth; and how often the deepest split."""
     out: list[DataFrame] = []
@@ -164,11 +176,12 @@ def _leaves(classes: DataFrame, threshold: float, runs: range) -> tuple[list[Dat
         size = materialize(size.withColumn("leaf", (F.col("_c") <= LEAF) | dense), "sizes")
         discard(*last)  # the depth above, now that its children are written
         last = [rows, size]
-        out.append(materialize(rows.select("node", "cid").join(size.filter("leaf").select("node", "_c"), "node"), "leaves"))
+        out.append(materialize(_of(rows, size.filter("leaf")), "leaves"))
         if size.filter("NOT leaf").isEmpty():
             break
-        big = rows.select("node", "cid").join(size.filter("NOT leaf").select("node", "_c"), "node")
-        rows = _split(big.join(classes.select("cid", _SKETCH), "cid"), threshold, None)
+        big = materialize(_of(rows, size.filter("NOT leaf")), "big")
+        last.append(big)
+        rows = _split(_sketched(big, classes), threshold, None)
     discard(*last)
     return out, depth + 1
 
@@ -253,7 +266,7 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, carry: l
     classes = materialize(classes, "classes")
 
     leaves = _all_leaves(classes, threshold, recall)
-    met = functools.reduce(DataFrame.unionByName, leaves).join(classes.select("cid", _SKETCH), "cid")
+    met = _sketched(functools.reduce(DataFrame.unionByName, leaves), classes)
     least = int(np.floor(TOKENS * threshold - MARGIN * np.sqrt(TOKENS * threshold * (1 - threshold))))
     edges = materialize(_candidates(blocks.deal(met, "node", "cid", "_c", BLOCK), least), "candidates")
     discard(*leaves)

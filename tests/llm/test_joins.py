@@ -78,6 +78,39 @@ def test_large_dense_group_in_small_blocks(spark, monkeypatch):
     test_join_against_brute_force(spark)
 
 
+def shuffled(spark, after=-1):
+    """Bytes that stages above a number wrote for shuffles, and the last stage's number."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = sc._jvm.java.util.ArrayList()
+    found = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+    stages = [found.apply(i) for i in range(found.size())]
+    return sum(x.shuffleWriteBytes() for x in stages if x.stageId() > after), max((x.stageId() for x in stages), default=-1)
+
+
+def test_sketches_of_classes_that_do_not_split_are_not_exchanged(spark, monkeypatch):
+    """A few classes alike split at every depth among many that end early: no depth exchanges all sketches or all rows."""
+    monkeypatch.setattr(cpsjoin, "LEAF", 4)
+    monkeypatch.setattr(cpsjoin, "DENSE", 2.0)
+    monkeypatch.setattr(cpsjoin, "MAX_DEPTH", 6)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rng, made, split = np.random.default_rng(6), [], cpsjoin._split
+    monkeypatch.setattr(cpsjoin, "_split", lambda *x: made.append(x[2]) or split(*x))
+    tokens = rng.integers(0, 1 << 32, (4000, cpsjoin.TOKENS), dtype=np.uint64).astype("<u4")
+    tokens[:12, :60] = tokens[0, :60]
+    rows = [(i, bytearray(x.tobytes())) for i, x in enumerate(tokens)]
+    classes = cpsjoin.materialize(spark.createDataFrame(rows, "cid long, _cps_sketch binary"), "classes")
+    _, last = shuffled(spark)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if no side were small
+        leaves, depth = cpsjoin._leaves(classes, 0.8, range(2))
+        met = sum(x.count() for x in leaves)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert depth == len(made) == 6 and met > 0
+    assert shuffled(spark, last)[0] < tokens.nbytes / 2  # a depth's sketches alone would be twice that
+
+
 def test_jaccard_links_exact():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 30, rng.integers(1, 25)).astype(np.uint64)) for _ in range(60)]
