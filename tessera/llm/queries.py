@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import counts, cpsjoin, embeddings, html, mixing, oracles, packing, quality, records, secrets, substrings
+from tessera.llm import alignment, bytepairs, counts, cpsjoin, embeddings, html, infill, mixing, oracles, packing, quality, records, secrets, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": secrets.op8,
         "op9_source_mix": mixing.op9,
         "op10_tag_path_text": html.op10,
+        "op11_forced_boundary_bpe": bytepairs.op11,
+        "op12_rope_infill": infill.op12,
+        "op13_interval_alignment": alignment.op13,
     }
 
 
@@ -31,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_sign_hash_dedup": oracles.COSINE_LINKS,
         "op6_seed_extend": substrings.ORACLE,
         "op9_source_mix": mixing.ORACLE,
+        "op12_rope_infill": infill.ORACLE,
     }

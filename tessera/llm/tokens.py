@@ -50,7 +50,7 @@ SAFE = re.compile("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in SAFE_RANGE
 CACHED_CHARS = 64
 
 
-def _byte_map() -> dict[int, str]:
+def byte_map() -> dict[int, str]:
     """Byte-level BPE's printable stand-in of each byte (fixed by the public scheme)."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
     out, n = {b: chr(b) for b in kept}, 0
@@ -66,7 +66,7 @@ class _Pieces(dict):
 
     def __init__(self, model, kind: str):
         super().__init__()
-        self.tokenize, self.kind, self.map = model.tokenize, kind, _byte_map()
+        self.tokenize, self.kind, self.map = model.tokenize, kind, byte_map()
 
     def __missing__(self, piece: str) -> bytes:
         ids = array(self.kind, [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.map))]).tobytes()
