@@ -1,23 +1,24 @@
 """Main text of web pages by tag-path ratios.
 
-A page is scanned once into blocks, each with its root-to-leaf tag path. Text outside links and
-punctuation are summed a path and divided by its blocks; both ratios are smoothed over the page's block
-order, compressed by logarithms, fused by product and weighed by what tags and names on the path suggest.
-Tags and names are only features: they scale a path's ratio, and ratios relative to the page's best
-decide. A wrapper around everything scales all paths alike, so it decides nothing.
-
-Paths at STRONG times the best ratio or above are content paths. The content node is the deepest element
-that holds most of their text, raised to the article or main around it. Below it (and below articles of
-the same path) every block stays whose path reaches LEAST; elsewhere a path must reach STRONG, or be a
-heading right before the content. The result is the blocks that stay, in page order.
-
-Weights: FIRM for menus, footers, comments, adverts and the like; the same for looser marks (forms, page
-headers, sidebars, widgets) unless they hold over half of the text, in which case they name a layout; MILD
-for a name that joins such a word to an ordinary one (related-work, share-price); MARKED for article and main.
+A page is scanned once into blocks, each with its root-to-leaf tag path. Text outside links and sentence
+punctuation are summed a path; both are smoothed over the page's block order and fused to the path's ratio,
+the text times the root of one more than the marks. A path whose text is all links has none.
+
+Ratios choose. Paths that reach STRONG times the best ratio are content paths; the content node is the
+deepest element that holds MOST of their text, raised to the article or main around it. Below it (and below
+articles of the same path) every block stays whose path has a ratio. Around it, as far as parents add no links and
+no named part, a path must reach LEAST of the best ratio; elsewhere it must be a content path, or be a heading right
+before the content. The result is the blocks that stay, in page order.
+
+Tags and names help where ratios can't tell. A named part (adverts, comments, footers, notices, forms, page headers,
+sidebars) counts NAMED of its ratio, and leads only if no other text does; below the content node a named part is
+dropped, as a reader's comment or an advert reads like an article. Looser marks (forms, page headers, widgets) over
+half of the text name a layout and count for nothing. Menus are told by their links: their names count only
+below the content node and on pages that hold nothing else.
 
 Edge cases: null or empty html gives an empty text; unclosed, stray and truncated
-tags are read as browsers do; a page whose text all lies in links keeps it; time and memory follow the
-length of the page however deeply it nests; nulls in other columns, ties and repeated rows stay;
+tags are read as browsers do, an unquoted < ends a tag; a page whose text all lies in links keeps it; time and memory follow the
+length of the page however deeply it nests and whatever its tags look like; nulls in other columns, ties and repeated rows stay;
 an empty table gives no row.
 """
 
@@ -35,9 +36,11 @@ from pyspark.sql import types as T
 
 from tessera.llm.batches import small
 
+#: What stands in a tag behind its name: strings follow an equals sign, other quotes are plain.
+_REST = r"(?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?!(?:svg|math)(?![^\s/>])[^>]*/>)(script|style|noscript|template|svg|iframe|object|select|textarea|title|math|canvas)(?![^\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?][^>]*>|<[a-zA-Z/!?][^<>]*\Z",
+    rf"<!--.*?(?:-->|\Z)|<(?!(?:svg|math)(?![^\s/>]){_REST}(?<=/)>)(script|style|noscript|template|svg|iframe|object|select|textarea|title|math|canvas)(?![^\s/>]){_REST}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/<>]*+)({_REST})>|<[/!?][^<>]*+>|<[a-zA-Z/!?][^<>]*+\Z",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -47,13 +50,14 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that mark no article text, whatever they hold.
-FIRM_TAGS = frozenset("nav footer aside menu button fieldset head dialog label datalist audio video".split())
+FIRM_TAGS = frozenset("footer aside button fieldset head dialog label datalist audio video".split())
+MENU_TAGS = frozenset(["nav", "menu"])
 #: Words in class, id or role that always name such parts.
 FIRM_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored comment comments commentlist disqus reply replies respond "
-    "recommended recommendations cookie cookies consent gdpr modal popup overlay menu menus nav navbar navigation navi breadcrumb breadcrumbs newsletter subscribe subscription "
-    "signup paywall topbar toolbar masthead".split()
+    "recommended recommendations cookie cookies consent gdpr modal popup overlay newsletter subscribe subscription signup paywall masthead".split()
 )
+MENU_WORDS = frozenset("menu menus nav navbar navigation navi breadcrumb breadcrumbs topbar toolbar".split())
 #: Words that name such parts alone or beside words of layout, but may also name a wrapper.
 LOOSE_WORDS = frozenset(
     "banner banners promo promotion notice notices alert header footer foot sidebar sidebars rail widget widgets related share sharing social login search form pager pagination "
@@ -71,26 +75,26 @@ PARTS = frozenset("p li pre blockquote dd dt tr tbody thead table ul ol dl figur
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "tbody": frozenset(["thead", "tbody"]), "tfoot": frozenset(["tbody"]),
 }
-PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
-STRONG, LEAST, MOST, SMOOTH = 0.5, 0.03, 0.75, (0.25, 0.5, 0.25)
-FIRM, MILD, MARKED = 0.0005, 0.3, 4.0
+#: Marks at a word's end; those inside numbers and names of hosts are none.
+PUNCTUATION = re.compile(r"[.,;:!?…](?=\s|$)|[。、，；：！？]")
+STRONG, LEAST, MOST, NAMED, SMOOTH = 0.5, 0.03, 0.75, 0.5, (0.25, 0.5, 0.25)
 
 
 class _Node:
-    """An element: mark is what its tag and names suggest ("", firm, loose or mild), prior the product of weights from the root."""
+    """An element: mark is what its tag and names suggest (nothing, firm, menu or loose), named whether it lies in a firm or loose part, weight and foreign sums over its blocks."""
 
-    __slots__ = ("tag", "parent", "path", "mark", "prior", "depth", "held", "weight", "inside")
+    __slots__ = ("tag", "parent", "path", "mark", "named", "depth", "held", "weight", "foreign", "near", "inside", "barred")
 
     def __init__(self, tag: str, parent: _Node | None, path: int, mark: str):
         self.tag, self.parent, self.path, self.mark = tag, parent, path, mark
         self.depth = parent.depth + 1 if parent else 0
         self.held = tag in ("article", "main") or bool(parent and parent.held)  # at or below article or main
-        self.prior, self.weight, self.inside = 1.0, 0.0, False
+        self.named, self.weight, self.foreign, self.near, self.inside, self.barred = False, 0.0, 0, False, False, False
 
 
 @functools.lru_cache(maxsize=20_000)
 def named(names: str) -> str:
-    """What a class, id or role suggests: firm, loose, mild or nothing."""
+    """What a class, id or role suggests: firm, menu, loose or nothing."""
     found = ""
     for name in names.split():
         parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)]
@@ -99,18 +103,19 @@ def named(names: str) -> str:
         words = set(parts)
         if words & FIRM_WORDS:
             return "firm"
+        if words & MENU_WORDS:
+            found = "menu"
+            continue
         if not words & LOOSE_WORDS or words & LOOSE_WORDS == {"header"} and words & OWN:
             continue
         if words <= LOOSE_WORDS | LAYOUT:
-            found = "loose"
-        elif not found:
-            found = "mild"
+            found = found or "loose"
     return found
 
 
 def _mark(tag: str, attributes: str, parent: _Node) -> str:
-    if tag in FIRM_TAGS:
-        return "firm"
+    if tag in FIRM_TAGS or tag in MENU_TAGS:
+        return "firm" if tag in FIRM_TAGS else "menu"
     names, hidden = [], False
     if attributes and ("=" in attributes or "hidden" in attributes.lower()):
         for key, a, b, c in ATTRIBUTE.findall(attributes):
@@ -120,7 +125,7 @@ def _mark(tag: str, attributes: str, parent: _Node) -> str:
             elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", a or b or c, re.I):
                 hidden = True
     mark = named(" ".join(names)) if names and tag not in HELD else ""
-    if mark != "firm" and (hidden or tag == "form" or (tag == "header" and not parent.held)):
+    if not mark and (hidden or tag == "form" or (tag == "header" and not parent.held)):
         return "loose"
     return mark
 
@@ -215,66 +220,97 @@ def blocks(page: str) -> tuple[list[_Node], list[tuple[_Node, str, str]]]:
     return nodes, found
 
 
-def _weigh(nodes: list[_Node], found: list[tuple[_Node, str, str]]) -> None:
-    """Priors of all elements; a loose mark on over half of the text outside firm ones names a layout and counts for nothing."""
+def _sum_up(nodes: list[_Node], name: str) -> None:
+    """Adds an attribute of every element to its parent's."""
+    for node in reversed(nodes[1:]):
+        setattr(node.parent, name, getattr(node.parent, name) + getattr(node, name))
+
+
+def _name(nodes: list[_Node], found: list[tuple[_Node, str, str]]) -> None:
+    """Which elements lie in named parts; a loose mark on over half of the text outside firm ones names a layout and is taken away."""
     for node in nodes:  # parents first
         node.weight, node.inside = 0.0, node.mark == "firm" or bool(node.parent and node.parent.inside)
+        node.barred = node.inside or node.mark == "menu" or bool(node.parent and node.parent.barred)
     for node, _, own in found:
         if not node.inside:
             node.weight += len(own)
-    for node in reversed(nodes[1:]):
-        node.parent.weight += node.weight
+    _sum_up(nodes, "weight")
     total = nodes[0].weight
     for node in nodes[1:]:
-        scale = FIRM if node.mark == "firm" or node.mark == "loose" and 2 * node.weight <= total else MILD if node.mark == "mild" else 1.0
-        if node.tag in ("article", "main") and not node.parent.held:
-            scale *= MARKED
-        node.prior = node.parent.prior * scale
+        if node.mark == "loose" and 2 * node.weight > total:
+            node.mark = ""
+        node.named = node.parent.named or node.mark in ("firm", "loose")
 
 
 def ratios(found: list[tuple[_Node, str, str]]) -> dict[int, float]:
-    """Fused ratio of every path: smoothed text and punctuation a block, by its weight; 0 for paths whose text is all links."""
-    sums: dict[int, list[float]] = {}
+    """Fused ratio of every path: smoothed sums of text and punctuation; 0 for paths whose text is all links."""
+    sums: dict[int, list[int]] = {}
     for node, _, own in found:
-        s = sums.setdefault(node.path, [0, 0, 0, node.prior])
+        s = sums.setdefault(node.path, [0, 0, 0])
         s[0] += len(own)
         s[1] += len(PUNCTUATION.findall(own))
         s[2] += 1
-        s[3] = max(s[3], node.prior)
     length = _smooth([sums[n.path][0] / sums[n.path][2] for n, _, _ in found])
     marks = _smooth([sums[n.path][1] / sums[n.path][2] for n, _, _ in found])
-    mean: dict[int, list[float]] = {}
+    smoothed: dict[int, list[float]] = {}
     for (node, _, _), x, y in zip(found, length, marks, strict=True):
-        v = mean.setdefault(node.path, [0.0, 0.0])
+        v = smoothed.setdefault(node.path, [0.0, 0.0])
         v[0] += x
         v[1] += y
-    return {p: (1 + math.log1p(v[0] / sums[p][2])) * (1 + math.log1p(v[1] / sums[p][2])) * sums[p][3] if sums[p][0] else 0.0 for p, v in mean.items()}
+    return {p: x * math.sqrt(1 + y) if sums[p][0] else 0.0 for p, (x, y) in smoothed.items()}
 
 
-def chosen(nodes: list[_Node], found: list[tuple[_Node, str, str]], fused: dict[int, float]) -> list[bool]:
-    """Which blocks stay."""
-    best = max(fused.values())
+def content_node(nodes: list[_Node], found: list[tuple[_Node, str, str]], values: list[float]) -> _Node:
+    """The element that holds most of the text of the paths with the best values."""
+    least = STRONG * max(values)
     for node in nodes:
         node.weight = 0.0
-    total = 0.0
-    for node, text, _ in found:
-        if fused[node.path] >= STRONG * best:
-            node.weight += len(text)
-            total += len(text)
-    for node in reversed(nodes[1:]):
-        node.parent.weight += node.weight
-    content = max((n for n in nodes if n.weight >= MOST * total), key=lambda n: n.depth)
+    for (node, text, _), v in zip(found, values, strict=True):
+        node.weight += len(text) if v >= least else 0
+    _sum_up(nodes, "weight")
+    content = max((n for n in nodes if n.weight >= MOST * nodes[0].weight), key=lambda n: n.depth)
     while content.parent and content.tag in PARTS:
         content = content.parent
     up: _Node | None = content
     while up and up.held:  # the outermost article or main around it
         content = up if up.tag in ("article", "main") else content
         up = up.parent
+    return content
+
+
+def surroundings(nodes: list[_Node], found: list[tuple[_Node, str, str]], fused: dict[int, float], content: _Node) -> _Node:
+    """The outermost element around content that adds no block of links and no named part."""
     for node in nodes:
-        node.inside = node is content or (content.tag == "article" and node.path == content.path) or bool(node.parent and node.parent.inside)
-    on = [fused[n.path] >= (LEAST if n.inside else STRONG) * best for n, _, _ in found]
+        node.foreign = 0
+    for node, _, _ in found:
+        node.foreign += node.named or not fused[node.path]
+    _sum_up(nodes, "foreign")
+    while content.parent and content.parent.tag not in ("body", "html", "") and content.parent.foreign == content.foreign:
+        content = content.parent
+    return content
+
+
+def chosen(nodes: list[_Node], found: list[tuple[_Node, str, str]], fused: dict[int, float]) -> list[bool]:
+    """Which blocks stay."""
+    values = [fused[n.path] * (NAMED if n.named else 1.0) for n, _, _ in found]
+    content = content_node(nodes, found, values)
+    free = [0.0 if n.named else fused[n.path] for n, _, _ in found]
+    if content.named and any(free):
+        content, values = content_node(nodes, found, free), free
+    around, best = surroundings(nodes, found, fused, content), max(values)
+    for node in nodes:  # parents first
+        above = node.parent
+        node.near = node is around or bool(above and above.near)
+        node.inside = node is content or (content.tag == "article" and node.path == content.path) or bool(above and above.inside)
+        node.barred = bool(above and above.inside and node.inside and (above.barred or node.mark) and node.path != content.path)
+    on = []
+    for node, _, _ in found:
+        ratio = fused[node.path]
+        on.append(ratio > 0 and (not node.barred if node.inside else not node.named and ratio >= (LEAST if node.near else STRONG) * best))
+    if True not in on:
+        return on
     first = on.index(True)
-    while first and found[first - 1][0].tag in HEADINGS and fused[found[first - 1][0].path] >= LEAST * best:
+    while first and found[first - 1][0].tag in HEADINGS and not found[first - 1][0].named and fused[found[first - 1][0].path]:
         first -= 1
         on[first] = True
     return on
@@ -287,8 +323,8 @@ def extract(page: str | None) -> str:
         found = [(n, text, text) for n, text, _ in found]
     if not found:
         return ""
-    _weigh(nodes, found)
-    if all(n.prior <= FIRM for n, _, _ in found):  # nothing but menus, footers and the like
+    _name(nodes, found)
+    if all(n.barred for n, _, _ in found):  # nothing but menus, footers and the like
         return ""
     on = chosen(nodes, found, ratios(found))
     return "\n".join(text for (_, text, _), k in zip(found, on, strict=True) if k)

@@ -7,7 +7,10 @@ lengths add up, or an OpenSSH private key with its magic and counted fields.
 
 Spans are code points, end exclusive. Edge cases: null or empty text has none;
 nulls in other columns, ties and repeated rows change nothing; an empty table
-gives no row.
+gives no row. Time follows the length of a text whatever it holds: key marks are
+found in one scan and paired, lines that continue a wrapped key are listed once,
+and a candidate is decoded only if it ends where its own length says. A key has at
+most MOST bytes (RSA of 100,000 bits fits).
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,8 +36,10 @@ KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
 LEAST = {"assign": 8, "access": 16}
 
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-#: Group 2 holds header lines, group 3 the body.
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?:\s|\\+[nr])*[A-Za-z][A-Za-z0-9-]*:(?:[^\r\n\\])*(?:\\+[nr]|[\r\n]))*)((?:[A-Za-z0-9+/=\s]|\\+[nrt])+)-----END \1-----")
+PEM = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]++ )*?PRIVATE KEY)-----")
+#: Header lines below a BEGIN, then the body.
+HEADERS = re.compile(r"(?:(?:\s|\\+[nr])*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+(?:\\+[nr]|[\r\n]))*+")
+BODY = re.compile(r"(?:[A-Za-z0-9+/=\s]|\\+[nrt])++")
 #: DER sequences begin with byte 0x30, M in base64; the OpenSSH magic with b3BlbnNzaC1rZXkt.
 B64 = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nrt]))(?:M|b3BlbnNzaC1rZXkt)(?=[A-Za-z0-9+/_-]{39})")
 RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
@@ -42,6 +48,7 @@ WRAP = re.compile(r"[ \t]*(?:\\+[nr]|[\r\n])+[ \t]*([A-Za-z0-9+/_-]+)")
 PAD = re.compile(r"={0,2}")
 HEXDER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
 SSH_MAGIC = b"openssh-key-v1\0"  # fixed by the public key format
+MOST = 1 << 16
 
 
 def _unbase64(text: str) -> bytes | None:
@@ -135,31 +142,67 @@ def _der_size(head: bytes) -> int:
     return 0 if k > 4 or head[1] == 0x80 else 2 + (int.from_bytes(head[2 : 2 + k], "big") + k if k else head[1])
 
 
-def wrapped_key(text: str, start: int, end: int) -> tuple[str, int] | None:
+def key_bodies(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, header lines, body) of every BEGIN mark and the END mark of its kind that follows it."""
+    begin = None
+    for m in PEM.finditer(text):
+        if m[1] == "END" and begin and begin[2] == m[2]:
+            head = HEADERS.match(text, begin.end(), m.start())
+            if BODY.fullmatch(text, head.end(), m.start()):
+                yield begin.start(), m.end(), head[0], text[head.end() : m.start()]
+        begin = m if m[1] == "BEGIN" else None
+
+
+class Lines:
+    """Lines of base64 that follow one another, each looked for once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.places: dict[int, tuple[tuple[list[int], list[int], list[int]], int]] = {}
+
+    def after(self, start: int, end: int) -> tuple[tuple[list[int], list[int], list[int]], int]:
+        """(starts, ends, characters up to each end) of the chain that holds the line ending at end, and its place there."""
+        if end not in self.places:
+            starts, ends, total = chain = [start], [end], [end - start]
+            self.places[end] = chain, 0
+            while m := WRAP.match(self.text, ends[-1]):
+                starts.append(m.start(1))
+                ends.append(m.end(1))
+                total.append(total[-1] + m.end(1) - m.start(1))
+                self.places[m.end(1)] = chain, len(ends) - 1
+        return self.places[end]
+
+
+def wrapped_key(text: str, start: int, end: int, lines: Lines) -> tuple[str, int] | None:
     """(kind, end) of a base64 key whose first line is given: DER takes lines up to its own length, OpenSSH lines as wide as the first and a shorter one."""
     ssh = text.startswith("b3Blb", start)
     size = 0 if ssh else _der_size(_unbase64(text[start : start + 12]) or b"")
-    if not ssh and not size:
+    if not ssh and not 0 < size <= MOST:
         return None
-    need = -(-size * 4 // 3)
-    if not ssh and end - start > need + 2:
+    need, width = -(-size * 4 // 3), end - start
+    if not ssh and width > need + 2:
         return None
-    if kind := key_kind(_unbase64(text[start:end])):
+    if (ssh or width >= need) and (kind := key_kind(_unbase64(text[start:end]))):
         return kind, end
     if text[end - 1] == "=":
         return None
-    lines, width = [text[start:end]], end - start
-    got = width
-    while len(lines[-1]) == width if ssh else got < need:
-        m = WRAP.match(text, end)
-        if not m or ssh and len(m[1]) > width:
-            break
-        lines.append(m[1])
-        got, end = got + len(m[1]), m.end(1)
-    if not ssh and got != need:
-        return None
-    kind = key_kind(_unbase64("".join(lines)))
-    return (kind, PAD.match(text, end).end()) if kind else None
+    (starts, ends, total), at = lines.after(start, end)
+    if ssh:
+        last, most = at, -(-MOST * 4 // 3)
+        while last + 1 < len(ends) and total[last] - total[at] < most:
+            wide = ends[last + 1] - starts[last + 1]
+            if wide > width:
+                break
+            last += 1
+            if wide < width:
+                break
+    else:
+        goal = total[at] + need - width
+        last = bisect_left(total, goal, at)
+        if last == len(total) or total[last] != goal:
+            return None
+    kind = key_kind(_unbase64("".join([text[start:end], *(text[a:b] for a, b in zip(starts[at + 1 : last + 1], ends[at + 1 : last + 1], strict=True))])))
+    return (kind, PAD.match(text, ends[last]).end()) if kind else None
 
 
 def is_jwt(head: str, body: str) -> bool:
@@ -186,19 +229,23 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
         found += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_jwt(m[1], m[2])]
     within: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            body = _unbase64(m[3])
-            if kind := key_kind(body) or ("der" if is_sealed(m[2], body) else None):
-                found.append((kind, m.start(), m.end()))
-                within.append(m.span())
+        for start, end, head, body in key_bodies(text):
+            data = _unbase64(body)
+            if kind := key_kind(data) or ("der" if is_sealed(head, data) else None):
+                found.append((kind, start, end))
+                within.append((start, end))
     end = free = 0
+    lines, inside = Lines(text), iter([*within, (len(text), len(text))])
+    since, until = next(inside)
     for m in B64.finditer(text):  # a run that is no key may hold one after a separator
         start = m.start()
-        if start < free or any(a <= start < b for a, b in within):
+        while start >= until:
+            since, until = next(inside)
+        if start < free or start >= since:
             continue
         if start >= end:
             end = RUN.match(text, start).end()
-        if key := wrapped_key(text, start, end):
+        if key := wrapped_key(text, start, end, lines):
             found.append((key[0], start, key[1]))
             free = key[1]
         elif m[0] != "M":

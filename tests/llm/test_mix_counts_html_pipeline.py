@@ -3,9 +3,12 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
+import pytest
 from tessera.llm import counts, html, mixing, quality, tokens
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -312,15 +315,63 @@ def test_pages_keep_all_of_the_article():
 
 
 def test_paths_decide(monkeypatch):
-    """Without thresholds all blocks stay; with flat ratios tags and names alone decide nothing but firm marks; a threshold near 1 leaves the best paths."""
+    """Ratios choose: flat ones let menus and notes in, a share of 0 lets every unnamed block in."""
     p = "The quick brown fox, having jumped over the dog, went home. It was late, and the moon was up."
     page = f"<nav><a>Menu</a></nav><div>Small talk.</div><article><h1>T</h1><p>{p}</p><ul><li>One</li></ul></article><footer>Foot.</footer>"
     assert html.extract(page) == f"T\n{p}\nOne"
-    monkeypatch.setattr(html, "LEAST", 0.99)
-    assert html.extract(page) == p
-    monkeypatch.setattr(html, "LEAST", 0.0)
     monkeypatch.setattr(html, "STRONG", 0.0)
-    assert html.extract(page) == f"Menu\nSmall talk.\nT\n{p}\nOne\nFoot."
+    assert html.extract(page) == f"Small talk.\nT\n{p}\nOne"
+    monkeypatch.setattr(html, "STRONG", 0.5)
+    monkeypatch.setattr(html, "ratios", lambda found: {n.path: 1.0 for n, _, _ in found})
+    assert html.extract(page) == f"Menu\nSmall talk.\nT\n{p}\nOne"
+
+
+def test_ablations_over_whole_pages(monkeypatch):
+    """On all given pages ratios alone keep the article on most, and flat ratios lose it on most, with names and without."""
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html.dropna().tolist()
+    whole = [html.extract(h) for h in pages]
+    articles = ["\n".join(html.extract(part) for part in re.findall(r"<article>.*?</article>", h, re.S)) for h in pages]
+    assert whole == articles
+    unnamed = [re.sub(r"\s(?:class|id|role)=\"[^\"]*\"", "", h) for h in pages]
+    bare = [re.sub(r"<(/?)(?:nav|footer|aside|header|article|main|form|menu)\b[^>]*>", r"<\1div>", h) for h in unnamed]
+    kept = [sum(a == html.extract(h) for a, h in zip(whole, some, strict=True)) / len(pages) for some in (unnamed, bare)]
+    assert kept[0] > 0.95 and kept[1] > 0.9
+    monkeypatch.setattr(html, "ratios", lambda found: {n.path: 1.0 for n, _, _ in found})
+    assert sum(a == html.extract(h) for a, h in zip(whole, pages, strict=True)) < 0.2 * len(pages)
+    assert not any(a == html.extract(h) for a, h in zip(whole, bare, strict=True))
+
+
+def test_ratios_against_plain_sums():
+    pages = pd.read_parquet("/root/testdata/sf0.001/pages.parquet").html.dropna().tolist()
+    for page in pages:
+        _, found = html.blocks(page)
+        own = [x for _, _, x in found]
+        marks = [sum(c in ".,;:!?…" and (k + 1 == len(x) or x[k + 1].isspace()) for k, c in enumerate(x)) for x in own]
+        paths = [n.path for n, _, _ in found]
+        mean = {p: [sum(v[i] for i in range(len(v)) if paths[i] == p) / paths.count(p) for v in (list(map(len, own)), marks)] for p in set(paths)}
+        for p, got in html.ratios(found).items():
+            sums = [0.0, 0.0]
+            for i in (i for i, q in enumerate(paths) if q == p):
+                for k in (0, 1):
+                    sums[k] += mean[paths[max(i - 1, 0)]][k] / 4 + mean[p][k] / 2 + mean[paths[min(i + 1, len(paths) - 1)]][k] / 4
+            assert got == pytest.approx(sums[0] * (1 + sums[1]) ** 0.5 if mean[p][0] else 0)
+
+
+SHAPES = (
+    "<a", "<a ", "<script ", "<svg a", "<svg a/", "<!--", "</", "<!", "<", "<a b='", '<a b="', "<a b='\">", "<a 'b", "<p title=\"x>", "<div><p>", "<li>", "<ul><li>a", "&amp", "&#x", "<a href=x>y",
+    "<p>a</div>", "<script>", "</script ", "<a =", "<a b= ", "<table><tr><td>", "<h1>", "<style a=", "x<br>", "<div class='nav'>a ", "<math/>", "<a b c d e>", "<a b='<c' '",
+)
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_every_shape_takes_linear_time(shape):
+    def seconds(n):
+        page = shape * (n // len(shape))
+        began = time.process_time()
+        html.extract(page)
+        return time.process_time() - began
+
+    assert seconds(400_000) < 10 * max(seconds(100_000), 0.1)
 
 
 def test_deep_pages_take_linear_time():
