@@ -52,7 +52,12 @@ MOST = 1 << 16
 
 
 def _unbase64(text: str) -> bytes | None:
-    text = re.sub(r"\s+|\\+[nrt]", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    return _unline(re.sub(r"\s+|\\+[nrt]", "", text))
+
+
+def _unline(text: str) -> bytes | None:
+    """The bytes of base64 without line ends."""
+    text = text.rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -176,13 +181,13 @@ class Lines:
 def wrapped_key(text: str, start: int, end: int, lines: Lines) -> tuple[str, int] | None:
     """(kind, end) of a base64 key whose first line is given: DER takes lines up to its own length, OpenSSH lines as wide as the first and a shorter one."""
     ssh = text.startswith("b3Blb", start)
-    size = 0 if ssh else _der_size(_unbase64(text[start : start + 12]) or b"")
+    size = 0 if ssh else _der_size(_unline(text[start : start + 12]) or b"")
     if not ssh and not 0 < size <= MOST:
         return None
     need, width = -(-size * 4 // 3), end - start
     if not ssh and width > need + 2:
         return None
-    if (ssh or width >= need) and (kind := key_kind(_unbase64(text[start:end]))):
+    if (ssh or width >= need) and (kind := key_kind(_unline(text[start:end]))):
         return kind, end
     if text[end - 1] == "=":
         return None
@@ -201,7 +206,7 @@ def wrapped_key(text: str, start: int, end: int, lines: Lines) -> tuple[str, int
         last = bisect_left(total, goal, at)
         if last == len(total) or total[last] != goal:
             return None
-    kind = key_kind(_unbase64("".join([text[start:end], *(text[a:b] for a, b in zip(starts[at + 1 : last + 1], ends[at + 1 : last + 1], strict=True))])))
+    kind = key_kind(_unline("".join([text[start:end], *(text[a:b] for a, b in zip(starts[at + 1 : last + 1], ends[at + 1 : last + 1], strict=True))])))
     return (kind, PAD.match(text, ends[last]).end()) if kind else None
 
 
