@@ -30,6 +30,8 @@ the outputs give way.
 from __future__ import annotations
 
 import functools
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import duckdb
@@ -46,7 +48,7 @@ from tessera.llm.bytepairs import codec
 from tessera.llm.tokens import default_path
 from tessera.plans.shared import materialize
 
-CHUNK = 1 << 20
+CHUNK, WORDS = 1 << 20, 300_000
 
 #: Every A token, the B token in which it ends, whether both end together, and its group: the number of such places before it.
 MEETINGS = """
@@ -70,14 +72,44 @@ l AS (SELECT doc, list({'a_id': a_id::INT, 'b_id': b_id::INT, 'n': n} ORDER BY a
 SELECT coalesce(links, []) AS links FROM range(?) r(doc) LEFT JOIN l USING (doc) ORDER BY doc"""
 
 
+class Words:
+    """Encoder of a piece file: where no piece has a word mark behind another character, words can't merge, so each is encoded once and kept in a bounded cache."""
+
+    UNIT = re.compile("▁+[^▁]*")
+
+    def __init__(self, model: sentencepiece.SentencePieceProcessor):
+        self.model = model
+        pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
+        self.apart = not any("▁" in p.lstrip("▁") for p in pieces) and model.id_to_piece(model.encode("a")[0])[0] == "▁"
+        self.known: dict[str, bytes] = {}
+
+    def word(self, unit: str) -> bytes:
+        found = self.known.get(unit)
+        if found is None:
+            ids = self.model.encode(unit[1:].replace("▁", " "), num_threads=1) if len(unit) > 1 else [self.model.piece_to_id("▁")]
+            found = array("I", ids).tobytes()
+            if len(self.known) < WORDS and len(unit) <= 64:
+                self.known[unit] = found
+        return found
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        if not text:
+            return b""
+        if not self.apart:
+            return array("I", self.model.encode(text, num_threads=1)).tobytes()
+        return b"".join(map(self.word, self.UNIT.findall("▁" + text.replace(" ", "▁"))))
+
+
 class Aligner:
     """Two tokenizers, their tokens' bytes and a DuckDB connection."""
 
     def __init__(self, a_path: str, b_path: str):
         self.a = codec(a_path)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        model = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.b = Words(model)
         self.a_bytes = self.a.bytes
-        self.b_bytes = piece_bytes(self.b)
+        self.b_bytes = piece_bytes(model)
         size = max(self.a_bytes) + 1
         self.a_len = np.array([len(self.a_bytes[i]) for i in range(size)], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
@@ -89,12 +121,12 @@ class Aligner:
         """A and B ids of each text; none for texts that can't be aligned."""
         none = np.empty(0, np.uint32)
         out = []
-        for text, b in zip(texts, self.b.encode([t or "" for t in texts], num_threads=1), strict=True):
+        for text in texts:
             whole = f" {text}" if text else ""
-            a = np.frombuffer(self.a.encode_plain(whole), "<u4")
+            a, b = (np.frombuffer(x, "<u4") for x in (self.a.encode_plain(whole), self.b.encode(text)))
             data = whole.encode()
-            same = b"".join(map(self.b_bytes.__getitem__, b)) == data and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == data
-            out.append((a, np.array(b, np.uint32)) if same else (none, none))
+            same = all(b"".join(map(known.__getitem__, ids.tolist())) == data for known, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+            out.append((a, b) if same else (none, none))
         return out
 
     @staticmethod

@@ -191,6 +191,13 @@ def test_op12_against_duckdb(spark):
     assert (got.restored_sha256 != got.output_sha256).any()
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(MIXED + "  \n"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_words_apart_equal_the_library(text):
+    words = alignment.aligner(tokens.default_path(), public_tokenizers.path("piece_bpe_32k.model")).b
+    assert words.apart and ids_of(words.encode(text)) == words.model.encode(text)
+
+
 def plain_alignment(a_ids, b_ids, a_bytes, b_bytes):
     """(groups text, links, overlaps) by walking both token lists."""
 
@@ -227,7 +234,7 @@ def test_alignment_of_mixed_texts(aligner):
     none = 0
     for text, (n_a, n_b, n_groups, n_links, n_overlaps, groups, links) in zip(texts, got, strict=True):
         a = both.encode(f" {text}", add_special_tokens=False).ids if text else []
-        b = aligner.b.encode(text) if text else []
+        b = aligner.b.model.encode(text) if text else []
         if not text or b"".join(aligner.b_bytes[i] for i in b) != f" {text}".encode():
             none += 1
             assert (n_a, n_b, n_groups, n_links, n_overlaps, groups, links) == (0, 0, 0, 0, 0, "", [])
@@ -242,7 +249,7 @@ def test_alignment_of_mixed_texts(aligner):
 def test_many_to_many_groups_are_joined(aligner):
     """A group with several tokens on both sides overlaps by byte ranges."""
     for text in ("ééé日本語한🙂🙂", "unbelievablyxqz zqxjk", "01234567890123"):
-        a, b = ids_of(aligner.a.encode_plain(f" {text}")), aligner.b.encode(text)
+        a, b = ids_of(aligner.a.encode_plain(f" {text}")), aligner.b.model.encode(text)
         want = plain_alignment(a, b, aligner.a_bytes, aligner.b_bytes)
         got = [c.to_pylist()[0] for c in aligner.chunk([text])]
         assert (got[5], got[4]) == (want[0], want[2])
@@ -274,7 +281,7 @@ def test_op13_against_plain_counts(spark, aligner):
     assert len(got) == len(docs)
     kept, total = {}, Counter()
     for i, text in docs:
-        b = aligner.b.encode(text or "")
+        b = aligner.b.model.encode(text or "")
         if text and b"".join(aligner.b_bytes[x] for x in b) == f" {text}".encode():
             a = ids_of(aligner.a.encode_plain(f" {text}"))
             groups, links, _ = plain_alignment(a, b, aligner.a_bytes, aligner.b_bytes)
