@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import boxes, matrices, numeric, strings, vectors
-from tessera.operators import corpus, datasets, factors, graphs, kernels, learners, problems, sequences, statistics
+from tessera.operators import communities, corpus, datasets, factors, graphs, kernels, landmarks, learners, problems, sequences, statistics
 from tessera.sources import entries
 from tessera.streaming import windows
 
-_MODULES = (corpus, sequences, datasets, statistics, graphs, learners, kernels, factors, problems, strings, vectors, numeric, matrices, boxes, windows, entries)
+_MODULES = (corpus, sequences, datasets, statistics, graphs, communities, landmarks, learners, kernels, factors, problems, strings, vectors, numeric, matrices, boxes, windows, entries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
