@@ -105,7 +105,8 @@ class Choice:
         return joined
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
+def vectors(column: pa.Array) -> np.ndarray:
+    """The rows of a column of arrays as a matrix."""
     rows = column.to_pylist()
     return np.array(rows, dtype=np.float64).reshape(len(rows), -1)
 
@@ -124,7 +125,7 @@ def _choose(df: DataFrame, kernel: Kernel, most: int, tolerance: float, held: np
         known = len(choice.rows)
         for b in batches:
             for start in range(0, len(b), 1024):
-                choice.extend(_vectors(b.column(0).slice(start, 1024)))
+                choice.extend(vectors(b.column(0).slice(start, 1024)))
         new = choice.rows[known:].tolist()
         if new:
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.list_(pa.float64()))], names=["v"])
@@ -183,7 +184,7 @@ def _mapped(df: DataFrame, vector: str, kernel: Kernel, rows: np.ndarray) -> Dat
         for b in batches:
             for start in range(0, len(b), 1024):
                 part = b.slice(start, 1024)
-                z, away = space.images(_vectors(part.column(at)))
+                z, away = space.images(vectors(part.column(at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(z.tolist(), pa.list_(pa.float64())), pa.array(away)], names=[*names, "z", "away"])
 
     return df.mapInArrow(run, schema)
@@ -194,7 +195,7 @@ def mapped(df: DataFrame, vector: str, kernel: Kernel, rows: np.ndarray) -> Data
     return _mapped(usable(df, vector).drop("z", "away"), vector, kernel, rows)
 
 
-def _sums(df: DataFrame, columns: list[str], make: Callable[[list[pa.Array]], np.ndarray], size: int) -> np.ndarray:
+def summed(df: DataFrame, columns: list[str], make: Callable[[list[pa.Array]], np.ndarray], size: int) -> np.ndarray:
     """Sums of an array over all rows: one row a task and place, added up by Spark."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,23 +241,23 @@ def kernel_ridge(df: DataFrame, vector: str, label: str, kernel: Kernel, penalti
     at = mapped(known, "v", kernel, rows).select("z", "y")
 
     def products(columns: list[pa.Array]) -> np.ndarray:
-        z, y = _vectors(columns[0]), columns[1].to_numpy()
+        z, y = vectors(columns[0]), columns[1].to_numpy()
         return np.concatenate([(z.T @ z).ravel(), z.T @ y, [len(y)]])
 
-    added = _sums(at, ["z", "y"], products, m * m + m + 1)
+    added = summed(at, ["z", "y"], products, m * m + m + 1)
     gram, right, n = added[: m * m].reshape(m, m), added[m * m : -1], added[-1]
     inverses = [np.linalg.inv(gram + p * np.eye(m)) for p in penalties]
     weights = [i @ right for i in inverses]
 
     def errors(columns: list[pa.Array]) -> np.ndarray:
-        z, y = _vectors(columns[0]), columns[1].to_numpy()
+        z, y = vectors(columns[0]), columns[1].to_numpy()
         out = []
         for inverse, w in zip(inverses, weights, strict=True):
             own = np.minimum(((z @ inverse) * z).sum(1), 1 - 1e-9)
             out.append((((y - z @ w) / (1 - own)) ** 2).sum())
         return np.array(out)
 
-    error = _sums(at, ["z", "y"], errors, len(penalties)) / n
+    error = summed(at, ["z", "y"], errors, len(penalties)) / n
     best = int(np.argmin(error))
     return Ridge(Space(kernel, rows), weights[best], penalties[best], float(error[best]))
 
