@@ -42,10 +42,10 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from tessera.llm.batches import small
-from tessera.llm.bytepairs import codec
-from tessera.llm.tokens import default_path
+from tessera.llm.tokens import SAFE, byte_map, default_path, encoder
 from tessera.plans.shared import materialize
 
 CHUNK, WORDS = 1 << 20, 300_000
@@ -83,35 +83,33 @@ class Words:
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces) and model.id_to_piece(model.encode("a")[0])[0] == "▁"
         self.known: dict[str, bytes] = {}
 
-    def word(self, unit: str) -> bytes:
-        found = self.known.get(unit)
-        if found is None:
-            ids = self.model.encode(unit[1:].replace("▁", " "), num_threads=1) if len(unit) > 1 else [self.model.piece_to_id("▁")]
-            found = array("I", ids).tobytes()
-            if len(self.known) < WORDS and len(unit) <= 64:
-                self.known[unit] = found
-        return found
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of texts as little-endian unsigned 32-bit integers; words that are new to the cache go to the model together."""
         if not self.apart:
-            return array("I", self.model.encode(text, num_threads=1)).tobytes()
-        return b"".join(map(self.word, self.UNIT.findall("▁" + text.replace(" ", "▁"))))
+            return [array("I", ids).tobytes() for ids in self.model.encode([t or "" for t in texts], num_threads=1)]
+        words = [self.UNIT.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
+        known = self.known
+        new = list({w for own in words for w in own if w not in known})
+        ids = self.model.encode([w[1:].replace("▁", " ") for w in new], num_threads=1)
+        made = {w: array("I", i if len(w) > 1 else [self.model.piece_to_id("▁")]).tobytes() for w, i in zip(new, ids, strict=True)}
+        if len(known) < WORDS:
+            known.update((w, i) for w, i in made.items() if len(w) <= 64)
+        return [b"".join([known.get(w) or made[w] for w in own]) for own in words]
 
 
 class Aligner:
     """Two tokenizers, their tokens' bytes and a DuckDB connection."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a = codec(a_path)
+        self.a = encoder(a_path)
         model = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b = Words(model)
-        self.a_bytes = self.a.bytes
+        self.a_plain = Tokenizer.from_file(a_path)
+        self.a_plain.encode_special_tokens = True
+        self.a_bytes = token_bytes(self.a_plain)
         self.b_bytes = piece_bytes(model)
         size = max(self.a_bytes) + 1
-        self.a_len = np.array([len(self.a_bytes[i]) for i in range(size)], np.int64)
+        self.a_len = np.array([len(self.a_bytes.get(i, b"")) for i in range(size)], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
         numbers = list(map(str, range(max(size, len(self.b_bytes)))))
         self.within, self.middle, self.end = (np.array([n + mark for n in numbers], object) for mark in ",|;")
@@ -121,14 +119,20 @@ class Aligner:
         """A and B ids of each text; none for texts that can't be aligned."""
         none = np.empty(0, np.uint32)
         out = []
-        for text in texts:
+        for text, ids in zip(texts, self.b.encode(texts), strict=True):
             whole = f" {text}" if text else ""
-            a, b = (np.frombuffer(x, "<u4") for x in (self.a.encode_plain(whole), self.b.encode(text)))
+            a, b = self.a_ids(whole), np.frombuffer(ids, "<u4")
             data = whole.encode()
             same = all(b"".join(map(known.__getitem__, ids.tolist())) == data for known, ids in ((self.a_bytes, a), (self.b_bytes, b)))
             out.append((a, b) if same else (none, none))
         return out
 
+    def a_ids(self, text: str) -> np.ndarray:
+        """A's ids of a text in which special tokens are plain text."""
+        if SAFE.search(text):
+            return np.array(self.a_plain.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.frombuffer(b"".join(map(self.a.lookup, self.a.find(text))), self.a.dtype).astype(np.uint32)
+
     @staticmethod
     def table(ids: list[np.ndarray], lengths: np.ndarray) -> pa.Table:
         """The interval table of a chunk's tokens."""
@@ -174,6 +178,12 @@ class Aligner:
         return out
 
 
+def token_bytes(tokenizer: Tokenizer) -> dict[int, bytes]:
+    """The bytes of each token of a byte-level vocabulary; special tokens stand for their own text."""
+    to_byte = {c: b for b, c in byte_map().items()}
+    return {i: bytes(map(to_byte.__getitem__, t)) if all(c in to_byte for c in t) else t.encode() for t, i in tokenizer.get_vocab().items()}
+
+
 def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     """The bytes that each piece stands for."""
     out = []

@@ -8,7 +8,7 @@ text is cut at special tokens, by the tokenizer's pre-splitting pattern and then
 at the forced boundaries; every fragment is encoded on its own by merges in rank
 order, and fragments and short pieces are kept in bounded per-process caches.
 
-A fragment of n bytes takes n log n steps, so a long run without spaces costs no
+A long fragment of n bytes takes n log n steps, so a long run without spaces costs no
 more than prose. Texts with code points on which Python's and the tokenizer's
 Unicode tables may differ are pre-split by the library; its encoder never runs.
 
@@ -43,6 +43,8 @@ from tessera.llm.tokens import SAFE, byte_map, default_path, splitter
 PIECES, FRAGMENTS = 500_000, 200_000
 #: Longer pieces and fragments are encoded anew each time.
 CACHED_BYTES = 64
+#: Up to so many symbols a list is faster than a heap.
+FEW = 40
 
 
 class _Tokens(dict):
@@ -92,6 +94,27 @@ class Codec:
     def merged(self, data: bytes) -> bytes:
         """Ids of one fragment: the pair of lowest rank, of equal ones the leftmost, is joined until none is left."""
         ids = list(map(self.single.__getitem__, data))
+        return self._few(ids) if len(ids) <= FEW else self._many(ids)
+
+    def _few(self, ids: list[int]) -> bytes:
+        """The same with the pairs of a short list looked through for each join."""
+        get, none = self.merges.get, (1 << 31, 0)
+        ranks = [get(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best is none:
+                break
+            i = ranks.index(best)
+            ids[i : i + 2] = [best[1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((best[1], ids[i + 1]), none)
+            if i:
+                ranks[i - 1] = get((ids[i - 1], best[1]), none)
+        return array("I", ids).tobytes()
+
+    def _many(self, ids: list[int]) -> bytes:
+        """The same with the pairs of a long list in a heap."""
         n, merges = len(ids), self.merges
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(found[0], i, ids[i], ids[i + 1], found[1]) for i in range(n - 1) if (found := merges.get((ids[i], ids[i + 1])))]
