@@ -138,8 +138,14 @@ def spaced(spark: SparkSession, first: float, last: float, n: int, logarithmic:
     return spark.range(n).select(*entries(F.lit(0), F.col("id"), F.pow(F.lit(10.0), x) if logarithmic else x))
 
 
+#: Places of the matrix that kronecker() sends to every task.
+SENT = 250_000
+
+
 def kronecker(a: DataFrame, b: DataFrame, rows: int, columns: int) -> DataFrame:
-    """Every value of a times all of b (rows by columns, which must be small: it is sent to every task)."""
+    """Every value of a times all of b (rows by columns, at most SENT places, as it is sent to every task; more are an error)."""
+    if rows * columns > SENT:
+        raise ValueError(f"a matrix of {rows} by {columns} is too large to send")
     x = b.select(F.col("i").alias("_k"), F.col("j").alias("_l"), F.col("v").alias("_w")).filter((F.col("_k") < rows) & (F.col("_l") < columns))
     grid = x.agg(F.collect_list(F.struct("_k", "_l", "_w")).alias("_b"))  # one row
     y = a.crossJoin(F.broadcast(grid)).select("i", "j", "v", F.explode("_b").alias("_e"))

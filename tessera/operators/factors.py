@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from tessera.plans.session import table
 
 
+#: Rows of a factor that meets all rows of another.
+SENT = 100_000
+
+
 def variables(f: DataFrame) -> list[str]:
     return [c for c in f.columns if c != "p"]
 
 
 def product(f: DataFrame, g: DataFrame) -> DataFrame:
-    """The factor over all variables of both; factors without a shared variable must be small, as every pair of rows then meets."""
+    """The factor over all variables of both. Without a shared variable every pair of rows meets, so g, which is sent to every task, has at most SENT rows; more are an error."""
     shared = [v for v in variables(f) if v in variables(g)]
     h = g.withColumnRenamed("p", "_q")
+    if not shared and h.limit(SENT + 1).count() > SENT:
+        raise ValueError(f"factors without a shared variable, and more than {SENT} rows")
     joined = f.join(h, shared) if shared else f.crossJoin(F.broadcast(h))
     return joined.select(*dict.fromkeys([*variables(f), *variables(g)]), (F.col("p") * F.col("_q")).alias("p"))
 
