@@ -55,17 +55,13 @@ MEETINGS = """
 CREATE OR REPLACE TEMP TABLE meetings AS
 SELECT *, (sum(closes) OVER (ORDER BY e) - closes)::INT AS g
 FROM (SELECT a.doc, a.id AS a_id, a.s, a.e, b.id AS b_id, b.pos AS b_pos, (a.e = b.e)::INT AS closes FROM a ASOF JOIN b ON a.e <= b.e)"""
-#: Groups in order with their byte ranges and sizes; B's tokens follow one another, so the last ones' places tell their numbers.
-GROUPS = """
-CREATE OR REPLACE TEMP TABLE spans AS
-SELECT g, doc, s, e, n_a, last_b - lag(last_b, 1, -1) OVER (ORDER BY g) AS n_b
-FROM (SELECT g, min(doc) AS doc, min(s) AS s, max(e) AS e, count(*) AS n_a, max(b_pos) AS last_b FROM meetings GROUP BY g)"""
-#: Overlapping pairs: a lone token overlaps its whole group; where both sides have several, token ranges are joined.
+#: Groups in order: their A tokens and the last B token.
+GROUPS = "SELECT any_value(doc) AS doc, count(*) AS n_a, max(b_pos) AS last_b FROM meetings GROUP BY g ORDER BY g"
+#: Overlapping pairs of groups with several tokens on both sides (g, first_b, last_b), by byte ranges.
 OVERLAPS = """
-WITH several AS (SELECT g FROM spans WHERE n_a > 1 AND n_b > 1), m AS (SELECT doc, s, e FROM meetings SEMI JOIN several USING (g)),
-n AS (SELECT m.doc, count(*) AS n FROM m JOIN b ON m.s < b.e AND m.e > b.s GROUP BY 1
-UNION ALL SELECT doc, sum(greatest(n_a, n_b)) FROM spans WHERE n_a = 1 OR n_b = 1 GROUP BY 1)
-SELECT doc, sum(n)::BIGINT AS n FROM n GROUP BY 1"""
+WITH m AS (SELECT meetings.doc, s, e FROM meetings JOIN several USING (g)),
+n AS (SELECT b.s, b.e FROM (SELECT unnest(range(first_b, last_b + 1)) AS pos FROM several) JOIN b USING (pos))
+SELECT m.doc, count(*) AS n FROM m JOIN n ON m.s < n.e AND m.e > n.s GROUP BY 1"""
 LINKS = """
 WITH n AS (SELECT doc, a_id, b_id, count(*) AS n FROM meetings WHERE closes = 1 GROUP BY ALL),
 l AS (SELECT doc, list({'a_id': a_id::INT, 'b_id': b_id::INT, 'n': n} ORDER BY a_id, b_id) AS links FROM n GROUP BY doc)
@@ -123,7 +119,7 @@ class Aligner:
             whole = f" {text}" if text else ""
             a, b = self.a_ids(whole), np.frombuffer(ids, "<u4")
             data = whole.encode()
-            same = all(b"".join(map(known.__getitem__, ids.tolist())) == data for known, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+            same = self.a_len[a].sum() == len(data) and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == data  # A's bytes are the text's, cut
             out.append((a, b) if same else (none, none))
         return out
 
@@ -151,20 +147,25 @@ class Aligner:
         con.register("a", a)
         con.register("b", b)
         con.execute(MEETINGS)
-        con.execute(GROUPS)
-        sizes = con.execute("SELECT doc, n_a, n_b FROM spans ORDER BY g").fetchnumpy()
-        overlaps = con.execute(OVERLAPS).fetchnumpy()
+        sizes = con.execute(GROUPS).fetchnumpy()
+        doc, n_a, last = sizes["doc"], sizes["n_a"], sizes["last_b"]
+        n_b = np.diff(last, prepend=-1)  # B's tokens follow one another
+        both = np.flatnonzero((n_a > 1) & (n_b > 1))
+        con.register("several", pa.table({"g": both, "first_b": (last - n_b + 1)[both], "last_b": last[both]}))
+        crossed = con.execute(OVERLAPS).fetchnumpy()
+        con.unregister("several")
+        lone = (n_a == 1) | (n_b == 1)  # a lone token overlaps its whole group
+        n_overlaps = np.bincount(doc[lone], np.maximum(n_a, n_b)[lone], rows) + np.bincount(crossed["doc"], crossed["n"], rows)
         linked = con.execute("SELECT doc, sum(closes)::BIGINT AS n FROM meetings GROUP BY doc").fetchnumpy()
         links = con.sql(LINKS, params=[rows]).to_arrow_table().column("links").combine_chunks()
         con.unregister("a")
         con.unregister("b")
-        text = self.woven(a["id"].to_numpy(), b["id"].to_numpy(), sizes["n_a"], sizes["n_b"])
+        text = self.woven(a["id"].to_numpy(), b["id"].to_numpy(), n_a, n_b)
         edges = np.cumsum([0] + [len(x) + len(y) for x, y in ids]).tolist()
         groups = ["".join(text[i:j].tolist())[:-1] for i, j in zip(edges, edges[1:], strict=False)]
-        n_groups = np.bincount(sizes["doc"], minlength=rows)
-        n_overlaps = np.bincount(overlaps["doc"], overlaps["n"], rows).astype(np.int64)
+        n_groups = np.bincount(doc, minlength=rows)
         n_links = np.bincount(linked["doc"], linked["n"], rows).astype(np.int64)
-        counts = [np.array([len(x) for x, _ in ids]), np.array([len(y) for _, y in ids]), n_groups, n_links, n_overlaps]
+        counts = [np.array([len(x) for x, _ in ids]), np.array([len(y) for _, y in ids]), n_groups, n_links, n_overlaps.astype(np.int64)]
         return [*(pa.array(c, pa.int64()) for c in counts), pa.array(groups, pa.string()), links.cast(pa.list_(_LINK))]
 
     def woven(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
