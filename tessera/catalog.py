@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import boxes, matrices, numeric, strings, vectors
-from tessera.operators import bundles, communities, corpus, datasets, factors, graphs, join_trees, kernels, landmarks, learners, neighbours, problems, sequences, statistics
+from tessera.operators import bundles, communities, corpus, datasets, factors, graphs, join_trees, kernels, landmarks, learners, neighbours, policies, problems, sequences, statistics
 from tessera.sources import entries
 from tessera.streaming import windows
 
-_MODULES = (corpus, sequences, datasets, statistics, graphs, communities, landmarks, bundles, neighbours, learners, kernels, factors, join_trees, problems, strings, vectors, numeric, matrices, boxes, windows, entries)
+_MODULES = (corpus, sequences, datasets, statistics, graphs, communities, landmarks, bundles, neighbours, policies, learners, kernels, factors, join_trees, problems, strings, vectors, numeric, matrices, boxes, windows, entries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

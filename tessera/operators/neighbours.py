@@ -33,9 +33,9 @@ from tessera.plans.session import table
 from tessera.plans.shared import materialize
 
 #: Rows that cells are fitted on, cells at most, and rows and queries of a block.
-SAMPLE, CELLS, ROWS, QUERIES_A_BLOCK = 50_000, 2048, 4096, 1024
+SAMPLE, CELLS, ROWS, QUERIES_A_BLOCK = 20_000, 2048, 4096, 1024
 #: Sampled rows that the number of cells to ask is measured with, their neighbours, and the share of these to find.
-ASKED, NEAREST, FOUND = 400, 10, 0.97
+ASKED, NEAREST, FOUND = 200, 10, 0.97
 
 
 @dataclass(frozen=True)
@@ -53,11 +53,16 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
 
 
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The place of the nearest centre of each row, some rows at a time."""
+    return np.concatenate([distances(x[i : i + 1024], centres).argmin(1) for i in range(0, len(x), 1024)])
+
+
 def fitted(x: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray:
     """k-means centres of a sample; the starts are spread over the order of its rows, a cell that loses all rows keeps its centre."""
     centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
     for _ in range(rounds):
-        near = np.concatenate([distances(x[i : i + 4096], centres).argmin(1) for i in range(0, len(x), 4096)])
+        near = nearest_centre(x, centres)
         sums, counts = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
         np.add.at(sums, near, x)
         centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
@@ -69,10 +74,11 @@ def needed(x: np.ndarray, centres: np.ndarray, found: float = FOUND) -> int:
     asked = x[:: max(1, len(x) // ASKED)][:ASKED]
     order = np.argsort(distances(asked, centres), axis=1, kind="stable")
     places = np.argsort(order, axis=1)
-    cells = np.concatenate([distances(x[i : i + 4096], centres).argmin(1) for i in range(0, len(x), 4096)])
-    d = distances(asked, x)
-    near = np.argsort(d, axis=1, kind="stable")[:, 1 : NEAREST + 1]
-    ranks = np.sort(np.take_along_axis(places, cells[near], 1).ravel())
+    cells, ranks = nearest_centre(x, centres), []
+    for place, own in zip(places, asked, strict=True):
+        d = distances(own[None, :], x)[0]
+        ranks.append(place[cells[np.argsort(d, kind="stable")[1 : NEAREST + 1]]])
+    ranks = np.sort(np.concatenate(ranks))
     return int(ranks[min(len(ranks) - 1, int(np.ceil(found * len(ranks))))]) + 1 if len(ranks) else 1
 
 
@@ -99,13 +105,13 @@ def build(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cells:
     """The index of a table, written; cells default to the square root of the rows, at most CELLS."""
     rows = usable(df, vector).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     n = rows.count()
-    taken = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()  # a bounded sample
-    sample = np.array([r.v for r in taken], dtype=np.float64).reshape(len(taken), -1) if taken else np.empty((0, 0))
-    centres = fitted(sample, cells or min(CELLS, max(1, math.isqrt(n)))) if taken else sample
+    taken = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()  # a bounded sample
+    sample = taken.flatten().to_numpy(zero_copy_only=False).reshape(len(taken), -1) if len(taken) else np.empty((0, 0))
+    centres = fitted(sample, cells or min(CELLS, max(1, math.isqrt(n)))) if len(taken) else sample
     placed = materialize(_in_cells(rows, centres, 1), "cells")
     sizes = materialize(_blocks(placed, ROWS), "sizes")
     cut = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-    return Index(centres, cut, sizes, needed(sample, centres) if taken else 1)
+    return Index(centres, cut, sizes, needed(sample, centres) if len(taken) else 1)
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
