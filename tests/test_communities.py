@@ -83,7 +83,7 @@ def test_nations_part_better_than_by_votes(spark):
 
 def test_edge_cases(spark):
     def run(rows):
-        return {(r.node, r.community) for r in communities.newman_communities(spark.createDataFrame(rows, SCHEMA), levels=1, steps=3, moves=1).collect()}
+        return {(r.node, r.community) for r in communities.newman_communities(spark.createDataFrame(rows, SCHEMA), levels=1, steps=5, moves=1).collect()}
 
     assert run([]) == set()
     assert run([(1, 2, 0.0)]) == {(1, 1), (2, 1)}
