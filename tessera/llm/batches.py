@@ -1,16 +1,5 @@
-"""Arrow batches in small slices, so that a worker turns few rows into Python objects at a time."""
+"""Arrow batches in small slices: those of tessera.plans."""
 
-from __future__ import annotations
+from tessera.plans.batches import ROWS, small
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
-
-ROWS = 500
-
-
-def small(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in order; no slice is empty."""
-    for b in batches:
-        for start in range(0, len(b), rows):
-            yield b.slice(start, rows)
+__all__ = ["ROWS", "small"]

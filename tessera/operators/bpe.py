@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.batches import small
+from tessera.plans.shared import discard, materialize
+
 SPLIT = re.compile(r"[ \n\t\r]|[^ \n\t\r]+")
 Merges = list[tuple[int, int]]
 
@@ -65,16 +70,126 @@ def apply(seq: list[int], pair: tuple[int, int], new: int) -> list[int]:
     return out
 
 
-def train(docs: DataFrame, vocab_size: int, text: str = "text", most_words: int = 2_000_000) -> Merges:
-    """Merges up to a vocabulary size from the counts of all documents.
+#: Words of a block: a row of the table that training counts over and over.
+BLOCK = 20_000
+
+
+def _marked(pieces: list[str]) -> np.ndarray:
+    """The bytes of pieces without newlines as 32-bit symbols, each piece closed by -1."""
+    x = np.frombuffer(("\n".join(pieces) + "\n").encode(), dtype=np.uint8).astype(np.int32)
+    x[x == 10] = -1
+    return x
+
+
+def _blocks(words: DataFrame) -> DataFrame:
+    """(flat, n): the bytes of many words as 32-bit symbols, each word closed by -1, and the words' counts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, BLOCK):
+            yield _block(_marked(b.column(0).to_pylist()), b.column(1).to_numpy())
+
+    return words.mapInArrow(run, "flat binary, n binary")
+
+
+def _block(flat: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary())], names=["flat", "n"])
+
+
+def _joined(flat: np.ndarray, pair: tuple[int, int], new: int) -> np.ndarray:
+    """apply() on all words at once."""
+    at = np.flatnonzero((flat[:-1] == pair[0]) & (flat[1:] == pair[1]))
+    if pair[0] == pair[1] and len(at):  # every second one of a run, from its first on
+        opens = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+        at = at[(np.arange(len(at)) - np.repeat(opens, np.diff(opens, append=len(at)))) % 2 == 0]
+    flat[at] = new
+    return np.delete(flat, at + 1)
+
+
+def _opened(batches: Iterable[pa.RecordBatch], merges: Merges, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and counts of each block with merges applied, their ids from first on."""
+    for b in batches:
+        for flat, n in zip(b.column(0), b.column(1), strict=True):
+            x = np.frombuffer(flat.as_py(), dtype=np.int32).copy()
+            for i, pair in enumerate(merges):
+                x = _joined(x, pair, first + i)
+            yield x, np.frombuffer(n.as_py(), dtype=np.int64)
+
+
+def _merged(blocks: DataFrame, merges: Merges, first: int) -> DataFrame:
+    """Blocks with merges applied; words that are one symbol drop."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, n in _opened(batches, merges, first):
+            lengths = np.diff(np.flatnonzero(x < 0), prepend=-1)
+            yield _block(x[np.repeat(lengths > 2, lengths)], n[lengths > 2])
+
+    return blocks.mapInArrow(run, "flat binary, n binary")
+
+
+def _ranked(blocks: DataFrame, merges: Merges, first: int, most: int) -> list[tuple[tuple[int, int], int]]:
+    """The most frequent neighbour pairs after merges, and their counts, ties by the smaller pair; the driver gets `most` rows at most."""
+    size = first + len(merges)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, n in _opened(batches, merges, first):
+            inside = (x[:-1] >= 0) & (x[1:] >= 0)
+            n = n[np.cumsum(x < 0)[:-1][inside]]  # a word's place is the number of marks before it
+            pair = x[:-1][inside].astype(np.int64) * size + x[1:][inside]
+            if size * size <= 1 << 20:
+                added = np.bincount(pair, weights=n, minlength=1).astype(np.int64)  # whole numbers below 2 ** 53
+                keys = np.flatnonzero(added)
+                added = added[keys]
+            else:
+                keys, place = np.unique(pair, return_inverse=True)
+                added = np.zeros(len(keys), dtype=np.int64)
+                np.add.at(added, place, n)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(added)], names=["pair", "n"])
+
+    total = blocks.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return [(divmod(r.pair, size), r.n) for r in total.orderBy(F.desc("n"), "pair").limit(most).collect()]
+
+
+def certain(ranked: list[tuple[tuple[int, int], int]], whole: bool) -> Merges:
+    """The next merges that one count of all pairs decides.
+
+    A merge (a, b) changes only the counts of pairs that end in a or begin with b, and the pairs it makes are no more frequent than
+    those were. So the following pair is next as well if all pairs that a merge before it changes are less frequent. whole tells that no pair is
+    missing; else those as frequent as the last may be.
+    """
+    out: Merges = []
+    heads: set[int] = set()
+    tails: set[int] = set()
+    for n, group in itertools.groupby(ranked, key=lambda x: x[1]):
+        tied = [p for p, _ in group]
+        for at, (a, b) in enumerate(tied):
+            if out and ((n == ranked[-1][1] and not whole) or any(q[1] in heads or q[0] in tails for q in tied[at:])):
+                return out
+            out.append((a, b))
+            heads.add(a)
+            tails.add(b)
+    return out
+
+
+def train(docs: DataFrame, vocab_size: int, text: str = "text", most: int = 512, held: int = 8) -> Merges:
+    """Merges up to a vocabulary size from the counts of all documents: those of learn(), over a word table of any size.
 
-    The driver holds the word table, not the corpus; a table above most_words is refused rather than cut.
+    The table stays in Spark. A round sums the counts of all pairs, of which the driver gets the `most` frequent, and takes all merges
+    that they decide; after `held` merges the table is written with them applied.
     """
-    table = word_table(docs, text)
-    n = table.count()
-    if n > most_words:
-        raise ValueError(f"{n} distinct words exceed the bound of {most_words}; raise it or split words further")
-    return learn(sorted((r.word, r.n) for r in table.toLocalIterator()), vocab_size - 256)
+    words = materialize(_blocks(word_table(docs, text)), "words")
+    merges: Merges = []
+    done = 0
+    while len(merges) < vocab_size - 256:
+        if len(merges) - done >= held:
+            last, words = words, materialize(_merged(words, merges[done:], 256 + done), "words")
+            discard(last)
+            done = len(merges)
+        ranked = _ranked(words, merges[done:], 256 + done, most)
+        if not ranked:
+            break
+        merges += certain(ranked, len(ranked) < most)[: vocab_size - 256 - len(merges)]
+    discard(words)
+    return merges
 
 
 class Coder:
@@ -100,8 +215,34 @@ class Coder:
                 self.cache[piece] = found
         return found
 
+    def together(self, pieces: list[str]) -> list[list[int]]:
+        """piece() of many pieces without white space: few merges run over all of them in turn, as none can make room for one before it."""
+        if len(self.rank) > 1024 or not pieces:
+            return [self.piece(p) for p in pieces]
+        flat = _marked(pieces)
+        for pair, i in self.rank.items():
+            flat = _joined(flat, pair, 256 + i)
+        ids, ends = flat.tolist(), np.flatnonzero(flat < 0).tolist()
+        return [ids[s:e] for s, e in zip([0, *[e + 1 for e in ends[:-1]]], ends, strict=True)]
+
     def encode(self, text: str | None) -> list[int]:
-        return [i for p in SPLIT.findall(text or "") for i in self.piece(p)]
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text; pieces that are new to the texts are encoded together."""
+        split = [SPLIT.findall(t or "") for t in texts]
+        found = {p: [ord(p)] for p in " \n\t\r"}
+        new = []
+        for p in {p for pieces in split for p in pieces}.difference(found):
+            if (ids := self.cache.get(p)) is None:
+                new.append(p)
+            else:
+                found[p] = ids
+        encoded = dict(zip(new, self.together(new), strict=True))
+        found |= encoded
+        if len(self.cache) < 100_000:
+            self.cache |= encoded
+        return [[i for p in pieces for i in found[p]] for pieces in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(self.bytes[i] for i in ids).decode("utf-8", "replace")
@@ -112,8 +253,8 @@ def encode(docs: DataFrame, merges: Merges, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(merges)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=[key, "ids"])
+        for b in small(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(coder.encode_all(b.column(1).to_pylist()), pa.list_(pa.int32()))], names=[key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
@@ -123,7 +264,7 @@ def decoded(ids: DataFrame, merges: Merges, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(merges)
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.decode(x or ()) for x in b.column(1).to_pylist()], pa.string())], names=[key, "text"])
 
     return ids.select(key, "ids").mapInArrow(run, f"{key} {ids.schema[key].dataType.simpleString()}, text string")

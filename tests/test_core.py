@@ -155,6 +155,23 @@ def test_bpe_round_trip_and_order(spark):
     assert slow == [(97, 98), (256, 256)] or slow == [(97, 98), (256, 97)]
 
 
+def test_bpe_trains_where_the_words_lie(spark, monkeypatch):
+    """The merges of learn(), in whatever batches they are found, without the word table on the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("aab\u00e9") for _ in range(rng.randrange(1, 9))) for _ in range(30)) for _ in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (98, None), (99, "aaaaaaa aaaaaa")], "doc_id long, text string")
+    want = bpe.learn(sorted((r.word, r.n) for r in bpe.word_table(docs).collect()), 60)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *_, **__: pytest.fail("words reach the driver"))
+    assert bpe.train(docs, 256 + 60) == want
+    assert bpe.train(docs, 256 + 25, most=5, held=2) == want[:25]
+    assert bpe.train(docs.filter("doc_id = 98"), 300) == []
+    coder = bpe.Coder(want)
+    for t in texts:
+        assert coder.encode(t) == [i for p in bpe.SPLIT.findall(t) for i in bpe.Coder(want).piece(p)]
+
+
 def test_sentinel_files_round_trip(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "c.txt").write_bytes(b"header\r\n<<<doc>>>\r\nfirst\r\nline  \n\n<<<doc>>>\n\n<<<doc>>>\nsecond <<<doc>>> inside\n")
