@@ -2,22 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.batches import small
+from tessera.plans.shared import materialize
+
 #: Lines that open a document, a record and its fields.
 DOC, RECORD, SYSTEM, USER, ASSISTANT = "<<<doc>>>", "<<<record>>>", "<<<system>>>", "<<<user>>>", "<<<assistant>>>"
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    """One row a file, line ends made plain. A file is one task's work; many files spread."""
-    text = F.regexp_replace("value", "\r\n", "\n")
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), text.alias("t"))
-
-
-def _parts(text: Column, sentinel: str) -> Column:
-    """What follows each line that is just the sentinel."""
-    return F.slice(F.split(F.concat(F.lit("\n"), text, F.lit("\n")), rf"\n(?={sentinel}\n)"), 2, 1 << 30)
+def _parts(spark: SparkSession, path: str, sentinel: str) -> DataFrame:
+    """(path, pos, t): the lines after each line that is just the sentinel, by file; line ends are made plain and what comes before the first is left out.
+
+    Files are read by lines in splits, so a task holds one part at a time, however large a file is. The first and last parts of a split go on in
+    others; these few are put together again.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, held, out, size = None, 0, [], [], 0  # n: parts opened in this split, 0 for the rest of an earlier one
+
+        def batch() -> pa.RecordBatch:
+            paths, blocks, places, edges, texts = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(paths), pa.array(blocks, pa.int64()), pa.array(places, pa.int64()), pa.array(edges), pa.array(texts, pa.string())], names=["path", "block", "k", "edge", "t"])
+
+        for b in small(batches):
+            for where, line in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(2).to_pylist(), strict=True):
+                line = line[:-1] if line.endswith("\r") else line
+                opens = line == sentinel
+                if where != at or opens:
+                    if at is not None:
+                        out.append((*at, n, where != at or n == 0, "".join(held)))
+                        size += len(out[-1][-1])
+                    at, n, held = where, (n if where == at else 0) + opens, []
+                if not opens:
+                    held.append(line + "\n")
+                if len(out) >= 500 or size >= 1 << 22:
+                    yield batch()
+                    out, size = [], 0
+        if at is not None:
+            out.append((*at, n, True, "".join(held)))
+            yield batch()
+
+    parts = lines.mapInArrow(run, "path string, block long, k long, edge boolean, t string")
+    edges = materialize(parts.filter("edge"), "edges")  # two at most a split
+    before = Window.partitionBy("path").orderBy("block")
+    blocks = edges.groupBy("path", "block").agg(F.max("k").alias("n"))
+    blocks = blocks.select("path", "block", (F.sum("n").over(before) - F.col("n")).alias("first"))
+    upto = Window.partitionBy("path").orderBy("block", "k").rowsBetween(Window.unboundedPreceding, 0)
+    opener = F.max(F.when(F.col("k") > 0, F.struct("block", "k"))).over(upto)
+    pieces = F.array_sort(F.collect_list(F.struct("block", "k", "t")))
+    grown = edges.withColumn("o", opener).filter("o IS NOT NULL").groupBy("path", "o").agg(F.array_join(F.transform(pieces, lambda p: p["t"]), "").alias("t"))
+    all_parts = parts.filter("NOT edge").select("path", "block", "k", "t").unionByName(grown.select("path", "o.block", "o.k", "t"))
+    return all_parts.join(F.broadcast(blocks), ["path", "block"]).select("path", (F.col("first") + F.col("k") - 1).cast("int").alias("pos"), "t")  # one row a split
 
 
 def _tail_trimmed(s: Column) -> Column:
@@ -26,13 +67,12 @@ def _tail_trimmed(s: Column) -> Column:
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, pos, text): documents of sentinel files; text before the first sentinel is a header, empty documents drop."""
-    x = _whole(spark, path).select("path", F.posexplode(_parts(F.col("t"), DOC)).alias("pos", "p"))
-    return x.select("path", "pos", _tail_trimmed(F.substring("p", len(DOC) + 2, 1 << 30)).alias("text")).filter("text <> ''")
+    return _parts(spark, path, DOC).select("path", "pos", _tail_trimmed(F.col("t")).alias("text")).filter("text <> ''")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(path, pos, system, user, assistant) of sentinel record files; those without a user or assistant text drop."""
-    x = _whole(spark, path).select("path", F.posexplode(_parts(F.col("t"), RECORD)).alias("pos", "p"))
+    x = _parts(spark, path, RECORD).select("path", "pos", F.concat(F.lit("\n"), "t").alias("p"))
 
     def field(sentinel: str) -> Column:
         return _tail_trimmed(F.regexp_extract("p", rf"(?s)\n{sentinel}\n(.*?)(?=\n<<<(?:system|user|assistant)>>>\n|$)", 1))

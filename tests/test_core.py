@@ -184,6 +184,25 @@ def test_sentinel_files_round_trip(spark, tmp_path):
     assert [r.text for r in corpora.documents(spark, str(tmp_path / "w")).orderBy("pos").collect()] == ["one", "two\nlines"]
 
 
+def test_sentinel_files_are_read_in_splits(spark, tmp_path):
+    """One file over many splits: parts that lie in several come back whole, and no task reads the file."""
+    rng = random.Random(2)
+    texts = ["\n".join("".join(rng.choice("ab\u00e9 ") for _ in range(rng.randrange(1, 40))) + "." for _ in range(rng.choice([1, 1, 2, 60]))) for _ in range(80)]
+    (tmp_path / "c.txt").write_bytes("head\r\n".encode() + "".join(f"<<<doc>>>\r\n{t}\n" for t in texts).encode())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = corpora.documents(spark, str(tmp_path / "c.txt"))
+        assert spark.read.text(str(tmp_path / "c.txt")).rdd.getNumPartitions() > 20
+        assert [(r.pos, r.text) for r in got.orderBy("pos").collect()] == list(enumerate(texts))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "wholetext" not in plan and got.rdd.getNumPartitions() > 20
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_libsvm_round_trip(spark, tmp_path):
     (tmp_path / "x.svm").write_text("1 1:0.5 3:2 # note\n-1 2:1\n\n")
     df = corpora.libsvm(spark, str(tmp_path / "x.svm"))
