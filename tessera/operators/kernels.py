@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -56,24 +58,85 @@ def assigned(df: DataFrame, group: str, left: str, right: str, score: str) -> Da
 
 
 def complete_linkage(points: np.ndarray, least: int, most: float = np.inf) -> np.ndarray:
-    """Labels 0, 1, ... by first appearance: the two clusters with the smallest largest distance join until `least` are left or the distance passes most."""
+    """Labels 0, 1, ... by first appearance: the two clusters with the smallest largest distance join until `least` are left or the distance passes most.
+
+    Ties go to the clusters with the smallest first points. Points on a line take n log n; others hold all distances, and a step renews
+    only the nearest clusters that a join has changed.
+    """
     n = len(points)
-    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    if n and points.shape[1] == 1 and np.isfinite(points).all():
+        return pd.factorize(_linked_line(points[:, 0], max(least, 1), most))[0]
+    d = np.zeros((n, n))
+    for column in points.T:
+        d += (column[:, None] - column[None]) ** 2
+    d = np.sqrt(d, out=d)
     np.fill_diagonal(d, np.inf)
     label = np.arange(n)
+    near = d.argmin(1) if n else label
+    gap = d[label, near]
     for _ in range(n - max(least, 1)):
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if not d[i, j] < most:
+        i = int(gap.argmin())
+        j = int(near[i])
+        if not gap[i] < most:
             break
         i, j = min(i, j), max(i, j)
         d[i] = np.maximum(d[i], d[j])
         d[:, i] = d[i]
         d[i, i] = np.inf
         d[j] = d[:, j] = np.inf
+        gap[j] = np.inf
+        stale = np.flatnonzero((near == i) | (near == j))
+        stale = np.append(stale[(stale != i) & np.isfinite(gap[stale])], i)
+        for k in stale.tolist():
+            near[k] = d[k].argmin()
+            gap[k] = d[k, near[k]]
         label[label == j] = i
     return pd.factorize(label)[0]
 
 
+def _linked_line(x: np.ndarray, least: int, most: float) -> np.ndarray:
+    """The first point of each point's cluster, for finite points on a line: equal points join first, then neighbours of the order."""
+    n, left = len(x), len(x)
+    label = np.arange(n)
+    order = np.argsort(x, kind="stable")
+    opens = np.flatnonzero(np.diff(x[order], prepend=np.nan) != 0)
+    groups = np.split(order, opens[1:])
+    if not 0 < most:
+        return label
+    for g in sorted(groups, key=lambda g: g[0]):  # in the order of their first points, as ties go
+        if (take := min(len(g) - 1, left - least)) > 0:
+            label[g[1 : take + 1]] = g[0]
+            left -= take
+    if left <= least:
+        return label
+    low, high, head = [float(x[g[0]]) for g in groups], [float(x[g[0]]) for g in groups], [int(g[0]) for g in groups]
+    parent = list(range(len(groups)))
+    before, after, version = list(range(-1, len(groups) - 1)), [*range(1, len(groups)), -1], [0] * len(groups)
+
+    def pair(a: int, b: int) -> tuple[float, int, int, int, int, int, int]:
+        return high[b] - low[a], min(head[a], head[b]), max(head[a], head[b]), a, b, version[a], version[b]
+
+    heap = [pair(a, a + 1) for a in range(len(groups) - 1)]
+    heapq.heapify(heap)
+    while left > least and heap:
+        gap, _, _, a, b, va, vb = heapq.heappop(heap)
+        if (version[a], version[b]) != (va, vb):
+            continue
+        if not gap < most:
+            break
+        parent[b], high[a], head[a], after[a] = a, high[b], min(head[a], head[b]), after[b]
+        version[a], version[b], left = version[a] + 1, -1, left - 1
+        if after[a] >= 0:
+            before[after[a]] = a
+            heapq.heappush(heap, pair(a, after[a]))
+        if before[a] >= 0:
+            heapq.heappush(heap, pair(before[a], a))
+    for place in range(len(groups)):  # a cluster keeps the place of its leftmost group
+        root = parent[place] = parent[parent[place]]
+        label[groups[place]] = head[root]
+    return label
+
+
 def agglomerated(df: DataFrame, group: str, key: str, features: list[str], least: int, most: float = float("inf")) -> DataFrame:
     """(group, key, cluster) by complete linkage inside each group."""
 

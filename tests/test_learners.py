@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -17,6 +18,43 @@ def test_assignment_against_all_permutations():
         assert len(set(got)) == n and sum(cost[i, got[i]] for i in range(n)) == best
 
 
+def slow_linkage(points, least, most=np.inf):
+    """All distances, searched anew in every step."""
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    label = list(range(len(points)))
+    for _ in range(len(points) - max(least, 1)):
+        i, j = sorted(int(k) for k in np.unravel_index(np.argmin(d), d.shape))
+        if not d[i, j] < most:
+            break
+        d[i] = d[:, i] = np.maximum(d[i], d[j])
+        d[i, i] = np.inf
+        d[j] = d[:, j] = np.inf
+        label = [i if k == j else k for k in label]
+    return [sorted(set(label), key=label.index).index(k) for k in label]
+
+
+def test_complete_linkage_equals_its_definition():
+    rng = np.random.default_rng(6)
+    for dims in (1, 2):
+        for n in (1, 2, 5, 30):
+            for _ in range(15):
+                points = rng.integers(0, 12, (n, dims)).astype(float)  # copies and ties
+                for least, most in ((1, np.inf), (2, np.inf), (4, 3.0), (n - 1, np.inf), (1, 0.0)):
+                    assert kernels.complete_linkage(points, least, most).tolist() == slow_linkage(points, least, most), (points, least, most)
+                points = rng.normal(0, 1, (n, dims)).round(2)
+                assert kernels.complete_linkage(points, 2).tolist() == slow_linkage(points, 2)
+
+
+def test_complete_linkage_of_a_long_line():
+    began = time.process_time()
+    x = np.random.default_rng(1).uniform(0, 1, (20_000, 1)).round(5)
+    label = kernels.complete_linkage(x, 2)
+    assert len(set(label)) == 2 and time.process_time() - began < 20
+    sides = sorted((x[label == k].min(), x[label == k].max()) for k in (0, 1))
+    assert sides[0][1] < sides[1][0]
+
+
 def test_complete_linkage_golden():
     square = [(0, 0), (0.5, 0), (0, 0.5), (0.5, 0.5)]
     points = np.array([(x + o, y + o) for o in (0, 3, 7) for x, y in square])
