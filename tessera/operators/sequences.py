@@ -6,9 +6,15 @@ takes an array column, so either will do.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.plans.batches import small
 from tessera.plans.prefix import running
 from tessera.plans.session import table
 
@@ -102,27 +108,30 @@ def overlap(df: DataFrame, keys: list[str], reference: Column, made: Column) ->
     return out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
-def ngrams(a: Column, n: int) -> Column:
-    """Runs of n tokens as strings."""
-    return F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.array_join(F.slice(a, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _compared(df: DataFrame, keys: list[str], reference: Column, made: Column, compare: Callable[[list, list], tuple[float, ...]], names: list[str]) -> DataFrame:
+    """keys and the numbers of each pair of token arrays (null: empty), found where the row lies; a task holds few rows at a time."""
+    x = df.select(*keys, reference.alias("_a"), made.alias("_b"))
+    schema = T.StructType([*[x.schema[k] for k in keys], *[T.StructField(n, T.DoubleType()) for n in names]])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            found = [compare(p or [], q or []) for p, q in zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *[pa.array(c, pa.float64()) for c in zip(*found, strict=True)]], names=[*keys, *names])
 
-def ngram_overlap(df: DataFrame, keys: list[str], reference: Column, made: Column, most: int = 4) -> DataFrame:
-    """keys and score: mean over n of clipped n-gram precision, n up to the shorter length; n-grams are counted as rows."""
-    x = df.select(*keys, reference.alias("a"), made.alias("b")).withColumn("top", F.least(F.size("a"), F.size("b"), F.lit(most)))
-    x = x.withColumn("len_b", F.size("b"))
+    return x.mapInArrow(run, schema)
 
-    def grams(a: str, sign: int) -> DataFrame:
-        def tagged(n: int) -> Column:
-            return F.transform(ngrams(F.col(a), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
 
-        per_n = [tagged(n) for n in range(1, most + 1)]
-        return x.select(*keys, "top", "len_b", F.explode(F.concat(*per_n)).alias("e")).filter("e.n <= top").select(*keys, "top", "len_b", "e.n", "e.g", F.lit(sign).alias("side"))
+def ngram_overlap(df: DataFrame, keys: list[str], reference: Column, made: Column, most: int = 4) -> DataFrame:
+    """keys and score: mean over n of clipped n-gram precision, n up to the shorter length; n-grams of a row are counted in its time and memory."""
+
+    def compare(a: list, b: list) -> tuple[float]:
+        top, total = min(len(a), len(b), most), 0.0
+        for n in range(1, top + 1):
+            grams = [Counter(zip(*[s[i:] for i in range(n)], strict=False)) for s in (a, b)]
+            total += (grams[0] & grams[1]).total() / (len(b) - n + 1)
+        return (total / top if top else 0.0,)
 
-    counted = grams("a", 0).unionByName(grams("b", 1)).groupBy(*keys, "top", "len_b", "n", "g").agg(F.sum(1 - F.col("side")).alias("ca"), F.sum("side").alias("cb"))
-    per_n = counted.groupBy(*keys, "top", "len_b", "n").agg(F.sum(F.least("ca", "cb")).alias("k"))
-    scores = per_n.groupBy(*keys).agg((F.sum(F.col("k") / (F.col("len_b") - F.col("n") + 1)) / F.first("top")).alias("score"))
-    return x.select(*keys).join(scores, keys, "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6))
+    return _compared(df, keys, reference, made, compare, ["score"]).withColumn("score", F.round("score", 6))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

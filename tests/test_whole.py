@@ -51,6 +51,14 @@ def test_overlaps_take_whole_texts(spark, small):
         assert abs(scored[c].score - sum(clipped(a, b, n) / (len(b) - n + 1) for n in range(1, top + 1)) / top) < 1e-6
 
 
+def test_ngrams_are_counted_where_their_row_lies(spark):
+    rows = [(1, ["a", "b", "a", "b"], ["a", "b", "c"]), (2, [], ["a"]), (3, None, ["a"]), (4, ["x", "y"], ["x", "y"]), (5, ["a"] * 3000, ["a"] * 2000)]
+    df = spark.createDataFrame(rows, "k int, a array<string>, b array<string>")
+    got = sequences.ngram_overlap(df, ["k"], F.col("a"), F.col("b"))
+    assert {r.k: r.score for r in got.collect()} == {1: round((2 / 3 + 1 / 2 + 0) / 3, 6), 2: 0.0, 3: 0.0, 4: 1.0, 5: 1.0}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hashes_and_augmentation_take_whole_texts(spark, small):
     where, _ = small
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{where}/documents.parquet").collect()}
