@@ -97,15 +97,14 @@ def packed_windows(df: DataFrame, key: str, length: Column, width: int) -> DataF
 
 
 def overlap(df: DataFrame, keys: list[str], reference: Column, made: Column) -> DataFrame:
-    """keys and multiset precision, recall and f1 of two token arrays; 0 if either is empty. Tokens are counted as rows, so long texts cost what they hold."""
-    x = df.select(*keys, reference.alias("a"), made.alias("b"))
-    sides = x.select(*keys, F.explode("a").alias("w"), F.lit(1).alias("ca"), F.lit(0).alias("cb")).unionByName(x.select(*keys, F.explode("b").alias("w"), F.lit(0).alias("ca"), F.lit(1).alias("cb")))
-    counted = sides.groupBy(*keys, "w").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    both = counted.groupBy(*keys).agg(F.sum(F.least("ca", "cb")).alias("k"), F.sum("ca").alias("n"), F.sum("cb").alias("m"))
-    p, q = F.coalesce(F.try_divide("k", "m"), F.lit(0.0)), F.coalesce(F.try_divide("k", "n"), F.lit(0.0))
-    scores = both.select(*keys, p.alias("precision"), q.alias("recall"))
-    out = x.select(*keys).join(scores, keys, "left").fillna(0.0, ["precision", "recall"])
-    return out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+    """keys and multiset precision, recall and f1 of two token arrays; 0 if either is empty. Tokens of a row are counted in its time and memory."""
+
+    def compare(a: list, b: list) -> tuple[float, float, float]:
+        k = (Counter(a) & Counter(b)).total()
+        p, q = k / len(b) if b else 0.0, k / len(a) if a else 0.0
+        return p, q, 2 * p * q / (p + q) if k else 0.0
+
+    return _compared(df, keys, reference, made, compare, ["precision", "recall", "f1"])
 
 
 def _compared(df: DataFrame, keys: list[str], reference: Column, made: Column, compare: Callable[[list, list], tuple[float, ...]], names: list[str]) -> DataFrame:

@@ -59,6 +59,14 @@ def test_ngrams_are_counted_where_their_row_lies(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tokens_are_counted_where_their_row_lies(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "a"], ["a", "a", "c", "a"]), (2, [], ["a"]), (3, ["a"], None), (4, ["x"] * 3000, ["x"] * 1000)], "k int, a array<string>, b array<string>")
+    got = sequences.overlap(df, ["k"], F.col("a"), F.col("b"))
+    assert {r.k: (r.precision, r.recall) for r in got.collect()} == {1: (0.5, 2 / 3), 2: (0.0, 0.0), 3: (0.0, 0.0), 4: (1.0, 1 / 3)}
+    assert {r.k: round(r.f1, 6) for r in got.collect()} == {1: round(4 / 7, 6), 2: 0.0, 3: 0.0, 4: 0.5}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hashes_and_augmentation_take_whole_texts(spark, small):
     where, _ = small
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{where}/documents.parquet").collect()}
