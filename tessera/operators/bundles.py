@@ -142,17 +142,22 @@ def linear_machine(df: DataFrame, vector: str, label: str, c: float = 1.0, **set
 # ---- ranks
 
 
+#: How many relevant and other rows a row stands for.
+_RELS, _OTHERS = "rel * c", "(1 - rel) * c"
+
+
 def _pairs(df: DataFrame, query: str, relevant: str, vector: str) -> tuple[DataFrame, DataFrame, int, int]:
-    """Rows (q, rel, v), the relevant and other rows of each query, the pairs of all and the number of weights."""
+    """Rows (q, rel, v, c), equal ones once with their number c, the relevant and other rows of each query, the pairs of all and the number of weights."""
     rows = usable(df, vector).filter(F.col(query).isNotNull() & F.col(relevant).isNotNull())
-    rows = materialize(rows.select(F.col(query).alias("q"), F.col(relevant).cast("int").alias("rel"), F.col(vector).cast("array<double>").alias("v")), "ranks")
-    sizes = materialize(rows.groupBy("q").agg(F.sum("rel").cast("double").alias("rels"), F.sum(1 - F.col("rel")).cast("double").alias("others")), "ranks")
+    rows = rows.select(F.col(query).alias("q"), F.col(relevant).cast("int").alias("rel"), F.col(vector).cast("array<double>").alias("v"))
+    rows = materialize(rows.groupBy("q", "rel", "v").agg(F.count("*").alias("c")), "ranks")
+    sizes = materialize(rows.groupBy("q").agg(F.sum(F.expr(_RELS)).cast("double").alias("rels"), F.sum(F.expr(_OTHERS)).cast("double").alias("others")), "ranks")
     first = sizes.agg(F.sum(F.col("rels") * F.col("others")).alias("pairs")).first()
     return rows, sizes, first.pairs or 0, rows.agg(F.max(F.size("v"))).first()[0] or 0
 
 
 def _violations(rows: DataFrame, sizes: DataFrame, w: np.ndarray) -> DataFrame:
-    """rows with weight and part: the pairs of a row that are less than 1 apart in score, negative for relevant rows, and the row's share of their loss.
+    """rows with weight and part: the pairs of the rows it stands for that are less than 1 apart in score, negative for relevant rows, and their share of the loss.
 
     In the order of scores, relevant ones lowered by 1, a relevant row's pairs are the others behind it and another row's the
     relevant ones before it. Both are running counts over the order of queries and scores, in ranges, so a query
@@ -160,11 +165,12 @@ def _violations(rows: DataFrame, sizes: DataFrame, w: np.ndarray) -> DataFrame:
     """
     at = rows.withColumn("s", score("v", w)).withColumn("t", F.col("s") - F.col("rel"))
     order = [F.asc("q"), F.asc("t"), F.asc("rel"), F.asc(F.xxhash64("v"))]
-    counted = staged(lambda: running(at, order, {"_rels": F.col("rel").cast("double"), "_others": (1 - F.col("rel")).cast("double")}), "counted")
-    start = counted.groupBy("q").agg(F.min(F.col("_rels") - F.col("rel")).alias("_r0"), F.min(F.col("_others") - (1 - F.col("rel"))).alias("_o0"))
+    counted = staged(lambda: running(at, order, {"_rels": F.expr(_RELS).cast("double"), "_others": F.expr(_OTHERS).cast("double")}), "counted")
+    start = counted.groupBy("q").agg(F.min(F.col("_rels") - F.expr(_RELS)).alias("_r0"), F.min(F.col("_others") - F.expr(_OTHERS)).alias("_o0"))
     whole = counted.join(start.join(sizes, "q"), "q")
     relevant = F.col("rel") == 1
     n = F.when(relevant, F.col("others") - (F.col("_others") - F.col("_o0"))).otherwise(F.col("_rels") - F.col("_r0"))
+    n = n * F.col("c")
     out = whole.withColumn("weight", F.when(relevant, -n).otherwise(n)).withColumn("part", F.when(relevant, n * (1 - F.col("s"))).otherwise(n * F.col("s")))
     held = materialize(out.select("v", "weight", "part"), "violations")
     discard(counted)
@@ -203,9 +209,9 @@ def right_order(df: DataFrame, query: str, relevant: str, vector: str, weights:
         raise ValueError("no pair to judge")
     at = rows.withColumn("s", score("v", weights))
     order = [F.asc("q"), F.asc("s"), F.desc("rel"), F.asc(F.xxhash64("v"))]
-    counted = staged(lambda: running(at, order, {"_others": (1 - F.col("rel")).cast("double")}), "counted")
-    start = counted.groupBy("q").agg(F.min(F.col("_others") - (1 - F.col("rel"))).alias("_o0"))
-    return (counted.filter("rel = 1").join(start, "q").agg(F.sum(F.col("_others") - F.col("_o0"))).first()[0] or 0.0) / pairs
+    counted = staged(lambda: running(at, order, {"_others": F.expr(_OTHERS).cast("double")}), "counted")
+    start = counted.groupBy("q").agg(F.min(F.col("_others") - F.expr(_OTHERS)).alias("_o0"))
+    return (counted.filter("rel = 1").join(start, "q").agg(F.sum((F.col("_others") - F.col("_o0")) * F.col("c"))).first()[0] or 0.0) / pairs
 
 
 # ---- sequences

@@ -102,6 +102,18 @@ def test_ranking_risk_against_all_pairs(spark):
         bundles.ranking(df.filter("q = 99"), "q", "rel", "v")
 
 
+def test_equal_rows_are_ranked_once(spark):
+    q, rel, x = (np.repeat(part, 3, axis=0) for part in ranking_rows(5, 40, 2))
+    df = ranking_frame(spark, q, rel, x)
+    rows, _, _, _ = bundles._pairs(df, "q", "rel", "v")
+    assert rows.count() == len({(a, b, tuple(c)) for a, b, c in zip(q.tolist(), rel.tolist(), x.tolist(), strict=True)}) + 1
+    w = np.array([0.25, -0.5, 0.125])
+    value, slope = bundles.ranking(df, "q", "rel", "v")[0](w)
+    want = brute_risk(q, rel, x, w)
+    assert value == pytest.approx(want[0]) and slope == pytest.approx(want[1])
+    assert bundles.right_order(df, "q", "rel", "v", w) == pytest.approx(want[2])
+
+
 def test_ranker_reaches_its_gap(spark):
     q, rel, x = ranking_rows(4, 80, 3)
     df = ranking_frame(spark, q, rel, x)
