@@ -47,10 +47,12 @@ def learn(df: DataFrame, taken: str, reward: str, offered: str, discount: float
     """Least-squares policy iteration until weights move less than close, or most times.
 
     taken is an array, offered an array of arrays; rows whose taken features or reward are null or not finite don't take
-    part, a null or empty offer ends a walk. Repeated rows count as often as they occur. An empty table is an error.
+    part, a null or empty offer ends a walk. Repeated rows count as often as they occur: those with equal features and offers are one row with
+    their number and rewards, so an iteration passes over what differs. An empty table is an error.
     """
     rows = usable(df, taken).filter(F.col(reward).isNotNull() & ~F.isnan(F.col(reward).cast("double")) & (F.abs(reward) < float("inf")))
-    rows = materialize(rows.select(F.col(taken).cast("array<double>").alias("x"), F.col(reward).cast("double").alias("r"), F.col(offered).cast("array<array<double>>").alias("o")), "steps")
+    rows = rows.select(F.col(taken).cast("array<double>").alias("x"), F.col(reward).cast("double").alias("r"), F.col(offered).cast("array<array<double>>").alias("o"))
+    rows = materialize(rows.groupBy("x", "o").agg(F.sum("r").alias("r"), F.count("*").cast("double").alias("n")), "steps")
     size = rows.agg(F.max(F.size("x"))).first()[0]
     if not size:
         raise ValueError("no step to learn from")
@@ -59,9 +61,10 @@ def learn(df: DataFrame, taken: str, reward: str, offered: str, discount: float
 
         def make(columns: list[pa.Array], w: np.ndarray = weights) -> np.ndarray:
             x = vectors(columns[0]).reshape(-1, size)
-            return np.concatenate([(x.T @ (x - discount * _chosen(columns[2], w))).ravel(), x.T @ columns[1].to_numpy()])
+            own = x.T * columns[3].to_numpy()
+            return np.concatenate([(own @ (x - discount * _chosen(columns[2], w))).ravel(), x.T @ columns[1].to_numpy()])
 
-        total = summed(rows, ["x", "r", "o"], make, size * size + size)
+        total = summed(rows, ["x", "r", "o", "n"], make, size * size + size)
         new = np.linalg.solve(total[: size * size].reshape(size, size) + ridge * np.eye(size), total[size * size :])
         moved, weights = float(np.abs(new - weights).max()), new
         if moved < close:

@@ -52,3 +52,11 @@ def test_iterations_equal_dense_sums(spark):
     assert got.weights == pytest.approx(w) and got.iterations == 3
     with pytest.raises(ValueError):
         policies.learn(spark.createDataFrame([], SCHEMA), "taken", "reward", "offered")
+
+
+def test_repeated_steps_are_one_row(spark, monkeypatch):
+    seen = []
+    summed = policies.summed
+    monkeypatch.setattr(policies, "summed", lambda rows, *a: seen.append(rows.count()) or summed(rows, *a))
+    once, often = (policies.learn(spark.createDataFrame(steps(n), SCHEMA).repartition(3), "taken", "reward", "offered", DISCOUNT, 1e-6 * n, 1e-6) for n in (1, 40))
+    assert set(seen) == {2 * GOAL} and often.weights == pytest.approx(once.weights)
