@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,8 +108,10 @@ class Choice:
 
 def vectors(column: pa.Array) -> np.ndarray:
     """The rows of a column of arrays as a matrix."""
-    rows = column.to_pylist()
-    return np.array(rows, dtype=np.float64).reshape(len(rows), -1)
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError("vectors of different lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), int(lengths[0]) if len(lengths) else 0)
 
 
 def usable(df: DataFrame, vector: str) -> DataFrame:
@@ -230,34 +233,36 @@ class Ridge:
 def kernel_ridge(df: DataFrame, vector: str, label: str, kernel: Kernel, penalties: tuple[float, ...] = (1.0,), most: int = 100, tolerance: float = 1e-3) -> Ridge:
     """Ridge regression in a kernel's space; of several penalties, the one with the least squared error when each row is left out.
 
-    One pass sums products of the vectors, one the errors of all penalties by the closed form of leaving a row out;
-    rows without a label don't take part.
+    Rows with equal vectors are one, with their number and the mean and variance of their labels. One pass sums products of the vectors, one
+    the errors of all penalties by the closed form of leaving a row out; rows without a label don't take part.
     """
-    known = df.filter(F.col(label).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("double").alias("y"))
+    known = usable(df.filter(F.col(label).isNotNull()), vector).select(F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("double").alias("y"))
+    known = materialize(known.groupBy("v").agg(F.count("*").cast("double").alias("n"), F.avg("y").alias("y"), F.var_pop("y").alias("spread")), "labels")
     rows = dictionary(known, "v", kernel, most, tolerance)
     if not len(rows):
         raise ValueError("no row to learn from")
     m = len(rows)
-    at = mapped(known, "v", kernel, rows).select("z", "y")
+    at = mapped(known, "v", kernel, rows).select("z", "n", "y", "spread")
 
     def products(columns: list[pa.Array]) -> np.ndarray:
-        z, y = vectors(columns[0]), columns[1].to_numpy()
-        return np.concatenate([(z.T @ z).ravel(), z.T @ y, [len(y)]])
+        z, n, y = vectors(columns[0]), columns[1].to_numpy(), columns[2].to_numpy()
+        return np.concatenate([((z.T * n) @ z).ravel(), z.T @ (n * y), [n.sum()]])
 
-    added = summed(at, ["z", "y"], products, m * m + m + 1)
+    added = summed(at, ["z", "n", "y"], products, m * m + m + 1)
     gram, right, n = added[: m * m].reshape(m, m), added[m * m : -1], added[-1]
     inverses = [np.linalg.inv(gram + p * np.eye(m)) for p in penalties]
     weights = [i @ right for i in inverses]
 
     def errors(columns: list[pa.Array]) -> np.ndarray:
-        z, y = vectors(columns[0]), columns[1].to_numpy()
+        z, (count, y, spread) = vectors(columns[0]), (c.to_numpy() for c in columns[1:])
         out = []
         for inverse, w in zip(inverses, weights, strict=True):
             own = np.minimum(((z @ inverse) * z).sum(1), 1 - 1e-9)
-            out.append((((y - z @ w) / (1 - own)) ** 2).sum())
+            out.append((count * (spread + (y - z @ w) ** 2) / (1 - own) ** 2).sum())
         return np.array(out)
 
-    error = summed(at, ["z", "y"], errors, len(penalties)) / n
+    error = summed(at, ["z", "n", "y", "spread"], errors, len(penalties)) / n
+    discard(known)
     best = int(np.argmin(error))
     return Ridge(Space(kernel, rows), weights[best], penalties[best], float(error[best]))
 

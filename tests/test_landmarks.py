@@ -89,3 +89,18 @@ def test_edge_cases(spark):
     assert len(landmarks.dictionary(empty, "v", landmarks.linear())) == 0
     with pytest.raises(ValueError):
         landmarks.kernel_ridge(empty, "v", "y", landmarks.linear())
+
+
+def test_ridge_passes_over_what_differs(spark, monkeypatch):
+    """Equal vectors are one row, and weights and errors are those of all rows."""
+    rng = np.random.default_rng(9)
+    x, y = np.repeat(rng.uniform(-1, 1, (12, 1)), 30, axis=0), rng.normal(0, 1, 360)
+    seen, summed = [], landmarks.summed
+    monkeypatch.setattr(landmarks, "summed", lambda df, *a: seen.append(df.count()) or summed(df, *a))
+    kernel = landmarks.polynomial(1.0, 1.0, 2)
+    got = landmarks.kernel_ridge(frame(spark, x, y), "v", "y", kernel, (0.5, 2.0), 10, 1e-9)
+    z = landmarks.Space(kernel, got.space.rows).images(x)[0]
+    inverse = np.linalg.inv(z.T @ z + got.penalty * np.eye(z.shape[1]))
+    w = inverse @ z.T @ y
+    error = (((y - z @ w) / (1 - ((z @ inverse) * z).sum(1))) ** 2).mean()
+    assert set(seen) == {12} and got.weights == pytest.approx(w) and got.error == pytest.approx(error)
